@@ -1,0 +1,5 @@
+"""Nothing here keeps state: every input of this toolkit is a finite table.
+
+The column functions, the rule sets and model scoring are stateless per row, so they can be
+applied to a streaming DataFrame as they are (see ``tests/test_rules.py``).
+"""
