@@ -191,6 +191,35 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, weight[weight <= seen * (1 + 1e-7)].sum() / weight.sum()))
 
 
+def draw_hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Random counts of good among ``take`` without replacement. The generator stops at 10^9 items;
+    beyond that a rounded normal with the exact mean and variance differs by less than 1e-4."""
+    total = good + bad
+    if total.max(initial=0) < 1_000_000_000:
+        return rng.hypergeometric(good, bad, take)
+    share = good / np.maximum(total, 1)
+    spread = np.sqrt(take * share * (1 - share) * (total - take) / np.maximum(total - 1, 1))
+    drawn = np.rint(rng.normal(take * share, spread)).astype(np.int64)
+    return np.clip(drawn, np.maximum(0, take - bad), np.minimum(good, take))
+
+
+def draw_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray, times: int) -> np.ndarray:
+    """``times`` random tables with the given margins: each row draws from what the columns have left."""
+    out = np.empty((times, len(rows), len(cols)), dtype=np.int64)
+    left = np.tile(cols, (times, 1))
+    for i, size in enumerate(rows[:-1]):
+        need = np.full(times, size)
+        rest = left.sum(axis=1)
+        for j in range(len(cols) - 1):
+            rest = rest - left[:, j]
+            out[:, i, j] = draw_hypergeometric(rng, left[:, j], rest, need)
+            need = need - out[:, i, j]
+        out[:, i, -1] = need
+        left = left - out[:, i]
+    out[:, -1] = left
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def f_tail_col(stat: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(f_tail(stat, df1, df2))

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ref
+from riskloom.operators.small import settled
 
 BIN = "_bin"
 
@@ -88,7 +89,8 @@ def exact_quantiles(
     """Exact quantiles per group, linear between neighbours; one output column per name.
 
     Bin counts (combined before the shuffle) tell which bins hold the wanted ranks; only rows of
-    those bins are then counted by value. The rest of the data is never shuffled or sorted.
+    those bins are then counted by value. The rest of the data is never shuffled or sorted: the
+    list of bins is a few rows per group and, its size checked, reaches the scan as a broadcast.
     """
     rows = df.select(*_refs(by), ref(value).cast("double").alias("_v")).where(known(ref("_v")))
     rows = rows.withColumn(BIN, value_bin(ref("_v")))
@@ -108,7 +110,7 @@ def exact_quantiles(
         wanted = wanted | holds(p, "_n_ahead", "_n")
     bins = bin_totals(rows.withColumn("_n", F.lit(1).cast("long")), by, ["_n"]).where(wanted).drop("_n")
     carried = [*keys, "_n_ahead", "_n_all"]
-    near = rows.join(bins, keys).groupBy(*_refs([*carried, "_v"])).agg(F.count(F.lit(1)).alias("_c"))
+    near = rows.join(settled(bins), keys).groupBy(*_refs([*carried, "_v"])).agg(F.count(F.lit(1)).alias("_c"))
     near = near.withColumn("_start", ref("_n_ahead") + _ahead("_c", keys, "_v"))
     picks = []
     for name, p in quantiles.items():
