@@ -187,8 +187,8 @@ def learn_scaling(
     for i, (c, text) in enumerate(texts.items()):
         mean, sd = stats[f"m{i}"] or 0.0, stats[f"s{i}"] or 1.0
         made.append(f"(({text}) - {float(mean)!r}D) / {float(sd)!r}D AS `{c}{suffix}`")
-    kept = "*" if suffix else ", ".join(f"`{c}`" for c in df.columns if c not in set(columns))
-    return SQLTransformer(statement=f"SELECT {', '.join([kept, *made]) if kept else ', '.join(made)} FROM __THIS__")
+    kept = "*" if suffix else f"* EXCEPT ({', '.join(f'`{c}`' for c in columns)})"
+    return SQLTransformer(statement=f"SELECT {', '.join([kept, *made])} FROM __THIS__")
 
 
 def _medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
