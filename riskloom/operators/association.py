@@ -182,7 +182,7 @@ def anova_two_way(
     )
     names = {"term1": first, "term2": second, "term12": f"{first}:{second}", "Residuals": "Residuals"}
     schema = cells.select(*[ref(c) for c in group]).schema
-    for name, kind in (("ord", "int"), ("term", "string"), ("df", "long"), ("sumsq", "double")):
+    for name, kind in (("ord", "integer"), ("term", "string"), ("df", "long"), ("sumsq", "double")):
         schema = schema.add(name, kind)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:

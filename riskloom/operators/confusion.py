@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions import tails
 from riskloom.functions.columns import ref
@@ -103,7 +104,7 @@ def matrix_statistics(df: DataFrame, truth: str, estimate: str, event: object, b
     The counting is a plain aggregation; only its result rows pass through the tail functions.
     """
     cells = confusion(df, truth, estimate, event, by)
-    schema = cells.schema
+    schema = T.StructType(list(cells.schema.fields))
     for name in ("accuracy_low", "accuracy_high", "accuracy_p", "mcnemar_p"):
         schema = schema.add(name, "double")
     tested = cells.mapInPandas(lambda frames: (_matrix_tests(f) for f in frames), schema)

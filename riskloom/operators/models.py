@@ -21,6 +21,7 @@ from riskloom.operators.confusion import confusion, with_metrics
 from riskloom.operators.profile import group_min_med_max
 from riskloom.operators.resample import cv_folds, factor_levels, fold_of, learn_scaling, smote
 from riskloom.operators.roc import auc
+from riskloom.sources.tables import checkpointed
 
 LABEL, P = "_label", "p_event"
 
@@ -89,7 +90,12 @@ def _fit(train: DataFrame, predictors: Sequence[str], estimator, scale: bool) ->
         stages.append(learn_scaling(ready, plan.columns()))
         ready = stages[-1].transform(ready)
     stages.append(VectorAssembler(inputCols=plan.columns(), outputCol="_x"))
-    model = estimator.fit(stages[-1].transform(ready))
+    # Fits pass over the rows many times.
+    packed = stages[-1].transform(ready).select(LABEL, "_x").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = estimator.fit(packed)
+    finally:
+        packed.unpersist()
     return Fitted(PipelineModel([*stages, model]), plan.columns())
 
 
@@ -145,12 +151,13 @@ def cross_validate(
     repeats: int = 3,
     oversample: bool = True,
     seed: int = 1234567,
-    parallelism: int = 4,
+    parallelism: int = 5,
 ) -> DataFrame:
     """Out-of-fold predictions (repeat, fold, key, obs, p_event).
 
     In every training part the rarer class is oversampled first; transforms and model are then
     learnt on it. Held-out rows are never oversampled. Fits of different folds run side by side.
+    The predictions are computed once and checkpointed.
     """
     kinds = dict(df.dtypes)
     numeric = [c for c in predictors if kinds[c] != "string"]
@@ -163,24 +170,29 @@ def cross_validate(
         def one(job: tuple[int, int]) -> tuple[int, int, Fitted]:
             repeat, fold = job
             train = held.where(fold_of(key, folds, repeat, seed) != fold)
-            if oversample:
-                marked = train.withColumn("_rare", (ref(truth) == F.lit(event)) == F.lit(event_rare)).na.drop(subset=numeric)
-                train = smote(marked, "_rare", True, numeric, key, seed=seed % 1000 + repeat * 10 + fold).drop("_rare")
-            return repeat, fold, fit(train)
+            if not oversample:
+                return repeat, fold, fit(train)
+            marked = train.withColumn("_rare", (ref(truth) == F.lit(event)) == F.lit(event_rare)).na.drop(subset=numeric)
+            train = smote(marked, "_rare", True, numeric, key, seed=seed % 1000 + repeat * 10 + fold).drop("_rare")
+            train = train.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                return repeat, fold, fit(train)
+            finally:
+                train.unpersist()
 
         jobs = [(r, f) for r in range(1, repeats + 1) for f in range(folds)]
         with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
             models = pool.map(one, jobs)
+        out = None
+        for repeat, fold, model in models:
+            part = held.where(fold_of(key, folds, repeat, seed) == fold)
+            part = model.score(part).select(
+                F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), *[ref(c) for c in key], ref(truth).alias("obs"), ref(P)
+            )
+            out = part if out is None else out.unionByName(part)
+        return checkpointed(out)
     finally:
         held.unpersist()
-    out = None
-    for repeat, fold, model in models:
-        part = used.where(fold_of(key, folds, repeat, seed) == fold)
-        part = model.score(part).select(
-            F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), *[ref(c) for c in key], ref(truth).alias("obs"), ref(P)
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
 
 
 def resample_metrics(predictions: DataFrame, event: object, by: Sequence[str] = ("repeat", "fold"), cut: float = 0.5) -> DataFrame:

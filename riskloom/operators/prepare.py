@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.columns import ref
 
@@ -78,7 +79,7 @@ def numbered(values: DataFrame, value: str, name: str) -> DataFrame:
     Values are sorted by range, so each task numbers its own slice from a known start.
     """
     ordered = values.select(ref(value)).distinct().orderBy(ref(value).asc_nulls_last())
-    schema = ordered.schema.add(name, "long")
+    schema = T.StructType(list(ordered.schema.fields)).add(name, "long")
     return ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)).toDF(schema)
 
 

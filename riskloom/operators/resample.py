@@ -100,12 +100,14 @@ def smote(
     extra = F.lit(math.floor(per_row)) + (hash_unit(*[ref(c) for c in key], seed=seed) < F.lit(per_row % 1)).cast("int")
     rows = rows.withColumn("_extra", extra)
 
+    columns = df.columns
+
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(key), kind="stable").reset_index(drop=True)
         repeat = frame["_extra"].to_numpy(int)
         k = min(neighbours, len(frame) - 1)
         base = np.repeat(np.arange(len(frame)), repeat)
-        out = frame.iloc[base][df.columns].reset_index(drop=True)
+        out = frame.iloc[base][columns].reset_index(drop=True)
         if k < 1:
             return out
         rng = np.random.default_rng([seed, int(frame["_slab"].iloc[0]), int(frame["_part"].iloc[0])])

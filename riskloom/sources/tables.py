@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -52,6 +54,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once and keep on shared storage, so that later passes neither repeat the work nor
+    depend on the executors that did it.
+
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set a local session (as in
+    tests) gets a folder of its own; a cluster without one goes on with the lazy frame.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="run-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def save_model(model: PipelineModel, path: str) -> PipelineModel:
     model.write().overwrite().save(path)
     return model
