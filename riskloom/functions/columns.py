@@ -25,7 +25,6 @@ def clean_name(name: str) -> str:
         text = text.replace(symbol, f" {word} ")
     text = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", text)
     text = re.sub(r"(?<=[A-Z])(?=[A-Z][a-z])", "_", text)
-    text = re.sub(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", "_", text)
     text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower()
     if not text:
         return "x"
@@ -61,6 +60,14 @@ def cols_at(df: DataFrame, *positions: int) -> list[str]:
     return [df.columns[i] for i in positions]
 
 
+def question(df: DataFrame, number: int) -> str:
+    """Name of the column whose heading starts with a question number."""
+    found = [c for c in df.columns if re.match(rf"{number}\b", c)]
+    if len(found) != 1:
+        raise ValueError(f"question {number}: {len(found)} columns")
+    return found[0]
+
+
 def drop_at(df: DataFrame, *positions: int) -> DataFrame:
     """Drop by zero-based position."""
     gone = {i % len(df.columns) for i in positions}
