@@ -17,7 +17,7 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(x), dtype=float)
 
 
 def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +166,8 @@ def exact_interval(k, n, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
 def chi_one_tail(stat) -> np.ndarray:
     """Upper tail of chi-square with one degree of freedom."""
     stat = np.asarray(stat, dtype=float)
-    return np.frompyfunc(lambda s: math.erfc(math.sqrt(s / 2)) if s >= 0 else math.nan, 1, 1)(stat).astype(float)
+    tail = np.frompyfunc(lambda s: math.erfc(math.sqrt(s / 2)) if s >= 0 else math.nan, 1, 1)
+    return np.asarray(tail(stat), dtype=float)
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ref
-from riskloom.operators.small import settled
+from riskloom.operators.small import null_safe_join, plain_keys, settled, solid_keys
 
 BIN = "_bin"
 
@@ -66,7 +66,8 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<count>_ahead`` (sum over smaller values of the group), ``<count>_all`` and the bin.
 
-    ``df`` holds one row per (group, value); value is a double, not null, not NaN. ``rows`` may
+    ``df`` holds one row per (group, value); value is a double, not null, not NaN; group columns are
+    not null (see :func:`~riskloom.operators.small.solid_keys`). ``rows`` may
     give the rows it was collapsed from: bin totals are then read off them, which combines before
     the shuffle instead of waiting for the collapse.
     """
@@ -93,7 +94,7 @@ def exact_quantiles(
     list of bins is a few rows per group and, its size checked, reaches the scan as a broadcast.
     """
     rows = df.select(*_refs(by), ref(value).cast("double").alias("_v")).where(known(ref("_v")))
-    rows = rows.withColumn(BIN, value_bin(ref("_v")))
+    rows = solid_keys(rows, by).withColumn(BIN, value_bin(ref("_v")))
     lone = "_all"
     if not by:
         rows, by = rows.withColumn(lone, F.lit(0)), [lone]
@@ -118,7 +119,7 @@ def exact_quantiles(
         place = F.max((ref("_n_all") - 1) * F.lit(float(p)))
         low = F.min(here)
         picks.append((low + (F.max(here) - low) * (place - F.floor(place))).alias(name))
-    return near.groupBy(*_refs(by)).agg(*picks).drop(lone)
+    return plain_keys(near.groupBy(*_refs(by)).agg(*picks), by).drop(lone)
 
 
 def ranked_codes(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -126,12 +127,12 @@ def ranked_codes(df: DataFrame, by: Sequence[str], value: str, name: str) -> Dat
     group = list(by) or ["_g"]
     marked = df if by else df.withColumn("_g", F.lit(0))
     values = (
-        marked.select(*_refs(group), ref(value).cast("double").alias("_x"))
+        solid_keys(marked.select(*_refs(group), ref(value).cast("double").alias("_x")), group)
         .where(known(ref("_x")))
         .distinct()
         .withColumn("_one", F.lit(1).cast("long"))
     )
     codes = running_totals(values, group, "_x", ["_one"])
-    codes = codes.select(*_refs(group), "_x", (ref("_one_ahead") + 1).alias(name))
-    joined = marked.withColumn("_x", ref(value).cast("double")).join(codes, [*group, "_x"], "left")
+    codes = plain_keys(codes.select(*_refs(group), "_x", (ref("_one_ahead") + 1).alias(name)), group)
+    joined = null_safe_join(marked.withColumn("_x", ref(value).cast("double")), codes, [*group, "_x"], "left")
     return joined.select(*_refs([*df.columns, name]))

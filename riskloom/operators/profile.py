@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import half_even, row_sum, strict_mean
 from riskloom.operators.ordered import exact_quantiles
+from riskloom.operators.small import null_safe_join
 
 
 def _refs(names: Sequence[str]) -> list[Column]:
@@ -79,10 +80,7 @@ def _with_quantiles(df: DataFrame, by: Sequence[str], value: str, table: DataFra
     if not by:
         one = F.lit(0).alias("_one")
         return table.select("*", one).join(quantiles.select("*", one), "_one", "left").drop("_one")
-    # Null-safe: a missing level is a group of its own.
-    renamed = quantiles.select(*[ref(c).alias(f"_r_{c}") for c in by], *points)
-    match = [ref(c).eqNullSafe(ref(f"_r_{c}")) for c in by]
-    return table.join(renamed, match, "left").drop(*[f"_r_{c}" for c in by])
+    return null_safe_join(table, quantiles, by, "left")
 
 
 def group_min_med_max(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -167,9 +165,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows behind :func:`duplicate_keys`. Repeats are counted with map-side combining and
     joined back, so one heavily repeated key is not sorted in one task."""
-    repeated = duplicate_keys(df, keys).select(*[ref(c).alias(f"_r_{c}") for c in keys])
-    match = [ref(c).eqNullSafe(ref(f"_r_{c}")) for c in keys]
-    return df.join(repeated, match, "left_semi")
+    return null_safe_join(df, duplicate_keys(df, keys).select(*_refs(keys)), keys, "left_semi")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import signif
 from riskloom.operators.ordered import BIN, known, running_totals
+from riskloom.operators.small import plain_keys, solid_keys
 
 _SINGLE = "_series"
 
@@ -37,7 +38,7 @@ def _points(df: DataFrame, truth: str, score: str, event: object, by: Sequence[s
         ref(score).cast("double").alias("_s"),
         (ref(truth) == F.lit(event)).cast("long").alias("_p"),
     ).where(known(ref("_s")) & ref("_p").isNotNull())
-    rows = rows.withColumn("_n", 1 - ref("_p"))
+    rows = solid_keys(rows, group).withColumn("_n", 1 - ref("_p"))
     counts = rows.groupBy(*[ref(c) for c in group], "_s").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return running_totals(counts, group, "_s", ["_p", "_n"], rows), group
 
@@ -79,7 +80,7 @@ def roc_curve(
         rows = F.when(lowest, F.array(point, *outer)).otherwise(F.array(point))
         curve = curve.select(*[ref(c) for c in group], F.explode(rows).alias("_row"))
         curve = curve.select(*[ref(c) for c in group], "_row.*")
-    return curve.drop(_SINGLE, "_p_ahead", "_n_ahead")
+    return plain_keys(curve, group).drop(_SINGLE, "_p_ahead", "_n_ahead")
 
 
 def _twice_wins() -> Column:
@@ -99,7 +100,8 @@ def auc(df: DataFrame, truth: str, score: str, event: object, by: Sequence[str]
         F.sum(_twice_wins()).alias("_twice"), F.sum("_p").alias("n_event"), F.sum("_n").alias("n_other")
     )
     area = _auc_of(ref("_twice"), ref("n_event"), ref("n_other"))
-    return out.select(*[ref(c) for c in group], area.alias("auc"), "n_event", "n_other").drop(_SINGLE)
+    out = out.select(*[ref(c) for c in group], area.alias("auc"), "n_event", "n_other")
+    return plain_keys(out, group).drop(_SINGLE)
 
 
 def roc_summary(
@@ -148,7 +150,7 @@ def roc_summary(
     if one_row:
         lowest = F.row_number().over(series.orderBy("threshold"))
         best = best.withColumn("_nth", lowest).where(ref("_nth") == 1).drop("_nth")
-    return best.drop(_SINGLE)
+    return plain_keys(best, group).drop(_SINGLE)
 
 
 def best_threshold(

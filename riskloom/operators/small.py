@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskloom.functions.columns import ref
 
 SMALL_ROWS = 20_000
 
@@ -31,9 +34,28 @@ def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
+def null_safe_join(big: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns where a missing level is a group of its own."""
+    side = small.select(*[ref(c).alias(f"_r_{c}") if c in set(by) else ref(c) for c in small.columns])
+    match = [ref(c).eqNullSafe(ref(f"_r_{c}")) for c in by]
+    return big.join(side, match, how).drop(*[f"_r_{c}" for c in by])
+
+
 def attach(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a settled result to the data on ``by``; on nothing when it is a single row."""
     if by:
-        return big.join(settled(small), list(by))
+        return null_safe_join(big, settled(small), by)
     row = small.first()
     return big.withColumns({c: F.lit(row[c]).cast(small.schema[c].dataType) for c in small.columns})
+
+
+def solid_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Wrap nullable group columns in a struct, which is never null itself, so that plain joins on
+    them keep the group of missing levels and still match the partitioning of windows."""
+    return df.withColumns({c: F.struct(ref(c).alias("v")) for c in by if df.schema[c].nullable})
+
+
+def plain_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Undo :func:`solid_keys`."""
+    wrapped = [c for c in by if c in df.columns and isinstance(df.schema[c].dataType, T.StructType)]
+    return df.withColumns({c: ref(c)["v"] for c in wrapped})
