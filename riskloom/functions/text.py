@@ -21,8 +21,11 @@ def title_case(text: Column) -> Column:
 
 
 def after_last_comma(text: Column) -> Column:
-    """What follows the last comma (the whole text when there is none); null when nothing does."""
-    tail = F.regexp_extract(text, r"\b[^,]+$", 0)
+    """The text after the last comma from its first word character on; null when there is none.
+
+    Cut by position first, so that the pattern only ever sees the tail.
+    """
+    tail = F.regexp_replace(F.substring_index(text, ",", -1), r"^[^\p{L}\p{M}\p{N}_]+", "")
     return F.when(tail != "", tail)
 
 

@@ -221,10 +221,11 @@ def permanova_terms(
 
     tasks = spark.range(0, chunks, 1, chunks)
     hits = tasks.mapInPandas(run, "ord long, hits long").groupBy("ord").agg(F.sum("hits").alias("hits"))
-    rows = [(i, factors[i], d, s, s / total, f) for i, ((d, s), f) in enumerate(zip(seen, observed))]
-    rows += [(len(rows), "Residuals", rest_df, rest, rest / total, None), (len(rows) + 1, "Total", n - 1, total, 1.0, None)]
+    whole = total if total > 0 else np.nan
+    rows = [(i, factors[i], d, s, s / whole, f) for i, ((d, s), f) in enumerate(zip(seen, observed))]
+    rows += [(len(rows), "Residuals", rest_df, rest, rest / whole, None), (len(rows) + 1, "Total", n - 1, total, 1.0, None)]
     base = spark.createDataFrame(
-        [(int(o), t, int(d), float(s), float(r), None if f is None or np.isnan(f) else float(f)) for o, t, d, s, r, f in rows],
+        [(int(o), t, int(d), float(s), None if np.isnan(r) else float(r), None if f is None or np.isnan(f) else float(f)) for o, t, d, s, r, f in rows],
         "ord long, term string, df long, sumsq double, r2 double, f double",
     )
     p = F.when(ref("f").isNotNull(), (ref("hits") + 1) / F.lit(permutations + 1.0))

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -67,15 +67,22 @@ class Fitted:
 
     def score(self, df: DataFrame, out: str = P) -> DataFrame:
         """Add P(event); rows with a missing predictor get null."""
-        needed = self.pipeline.stages[-2].getInputCols()
-        before = PipelineModel(self.pipeline.stages[:-2]).transform(df)
+        *made, packer, model = self.pipeline.stages
+        needed = list(packer.getInputCols())
+        ready = PipelineModel(made).transform(df)
+        if isinstance(model, GeneralizedLinearRegressionModel):
+            # As a plain expression the score stays in generated code, without a vector per row.
+            eta = F.lit(float(model.intercept))
+            for c, b in zip(needed, model.coefficients):
+                eta = eta + F.lit(float(b)) * ref(c)
+            return ready.withColumn("_score", 1 / (1 + F.exp(-eta))).select(*[ref(c) for c in df.columns], ref("_score").alias(out))
         gap = F.lit(False)
         for c in needed:
             gap = gap | ref(c).isNull()
-        filled = before.withColumn("_gap", gap).na.fill(0.0, subset=list(needed))
-        scored = PipelineModel(self.pipeline.stages[-2:]).transform(filled)
-        value = vector_to_array("probability")[1] if "probability" in scored.columns else ref("prediction")
-        return scored.withColumn("_score", F.when(~ref("_gap"), value)).select(*[ref(c) for c in df.columns], ref("_score").alias(out))
+        filled = ready.withColumn("_gap", gap).na.fill(0.0, subset=needed)
+        scored = PipelineModel([packer, model]).transform(filled)
+        value = F.when(~ref("_gap"), vector_to_array("probability")[1])
+        return scored.withColumn("_score", value).select(*[ref(c) for c in df.columns], ref("_score").alias(out))
 
     @property
     def summary(self):

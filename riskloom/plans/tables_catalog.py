@@ -69,7 +69,7 @@ def days_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, length(trim(lower(text))) AS lower_length, length(replace(replace(text, '-', ''), ',', '')) AS bare_length,
-  nullif(regexp_extract(text, '\b[^,]+$', 0), '') IS NULL AS no_tail, upper(substr(source, 1, 1)) || lower(substr(source, 2)) AS source_case,
+  NOT regexp_matches(regexp_extract(text, '[^,]*$', 0), '[\p{L}\p{M}\p{N}_]') AS no_tail, upper(substr(source, 1, 1)) || lower(substr(source, 2)) AS source_case,
   regexp_matches(text, '[0-9]{3}') AS has_number FROM documents""")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
