@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import tails
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import half_even
+from riskloom.operators.small import attach
 
 
 def corr_matrix(
@@ -100,25 +101,12 @@ def anova_one_way(df: DataFrame, value: str, factor: str, by: Sequence[str] = ()
     cells = rows.groupBy(*[ref(c) for c in [*by, factor]]).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(ref(value)).alias("_mean"), F.var_pop(ref(value)).alias("_var")
     )
-    weight = F.sum("_n")
-    spread = F.sum(ref("_n") * ref("_var"))
-    # Weighted spread of cell means about their weighted mean.
-    sums = cells.groupBy(*[ref(c) for c in by]).agg(
-        F.count(F.lit(1)).alias("_k"),
-        weight.alias("_total"),
-        spread.alias("ss_within"),
-        (F.sum(ref("_n") * ref("_mean")) / weight).alias("_centre"),
-        F.collect_list(F.struct("_n", "_mean")).alias("_cells"),
-    )
-    between = F.aggregate(
-        "_cells", F.lit(0.0), lambda acc, c: acc + c["_n"] * F.pow(c["_mean"] - ref("_centre"), F.lit(2.0))
-    )
-    out = sums.select(
-        *[ref(c) for c in by],
-        (ref("_k") - 1).alias("df_between"),
-        (ref("_total") - ref("_k")).alias("df_within"),
-        between.alias("ss_between"),
-        "ss_within",
+    centre = cells.groupBy(*[ref(c) for c in by]).agg((F.sum(ref("_n") * ref("_mean")) / F.sum("_n")).alias("_centre"))
+    out = attach(cells, centre, by).groupBy(*[ref(c) for c in by]).agg(
+        (F.count(F.lit(1)) - 1).alias("df_between"),
+        (F.sum("_n") - F.count(F.lit(1))).alias("df_within"),
+        F.sum(ref("_n") * F.pow(ref("_mean") - ref("_centre"), F.lit(2.0))).alias("ss_between"),
+        F.sum(ref("_n") * ref("_var")).alias("ss_within"),
     )
     ms_between = ref("ss_between") / F.nullif(ref("df_between"), F.lit(0))
     ms_within = ref("ss_within") / F.nullif(ref("df_within"), F.lit(0))

@@ -91,21 +91,29 @@ UNITS_SQL = """units AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def site_table(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
-    """Users x event types: log(1 + summed value) per taxon, 0 where a user has none."""
+# Amounts up to this are traces: a site has a taxon when it shows more of it at least once.
+TRACE = 120
+
+
+def site_table(spark: SparkSession, sf_dir: str, above: int | None = None) -> DataFrame:
+    """Users x event types: log(1 + summed value) per taxon, 0 where a user has none.
+
+    With ``above`` only larger amounts count as cover.
+    """
     events = table(spark, sf_dir, "events")
-    if days is not None:
-        events = events.where(F.dayofmonth("ts") <= days)
-    cover = [
-        F.log1p(F.coalesce(F.sum(F.when(ref("event_type") == t, ref("value"))), F.lit(0.0))).alias(t) for t in TAXA
-    ]
+
+    def counts(taxon: str) -> Column:
+        here = ref("event_type") == taxon
+        return here if above is None else here & (ref("value") > above)
+
+    cover = [F.log1p(F.coalesce(F.sum(F.when(counts(t), ref("value"))), F.lit(0.0))).alias(t) for t in TAXA]
     return events.groupBy("user_id").agg(*cover).withColumn("grp", F.concat(F.lit("g"), F.pmod("user_id", F.lit(3))))
 
 
-def site_sql(days: int | None = None) -> str:
-    cover = ", ".join(f"ln(1 + coalesce(sum(CASE WHEN event_type = '{t}' THEN value END), 0)) AS \"{t}\"" for t in TAXA)
-    only = "" if days is None else f"WHERE day(ts) <= {days}"
-    return f"sites AS (SELECT user_id, {cover}, 'g' || (user_id % 3) AS grp FROM events {only} GROUP BY user_id)"
+def site_sql(above: int | None = None) -> str:
+    more = "" if above is None else f" AND value > {above}"
+    cover = ", ".join(f"ln(1 + coalesce(sum(CASE WHEN event_type = '{t}'{more} THEN value END), 0)) AS \"{t}\"" for t in TAXA)
+    return f"sites AS (SELECT user_id, {cover}, 'g' || (user_id % 3) AS grp FROM events GROUP BY user_id)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

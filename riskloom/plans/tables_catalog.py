@@ -16,7 +16,7 @@ from riskloom.operators import ordered as O
 from riskloom.operators import prepare as P
 from riskloom.operators import profile as A
 from riskloom.operators.roc import to_series
-from riskloom.plans.registry import MEASURES, TAXA, as_long, query, rounded, site_sql, site_table, table
+from riskloom.plans.registry import MEASURES, TAXA, TRACE, as_long, query, rounded, site_sql, site_table, table
 
 
 @query("""SELECT l_linestatus AS line_status, l_orderkey AS order_key, l_quantity AS quantity, l_extendedprice AS extended_price,
@@ -267,14 +267,19 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a sample id made from the whole text; equal texts share it."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sample_id"))
+
+
 @query("""SELECT doc_id, lang, source, n_chars FROM (SELECT *, count(*) OVER (PARTITION BY text) AS c FROM documents) WHERE c > 1""")
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.duplicate_rows(table(spark, sf_dir, "documents"), ["text"]).select("doc_id", "lang", "source", "n_chars")
+    return A.duplicate_rows(_sampled(spark, sf_dir), ["sample_id"]).drop("sample_id")
 
 
 @query("""SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 def distinct_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.keep_first(table(spark, sf_dir, "documents"), ["text"], [ref("doc_id")]).select("doc_id", "lang", "source", "n_chars")
+    return A.keep_first(_sampled(spark, sf_dir), ["sample_id"], [ref("doc_id")]).drop("sample_id")
 
 
 @query("""SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem""")
@@ -295,13 +300,42 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("min", "yyyy-MM-dd HH:mm:ss").alias("min"), F.date_format("max", "yyyy-MM-dd HH:mm:ss").alias("max"))
 
 
-@query("""SELECT 'supplier' AS dataset, s_nationkey AS nationkey, s_acctbal AS acctbal, NULL AS c_mktsegment FROM supplier WHERE s_nationkey IN (1, 2, 3)
-UNION ALL SELECT 'customer', c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey IN (1, 2, 3)""")
+@query("""SELECT 'supplier' AS dataset, s_nationkey AS nationkey, s_acctbal AS acctbal, NULL AS c_mktsegment FROM supplier
+UNION ALL SELECT 'customer', c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def stack_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup, cust = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     sup = sup.select(ref("s_nationkey").alias("nationkey"), ref("s_acctbal").alias("acctbal"))
     cust = cust.select(ref("c_nationkey").alias("nationkey"), ref("c_acctbal").alias("acctbal"), *C.others(cust, "c_custkey", "c_name", "c_nationkey", "c_acctbal"))
-    return P.stack({"supplier": sup, "customer": cust}).where(ref("nationkey").isin(1, 2, 3))
+    return P.stack({"supplier": sup, "customer": cust})
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(ref("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS c_mktsegment FROM customer) WHERE c_mktsegment IS NOT NULL""")
+def drop_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = table(spark, sf_dir, "customer").select("c_custkey", F.when(ref("c_acctbal") >= 0, ref("c_mktsegment")).alias("c_mktsegment"))
+    return cust.na.drop(subset=C.columns_with_nulls(cust))
+
+
+@query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)""")
+def excluded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "nation").select(ref("n_nationkey").cast("long").alias("c_custkey"))
+    return P.exclude_keys(table(spark, sf_dir, "customer"), "c_custkey", keys).select("c_custkey", "c_acctbal")
+
+
+@query("""SELECT sample, round(CASE WHEN c0 IS NULL AND cover = 0 AND lof = 0 THEN 100 WHEN c0 IS NULL AND cover = 0 THEN 100 - film ELSE c0 END, 6) AS clean FROM
+  (SELECT l_orderkey * 10 + l_linenumber AS sample, l_partkey AS film_key, CASE WHEN l_discount > 0.08 THEN NULL WHEN l_discount < 0.01 THEN 0 ELSE l_extendedprice END AS c0,
+   l_tax AS cover, CASE WHEN l_quantity > 25 THEN 0 ELSE 1 END AS lof, l_quantity AS film FROM lineitem)""")
+def backfill_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    clean = F.when(ref("l_discount") > 0.08, F.lit(None)).when(ref("l_discount") < 0.01, F.lit(-1.0)).otherwise(ref("l_extendedprice"))
+    rating = F.when(ref("l_quantity") > 25, 0).otherwise(1)
+    repaired, _ = P.backfill_clean(clean, ref("l_quantity"), ref("l_tax"), rating)
+    out = li.select((ref("l_orderkey") * 10 + ref("l_linenumber")).alias("sample"), repaired.alias("clean"))
+    return rounded(out, "clean")
 
 
 @query("""WITH w AS (SELECT p_partkey, p_retailprice AS "price.list", p_size::DOUBLE AS "size.raw" FROM part)
@@ -311,10 +345,10 @@ def unpivot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.split_name(to_series(part, ["price~list", "size~raw"], ["p_partkey"]), "name", ["what", "kind"])
 
 
-@query(f"""WITH {site_sql(2)} SELECT user_id, round({' + '.join(TAXA)}, 6) AS total, CAST({' + '.join(f'(CASE WHEN {t} > 0 THEN 1 ELSE 0 END)' for t in TAXA)} AS INT) AS richness,
+@query(f"""WITH {site_sql(TRACE)} SELECT user_id, round({' + '.join(TAXA)}, 6) AS total, CAST({' + '.join(f'(CASE WHEN {t} > 0 THEN 1 ELSE 0 END)' for t in TAXA)} AS INT) AS richness,
   {', '.join(f'CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END AS {t}' for t in TAXA)} FROM sites""")
 def row_sum_richness_pa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = site_table(spark, sf_dir, 2)
+    sites = site_table(spark, sf_dir, TRACE)
     taxa = [ref(t) for t in TAXA]
     counted = sites.withColumn("total", F.round(N.row_sum(taxa), 6)).withColumn("richness", N.richness(taxa))
     return E.presence_table(counted, TAXA).select("user_id", "total", "richness", *TAXA)
