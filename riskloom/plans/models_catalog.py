@@ -9,7 +9,7 @@ from riskloom.functions.columns import ref
 from riskloom.operators import models as L
 from riskloom.operators import resample as S
 from riskloom.operators.roc import auc
-from riskloom.plans.registry import as_long, query, rounded, table, units
+from riskloom.plans.registry import query, rounded, table, units
 
 PREDICTORS = ["time_since_af", "ports_12m", "av_speed", "quantity", "late_days"]
 KEY = ["unit"]

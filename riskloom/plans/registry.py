@@ -34,10 +34,6 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(ref(c).cast("double"), digits) for c in names})
 
 
-def as_long(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: ref(c).cast("long") for c in names})
-
-
 # Stand-in roles of the driver tables: a lineitem row is a sample, an order is a unit, a user of
 # events is a site and an event type a taxon.
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

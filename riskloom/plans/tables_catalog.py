@@ -16,7 +16,7 @@ from riskloom.operators import ordered as O
 from riskloom.operators import prepare as P
 from riskloom.operators import profile as A
 from riskloom.operators.roc import to_series
-from riskloom.plans.registry import MEASURES, TAXA, TRACE, as_long, query, rounded, site_sql, site_table, table
+from riskloom.plans.registry import MEASURES, TAXA, TRACE, query, rounded, site_sql, site_table, table
 
 
 @query("""SELECT l_linestatus AS line_status, l_orderkey AS order_key, l_quantity AS quantity, l_extendedprice AS extended_price,
@@ -53,7 +53,7 @@ def level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = V.level_order(orders, "o_orderpriority", "o_totalprice")
     codes = P.numbered(orders.select("o_orderpriority"), "o_orderpriority", "code")
     out = levels.join(codes, "o_orderpriority").withColumn("reversed", codes.agg(F.max("code")).scalar() + 1 - ref("code"))
-    out = out.withColumn("stated", X.level_rank(ref("o_orderpriority"), ["5-LOW", "3-MEDIUM", "1-URGENT"]).cast("long"))
+    out = out.withColumn("stated", X.level_rank(ref("o_orderpriority"), ["5-LOW", "3-MEDIUM", "1-URGENT"]))
     return rounded(out, "stat", digits=4).select("o_orderpriority", "stat", "ord", "stated", "reversed")
 
 

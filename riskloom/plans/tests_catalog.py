@@ -13,7 +13,7 @@ from riskloom.operators import roc as R
 from riskloom.operators import rules as D
 from riskloom.operators.profile import unit_means
 from riskloom.plans.registry import (
-    MEASURES, SCORES_SQL, TAXA, TRACE, UNITS_SQL, as_long, query, rounded, scores, site_sql, site_table, table, units,
+    MEASURES, SCORES_SQL, TAXA, TRACE, UNITS_SQL, query, rounded, scores, site_sql, site_table, table, units,
 )
 
 PRED_17 = """CASE WHEN type IN ('Bulk', 'Tanker') AND (time_since_owm > 260 OR time_since_af > 260) OR (laid_up_more_10d > 0 AND ports_12m > 35) THEN 'fail'
@@ -136,9 +136,15 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curve, "threshold", "specificity", "sensitivity", digits=8)
 
 
-@query()
+@query(f"""WITH {_roc_sql(LINE_SERIES, 'name')} SELECT name, s AS threshold, NULL::VARCHAR AS beyond, round(spec, 8) AS specificity, round(sens, 8) AS sensitivity FROM r
+  UNION ALL SELECT name, NULL, 'low', 0, 1 FROM a UNION ALL SELECT name, NULL, 'high', 1, 0 FROM a""")
 def roc_curve_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.roc_curve(_measure_series(spark, sf_dir), "l_linestatus", "value", "F", ["name"])
+    """The ends at minus and plus infinity are shown by a label, as infinities do not compare well."""
+    curve = R.roc_curve(_measure_series(spark, sf_dir), "l_linestatus", "value", "F", ["name"])
+    infinite = F.abs("threshold") == float("inf")
+    beyond = F.when(infinite, F.when(ref("threshold") > 0, "high").otherwise("low"))
+    curve = curve.withColumn("beyond", beyond).withColumn("threshold", F.when(~infinite, ref("threshold")))
+    return rounded(curve, "specificity", "sensitivity", digits=8)
 
 
 @query(f"""WITH {_roc_sql(LINE_SERIES, 'name')} SELECT name, round(auc, 8) AS auc, CAST(pp AS BIGINT) AS n_event, CAST(nn AS BIGINT) AS n_other FROM a""")
@@ -172,11 +178,19 @@ def ordinal_score_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curve.withColumn("auc", area), "specificity", "sensitivity", "auc", digits=8)
 
 
-@query()
+def _signif_sql(x: str) -> str:
+    power = f"(floor(log10(abs({x}))) - 1)"
+    return f"round(CASE WHEN {x} = 0 THEN 0 ELSE round_even({x} / 10 ** {power}, 0) * 10 ** {power} END, 6)"
+
+
+@query(f"""WITH {_roc_sql(LINE_SERIES, 'name, l_returnflag')}, e AS (SELECT *, (1 - sens) ** 2 + (1 - spec) ** 2 AS corner FROM r WHERE k = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY name, l_returnflag ORDER BY round(corner, 12) DESC, s) AS nth FROM e)
+SELECT upper(substr(b.name, 3, 1)) || substr(b.name, 4) AS Predictor, b.name, b.l_returnflag, {_signif_sql('auc')} AS auc, {_signif_sql('s')} AS threshold,
+  {_signif_sql('spec')} AS specificity, {_signif_sql('sens')} AS sensitivity FROM b JOIN a ON a.name = b.name AND a.l_returnflag = b.l_returnflag WHERE nth = 1""")
 def roc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = R.roc_summary(_measure_series(spark, sf_dir), "l_linestatus", "value", "F", ["name", "l_returnflag"], tie="farthest", one_row=True)
     labels = spark.createDataFrame([(m, m.removeprefix("l_").capitalize()) for m in MEASURES], "name string, Predictor string")
-    return R.report_table(summary, labels)
+    return rounded(R.report_table(summary, labels), "auc", "threshold", "specificity", "sensitivity")
 
 
 SWEEP_SQL = f"""{SCORES_SQL}, g AS (SELECT k / 100.0::DOUBLE AS t FROM range(1, 100) x(k)),
@@ -247,12 +261,15 @@ def anova_one_way_ss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # With a two-level second factor the adjusted term has a closed form per first-factor level.
-@query(f"""WITH {ANOVA_LONG}, c AS (SELECT name, l_returnflag AS a, l_linestatus AS b, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY 1, 2, 3),
+TWO_WAY_SQL = f"""{ANOVA_LONG}, c AS (SELECT name, l_returnflag AS a, l_linestatus AS b, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY 1, 2, 3),
 ca AS (SELECT name, a, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1, 2), t AS (SELECT name, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1),
 p AS (SELECT name, a, max(CASE WHEN b = 'F' THEN n END) AS n1, max(CASE WHEN b = 'O' THEN n END) AS n0, max(CASE WHEN b = 'F' THEN m END) AS m1, max(CASE WHEN b = 'O' THEN m END) AS m0 FROM c GROUP BY 1, 2),
 s AS (SELECT t.name, (SELECT sum(ca.n * (ca.m - t.m) ** 2) FROM ca WHERE ca.name = t.name) AS s1,
   (SELECT sum(n1 * n0 / (n1 + n0) * (m1 - m0)) ** 2 / sum(n1 * n0 / (n1 + n0)) FROM p WHERE p.name = t.name) AS s2,
-  (SELECT sum(c.n * (c.m - t.m) ** 2) FROM c WHERE c.name = t.name) AS sc, (SELECT sum(c.n * c.v) FROM c WHERE c.name = t.name) AS rest, t.n - 6 AS rdf FROM t)
+  (SELECT sum(c.n * (c.m - t.m) ** 2) FROM c WHERE c.name = t.name) AS sc, (SELECT sum(c.n * c.v) FROM c WHERE c.name = t.name) AS rest, t.n - 6 AS rdf FROM t)"""
+
+
+@query(f"""WITH {TWO_WAY_SQL}
 SELECT name, term, CAST(df AS BIGINT) AS df, round(sumsq, 3) AS sumsq, round(sumsq / df / (rest / rdf), 5) AS f FROM
  (SELECT name, 'l_returnflag' AS term, 2 AS df, s1 AS sumsq, rest, rdf FROM s UNION ALL SELECT name, 'l_linestatus', 1, s2, rest, rdf FROM s UNION ALL SELECT name, 'l_returnflag:l_linestatus', 2, sc - s1 - s2, rest, rdf FROM s)""")
 def anova_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,14 +278,18 @@ def anova_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "term", "df", "sumsq", "f")
 
 
-@query()
-def anova_two_way_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.anova_two_way(_measure_series(spark, sf_dir), "value", "l_returnflag", "l_linestatus", ["name"])
+@query(f"""WITH {TWO_WAY_SQL}
+SELECT name, term, CAST(df AS BIGINT) AS df, round(sumsq, 3) AS sumsq, round(sumsq / df / ((rest + sc - s1 - s2) / (rdf + 2)), 5) AS f FROM
+ (SELECT *, 'l_returnflag' AS term, 2 AS df, s1 AS sumsq FROM s UNION ALL SELECT *, 'l_linestatus', 1, s2 FROM s)""")
+def anova_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.anova_two_way(_roots(spark, sf_dir), "value", "l_returnflag", "l_linestatus", ["name"], interaction=False)
+    out = rounded(rounded(out.where("term <> 'Residuals'"), "sumsq", digits=3), "f", digits=5)
+    return out.select("name", "term", "df", "sumsq", "f")
 
 
 @query()
-def anova_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.anova_two_way(_measure_series(spark, sf_dir), "value", "l_returnflag", "l_linestatus", ["name"], interaction=False)
+def anova_two_way_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.anova_two_way(_measure_series(spark, sf_dir), "value", "l_returnflag", "l_linestatus", ["name"])
 
 
 @query(f"""WITH {JUDGED_SQL}, t AS (SELECT type, {CELLS_SQL} FROM j GROUP BY 1),
@@ -351,6 +372,17 @@ def dispersion_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.centroid_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", digits=8).select("user_id", "grp", "dist")
 
 
+@query(f"""WITH {site_sql(TRACE)}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
+m AS (SELECT grp AS g, {', '.join(f'avg({t}) AS m_{t}' for t in TAXA)} FROM pa GROUP BY 1),
+d AS (SELECT grp, sqrt({' + '.join(f'({t} - m_{t}) ** 2' for t in TAXA)}) AS dist FROM pa JOIN m ON grp = g),
+c AS (SELECT grp, count(*) AS n, avg(dist) AS mean, var_pop(dist) AS v FROM d GROUP BY 1), t AS (SELECT sum(n * mean) / sum(n) AS mm FROM c),
+s AS (SELECT count(*) - 1 AS df_between, CAST(sum(n) AS BIGINT) - count(*) AS df_within, sum(n * (mean - mm) ** 2) AS ssb, sum(n * v) AS ssw FROM c CROSS JOIN t)
+SELECT df_between, df_within, round(ssb, 6) AS ss_between, round(ssw, 6) AS ss_within, round(ssb / df_between / (ssw / df_within), 6) AS f FROM s""")
+def dispersion_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = T.anova_one_way(E.centroid_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", "grp")
+    return rounded(out.drop("ms_between", "ms_within"), "ss_between", "ss_within", "f")
+
+
 @query()
 def dispersion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.functions.tails import f_tail_col
