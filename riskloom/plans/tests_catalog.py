@@ -196,7 +196,7 @@ def roc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWEEP_SQL = f"""{SCORES_SQL}, g AS (SELECT k / 100.0::DOUBLE AS t FROM range(1, 100) x(k)),
 m AS (SELECT lang, t, count(*) FILTER (quality = 1 AND score >= t) AS tp, count(*) FILTER (quality <> 1 AND score >= t) AS fp,
   count(*) FILTER (quality = 1 AND score < t) AS fn, count(*) FILTER (quality <> 1 AND score < t) AS tn FROM scores CROSS JOIN g GROUP BY 1, 2),
-w AS (SELECT lang, t, tp / (tp + fn) AS sens, tn / (tn + fp) AS spec, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM m)"""
+w AS (SELECT lang, t, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM m)"""
 
 
 @query(f"""WITH {SWEEP_SQL} SELECT t AS threshold, round(avg(sens), 8) AS sens, round(avg(spec), 8) AS spec, round(avg(accuracy), 8) AS accuracy,
