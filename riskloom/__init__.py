@@ -1 +1,24 @@
 """Inspection-risk analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import tempfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    Not needed where it is installed on the executors or submitted with ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="run-"), "riskloom")
+    shutil.make_archive(base, "zip", root_dir=os.path.dirname(here), base_dir="riskloom")
+    context.addPyFile(f"{base}.zip")
+    _shipped.add(context.applicationId)

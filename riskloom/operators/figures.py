@@ -22,6 +22,8 @@ def _refs(names: Sequence[str]) -> list[Column]:
 def hist_bins(df: DataFrame, value: str, bins: int, facet: Sequence[str] = (), fill: Sequence[str] = ()) -> DataFrame:
     """Counts per (facet, fill, bin). The first and last bins are centred on the facet's extremes;
     a value on an edge belongs to the lower bin. Empty bins are not listed."""
+    if bins < 2:
+        raise ValueError("at least two bins")
     rows = df.select(*_refs([*facet, *fill]), ref(value).cast("double").alias("_v")).where(ref("_v").isNotNull())
     edges = rows.groupBy(*_refs(facet)).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     joined = attach(rows, edges, facet)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import ship
 from riskloom.functions.columns import ref
 from riskloom.functions.text import recode
 
@@ -18,10 +20,15 @@ def query(sql: str | None = None):
     """Register a function under its name, with the SQL that must give the same rows."""
 
     def keep(fn):
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             SQL[fn.__name__] = sql
-        return fn
+        return run
 
     return keep
 

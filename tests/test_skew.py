@@ -67,3 +67,12 @@ def test_first_and_duplicates_on_a_hot_key(skewed):
     want = skewed.groupBy("g").agg(F.min("id").alias("id")).toPandas().set_index("g")["id"]
     assert first.sort_index().equals(want.sort_index())
     assert A.duplicate_rows(skewed, ["g"]).count() == 200_000
+
+
+def test_scan_reads_only_what_is_used(spark, tmp_path):
+    wide = spark.range(100).select(F.col("id"), *[(F.col("id") * i).cast("double").alias(f"c{i}") for i in range(8)], (F.col("id") % 2 == 0).alias("hit"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    back = spark.read.parquet(str(tmp_path / "wide"))
+    plan = R.auc(R.to_series(back, ["c1", "c2"], ["hit"]).where("hit IS NOT NULL"), "hit", "value", True, ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c1:double,c2:double,hit:boolean>" in plan
+    assert "PushedFilters: [IsNotNull(hit)]" in plan
