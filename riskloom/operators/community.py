@@ -124,7 +124,7 @@ def permanova(
     return out.select(
         "df_between", "df_within", "ss_between", "ss_within", "ss_total",
         (ref("ss_between") / F.nullif(ref("ss_total"), F.lit(0.0))).alias("r2"),
-        ((ref("ss_between") / ref("df_between")) / F.nullif(ref("ss_within") / ref("df_within"), F.lit(0.0))).alias("f"),
+        (ref("ss_between") / F.nullif(ref("df_between"), F.lit(0)) / F.nullif(ref("ss_within") / F.nullif(ref("df_within"), F.lit(0)), F.lit(0.0))).alias("f"),
     )
 
 

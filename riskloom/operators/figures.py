@@ -73,7 +73,7 @@ def count_bars(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mean_share(df: DataFrame, bar: Sequence[str], fill: str, value: str) -> DataFrame:
     """Mean of a value per (bar, fill) and its share of the bar."""
     means = df.groupBy(*_refs([*bar, fill])).agg(F.avg(ref(value)).alias("value"))
-    return means.withColumn("share", ref("value") / F.sum("value").over(W.partitionBy(*_refs(bar))))
+    return means.withColumn("share", ref("value") / F.nullif(F.sum("value").over(W.partitionBy(*_refs(bar))), F.lit(0.0)))
 
 
 def level_order(df: DataFrame, level: str, value: str, stat: str = "median") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.storagelevel import StorageLevel
 from riskloom.functions.columns import ref
 from riskloom.operators.confusion import confusion, with_metrics
 from riskloom.operators.profile import group_min_med_max
-from riskloom.operators.resample import cv_folds, factor_levels, fold_of, learn_scaling, smote
+from riskloom.operators.resample import factor_levels, fold_of, learn_scaling, smote
 from riskloom.operators.roc import auc
 from riskloom.sources.tables import checkpointed
 
@@ -272,7 +272,9 @@ def variable_importance(fitted: Fitted, spark) -> DataFrame:
 def dispersion(scored: DataFrame, truth: str, event: object, parameters: int, p: str = P) -> DataFrame:
     """Pearson dispersion of a fitted binomial model; about 1 when the model holds."""
     y = (ref(truth) == F.lit(event)).cast("double")
-    part = F.pow(y - ref(p), 2) / (ref(p) * (1 - ref(p)))
+    spread = ref(p) * (1 - ref(p))
+    # A probability of exactly 0 or 1 adds nothing when it is right and no finite amount when not.
+    part = F.when(spread > 0, F.pow(y - ref(p), 2) / F.nullif(spread, F.lit(0.0))).when(y == ref(p), F.lit(0.0)).otherwise(F.lit(float("inf")))
     rows = scored.where(ref(p).isNotNull() & y.isNotNull())
     return rows.agg(F.sum(part).alias("pearson"), (F.count(F.lit(1)) - parameters).alias("df")).withColumn(
         "ratio", ref("pearson") / F.nullif(ref("df"), F.lit(0))
@@ -296,7 +298,7 @@ class _Subsets:
         return Fitted(PipelineModel([self.plan.stage, pack, _glm().fit(pack.transform(rows))]), columns)
 
     def aic(self, terms: Sequence[str]) -> float:
-        if terms:
+        if terms and self.plan.columns(terms):
             return float(self.fit(terms).summary.aic)
         # Without predictors the fitted probability is the share of events.
         row = self.rows.agg(F.sum(LABEL).alias("e"), F.count(F.lit(1)).alias("n")).first()

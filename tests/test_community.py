@@ -153,3 +153,13 @@ def test_shares_and_means(sites):
     logged = E.site_means(df.withColumn("t1", F.when(F.col("site") != 0, F.col("t1"))), ["crms"], TAXA)
     got = {r["crms"]: r["t1"] for r in logged.collect()}
     assert got["fail"] is None and got["pass"] is not None
+
+
+def test_one_group_and_empty_bar_do_not_divide_by_zero(spark, sites):
+    from riskloom.operators import figures as V
+
+    rows, df = sites
+    row = E.permanova(E.presence_table(df, TAXA).withColumn("all", F.lit("x")), TAXA, "all").first()
+    assert row["df_between"] == 0 and row["f"] is None
+    empty = spark.createDataFrame([("a", "t", 0.0), ("b", "t", 1.0)], "bar string, name string, x double")
+    assert {r["bar"]: r["share"] for r in V.mean_share(empty, ["bar"], "name", "x").collect()} == {"a": None, "b": 1.0}

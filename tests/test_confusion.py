@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from riskloom.functions import tails
 from riskloom.operators import confusion as M
