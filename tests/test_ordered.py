@@ -31,11 +31,8 @@ def test_running_totals_match_sorting(spark):
 
 # Every case runs in one session; the frames are small.
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=40))
-def test_quantiles_match_numpy(values):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+@given(values=st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=40))
+def test_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     got = O.exact_quantiles(df, [], "x", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
     want = np.quantile(values, [0.25, 0.5, 0.9])
