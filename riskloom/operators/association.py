@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import tails
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import half_even
-from riskloom.operators.small import attach
+from riskloom.operators.small import attach, settled
 
 
 def corr_matrix(
@@ -101,6 +101,7 @@ def anova_one_way(df: DataFrame, value: str, factor: str, by: Sequence[str] = ()
     cells = rows.groupBy(*[ref(c) for c in [*by, factor]]).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(ref(value)).alias("_mean"), F.var_pop(ref(value)).alias("_var")
     )
+    cells = settled(cells)
     centre = cells.groupBy(*[ref(c) for c in by]).agg((F.sum(ref("_n") * ref("_mean")) / F.sum("_n")).alias("_centre"))
     out = attach(cells, centre, by).groupBy(*[ref(c) for c in by]).agg(
         (F.count(F.lit(1)) - 1).alias("df_between"),
@@ -184,7 +185,8 @@ def anova_two_way(
             out.insert(position, c, frame[c].iloc[0])
         return out
 
-    terms = cells.groupBy(*[ref(c) for c in group]).applyInPandas(fit, schema)
+    # A few rows per group, joined with their own residual row.
+    terms = settled(cells.groupBy(*[ref(c) for c in group]).applyInPandas(fit, schema))
     rest = terms.where(ref("term") == "Residuals").select(
         *[ref(c).alias(f"_r_{c}") for c in group], ref("df").alias("_rdf"), (ref("sumsq") / F.nullif(ref("df"), F.lit(0))).alias("_rms")
     )

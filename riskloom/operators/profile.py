@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import half_even, row_sum, strict_mean
 from riskloom.operators.ordered import exact_quantiles
-from riskloom.operators.small import null_safe_join
+from riskloom.operators.small import null_safe_join, settled
 
 
 def _refs(names: Sequence[str]) -> list[Column]:
@@ -39,12 +39,8 @@ def freq_table(df: DataFrame, column: str) -> DataFrame:
     """value, n, percent and valid_percent (share among known values; null on the null row)."""
     counts = df.groupBy(ref(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     valid = F.when(ref("value").isNotNull(), ref("n"))
-    return counts.select(
-        "value",
-        "n",
-        (ref("n") / counts.agg(F.sum("n")).scalar()).alias("percent"),
-        (valid / counts.agg(F.sum(valid)).scalar()).alias("valid_percent"),
-    )
+    totals = counts.agg(F.struct(F.sum("n").alias("all"), F.sum(valid).alias("valid"))).scalar()
+    return counts.select("value", "n", (ref("n") / totals["all"]).alias("percent"), (valid / totals["valid"]).alias("valid_percent"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, show_na: bool = True) -> DataFrame:
@@ -52,6 +48,8 @@ def crosstab(df: DataFrame, row: str, column: str, show_na: bool = True) -> Data
     cells = df.groupBy(ref(row), ref(column)).agg(F.count(F.lit(1)).alias("n"))
     if not show_na:
         cells = cells.where(ref(row).isNotNull() & ref(column).isNotNull())
+    # Cells are read three times below; settled, the data is scanned once.
+    cells = settled(cells)
     # Every row level takes the whole list of column levels (structs keep a null level), which is
     # as short as the category has levels.
     levels = cells.agg(F.collect_set(F.struct(ref(column).alias("level")))).scalar()
