@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import chat, line_dedup
-from riskloom.llm.base import query, table
+from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
