@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def sub_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``most_bytes`` (one row at least)."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:
@@ -104,3 +105,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def with_computed(docs: DataFrame, text: str, ddl: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """``docs`` with columns that a Python function finds from the texts, a few MB of text at a time.
+
+    ``make`` is called once for each task and gives a function from a list of texts (None for null) to one list
+    for each column of ``ddl``. Columns of ``docs`` with those names (in any case) are replaced in place; others are kept.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T.StructType.fromDDL(ddl)
+    names = {f.name.lower() for f in added}
+    kept = [c for c in docs.columns if c.lower() not in names]
+    schema = T.StructType([docs.schema[c] for c in kept] + list(added))
+    arrow = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for batch in sub_batches(batches, text):
+            new = [pa.array(values, field.type) for values, field in zip(find(batch.column(text).to_pylist()), arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=kept + arrow.names)
+
+    got = docs.mapInArrow(run, schema)
+    own = {c.lower() for c in docs.columns}
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns], *[f.name for f in added if f.name.lower() not in own])

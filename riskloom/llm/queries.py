@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, line_dedup
+from riskloom.llm import chat, language_id, line_dedup, secrets
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -59,3 +60,29 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.KINDS]
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+@query()
+def op10_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    dictionaries = language_id.fit(docs.where(~held_out))
+    got = language_id.identify(docs.select("doc_id", "text"), dictionaries)
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

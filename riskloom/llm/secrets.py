@@ -1,0 +1,101 @@
+"""Secret scans: stated patterns, and strings that a vocabulary can only spell in very short tokens."""
+
+from __future__ import annotations
+
+import base64
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from riskloom.llm.base import with_computed
+
+#: The kinds in their order, the patterns and the least lengths.
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+#: Every access or hex match and every candidate lies inside such a run.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Hex digests of common lengths (16, 20, 24, 28, 32, 48 and 64 bytes) and UUIDs are known, not random.
+DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.IGNORECASE)
+UUID = re.compile(r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\Z", re.IGNORECASE)
+
+
+def token_counter(path: str) -> Callable[[str], int]:
+    """Number of tokens under the byte-pair ranks in a tiktoken file."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    coded = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda s: len(coded.encode_ordinary(s))
+
+
+def is_identifier(run: str) -> bool:
+    """Numbers, or words of three letters and more joined by ``_ - / +``, each with up to four digits."""
+    parts = [p for p in re.split(r"[/_+=-]+|(?<=[a-z])(?=[A-Z])", run) if p]
+    return all(p.isdigit() or re.fullmatch(r"[A-Z]?[a-z]{2,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}", p) for p in parts)
+
+
+def scanner(count_tokens: Callable[[str], int], least_ratio: float = 2.0) -> Callable[[str], list[tuple[str, int, int]]]:
+    """Text to its spans ``(kind, start, end)`` in code points, by start, then kind in the stated order.
+
+    The first three kinds are the stated patterns, leftmost and not overlapping within a kind. ``random`` is a run of 16 or more
+    token characters that has a letter and a digit, is no digest, UUID or identifier, overlaps no other span and has fewer
+    than ``least_ratio`` characters for each token.
+    """
+
+    def scan(text: str) -> list[tuple[str, int, int]]:
+        found = []
+        low = text.lower()
+        if any(w in low for w in WORDS):
+            found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        runs = list(RUN.finditer(text))
+        for run in runs:
+            a, b = run.span()
+            for kind, pattern in (("access", ACCESS), ("hex", HEX)):
+                found += [(kind, m.start(), m.end()) for m in pattern.finditer(text, a, b)]
+        if runs:
+            taken = [(a, b) for _, a, b in found]
+            for run in runs:
+                s, (a, b) = run[0], run.span()
+                plain = not (any(map(str.isdigit, s)) and any(map(str.isalpha, s)))
+                if plain or DIGEST.match(s) or UUID.match(s) or is_identifier(s) or any(x < b and a < y for x, y in taken):
+                    continue
+                if len(s) < least_ratio * count_tokens(s):
+                    found.append(("random", a, b))
+        return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
+
+    return scan
+
+
+def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with every span (overlapping ones together) replaced by ``[SECRET]``."""
+    out, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def scan_secrets(docs: DataFrame, ranks: str, text: str = "text", least_ratio: float = 2.0) -> DataFrame:
+    """``docs`` with ``secrets`` (array of kind, start, end) and ``redacted``, the text without them.
+
+    ``ranks`` is the path of a tiktoken vocabulary that every executor can read. A null text has no spans and stays null.
+    Columns with those names are replaced; repeated rows are scanned each on its own.
+    """
+
+    def make():
+        scan = scanner(token_counter(ranks), least_ratio)
+
+        def find(texts):
+            spans = [scan(t) if t else [] for t in texts]
+            return [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], [redacted(t, s) if s else t for t, s in zip(texts, spans)]
+
+        return find
+
+    return with_computed(docs, text, "secrets array<struct<kind: string, start: bigint, end: bigint>>, redacted string", make)
