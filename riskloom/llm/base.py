@@ -125,9 +125,10 @@ def with_computed(docs: DataFrame, text: str, ddl: str, make: Callable[[], Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = make()
         for batch in sub_batches(batches, text):
-            new = [pa.array(values, field.type) for values, field in zip(find(batch.column(text).to_pylist()), arrow)]
+            got = find(batch.column(text).to_pylist())
+            new = [v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(got, arrow)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=kept + arrow.names)
 
-    got = docs.mapInArrow(run, schema)
+    mapped = docs.mapInArrow(run, schema)
     own = {c.lower() for c in docs.columns}
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], *[f.name for f in added if f.name.lower() not in own])
+    return mapped.select(*[F.col(f"`{c}`") for c in docs.columns], *[f.name for f in added if f.name.lower() not in own])

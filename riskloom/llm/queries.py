@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, language_id, line_dedup, secrets
+from riskloom.llm import chat, language_id, line_dedup, packing, secrets, sentencepieces
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -86,3 +86,19 @@ def op10_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionaries = language_id.fit(docs.where(~held_out))
     got = language_id.identify(docs.select("doc_id", "text"), dictionaries)
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op3_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
