@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -132,3 +133,41 @@ def with_computed(docs: DataFrame, text: str, ddl: str, make: Callable[[], Calla
     mapped = docs.mapInArrow(run, schema)
     own = {c.lower() for c in docs.columns}
     return mapped.select(*[F.col(f"`{c}`") for c in docs.columns], *[f.name for f in added if f.name.lower() not in own])
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal integer keys in batches that are sorted by them; longer runs come in parts of ``most``."""
+    held, held_key, n = [], None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *change.tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            key = tuple(int(c[a]) for c in columns)
+            for c in range(a, b, most or b - a):
+                part = batch.slice(c, min(most or b - a, b - c))
+                if held and (key != held_key or most and n + part.num_rows > most):
+                    yield held_key, pa.Table.from_batches(held)
+                    held, n = [], 0
+                held_key, n = key, n + part.num_rows
+                held.append(part)
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with equal keys together and in order, in as many partitions as shuffles have."""
+    return df.repartition(shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def joined_labels(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix the smallest index that each index reaches."""
+    labels = np.arange(len(linked))
+    while True:
+        least = np.minimum(labels, np.where(linked, labels, len(linked)).min(axis=1, initial=len(linked)))
+        least = np.minimum(least, least[least])
+        if (least == labels).all():
+            return labels
+        labels = least

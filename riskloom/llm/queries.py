@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, language_id, line_dedup, packing, secrets, sentencepieces
+from riskloom.llm import chat, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -65,7 +65,7 @@ def op7_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = secret_scan.scan_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -73,7 +73,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in secrets.KINDS]
+    counts = [count(k) for k in secret_scan.KINDS]
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
@@ -102,3 +102,8 @@ def op3_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFram
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query()
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
