@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces
+from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -107,3 +107,13 @@ def op3_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFram
 @query()
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
+@query()
+def op1_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op9_tiled_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
