@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces
+from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -117,3 +117,9 @@ def op1_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_tiled_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
