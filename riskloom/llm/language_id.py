@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import with_computed
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Compressible padding before each piece: without it zstandard stores short pieces raw, whatever the dictionary.
-PAD = b"\n" * 96
+#: Compressible padding: without it before a piece zstandard stores short ones raw, whatever the dictionary, and it looks
+#: for no match in the last eight bytes.
+PAD, TAIL = b"\n" * 96, b"\n" * 16
 PIECE = 2048
 UNKNOWN = "und"
 
@@ -44,28 +45,39 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", pieces: int = 4
     return {k: b"".join(v) for k, v in held.items()}
 
 
-def classifier(dictionaries: dict[str, bytes], level: int = 5, min_match: int = 4) -> Callable[[str | None], tuple[str, float]]:
-    """Text to (language, margin): how much longer the second-best encoding is, as a share of it."""
-    coders = []
+def encoders(dictionaries: dict[str, bytes], level: int, min_match: int) -> list[tuple[str, Callable[[bytes], bytes]]]:
+    found = []
     for name in sorted(dictionaries):
         content = dictionaries[name]
         params = zstandard.ZstdCompressionParameters.from_level(
-            level, source_size=PIECE + len(PAD), dict_size=len(content), min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False
+            level, source_size=PIECE + len(PAD + TAIL), dict_size=len(content), min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False
         )
-        if len(content) >= 8:
-            coded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            coded.precompute_compress(compression_params=params)
-            coders.append((name, zstandard.ZstdCompressor(dict_data=coded, compression_params=params).compress))
-        else:
-            coders.append((name, zstandard.ZstdCompressor(compression_params=params).compress))
+        if len(content) < 8:  # zstandard takes no shorter dictionary
+            found.append((name, zstandard.ZstdCompressor(compression_params=params).compress))
+            continue
+        coded = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coded.precompute_compress(compression_params=params)
+        found.append((name, zstandard.ZstdCompressor(dict_data=coded, compression_params=params).compress))
+    return found
+
+
+def classifier(dictionaries: dict[str, bytes], level: int = 5) -> Callable[[str | None], tuple[str, float]]:
+    """Text to (language, margin): how much longer the second-best encoding is, as a share of it.
+
+    Matches of four bytes and more count; a tie, as very short texts have it, is encoded again with matches of three.
+    """
+    coarse, fine = encoders(dictionaries, level, 4), encoders(dictionaries, level, 3)
 
     def classify(text: str | None) -> tuple[str, float]:
-        if not coders or not text or not any(map(str.isalpha, text)):
+        if not coarse or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         data = normalised(text)
-        parts = [PAD + data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        sizes = sorted((sum(len(coder(p)) for p in parts), name) for name, coder in coders)
-        margin = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        parts = [PAD + data[i : i + PIECE] + TAIL for i in range(0, len(data), PIECE)]
+        for coders in (coarse, fine):
+            sizes = sorted((sum([len(coder(p)) for p in parts]), name) for name, coder in coders)
+            margin = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            if margin:
+                break
         return sizes[0][1], margin
 
     return classify

@@ -17,6 +17,7 @@ HASHES, TREES, DEPTH = 64, 18, 3
 LEAST_AGREEING = 0.5
 _draw = np.random.default_rng(20240607)
 BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
+#: Odd factors: 1-16 for the words of a shingle, 39 and later for texts shorter than one.
 ODD = _draw.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 A = _draw.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 B = _draw.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -83,8 +84,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
-            whole = np.add.reduce(hashes[a:b] * ODD[40 : 40 + b - a]) + ODD[39] * np.uint64(b - a)
-            out.append(mixed(np.array([whole], np.uint64)))
+            whole = np.add.reduce(hashes[a:b] * ODD[40 : 40 + b - a], keepdims=True) + ODD[39:40] * np.uint64(b - a)
+            out.append(mixed(whole))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
