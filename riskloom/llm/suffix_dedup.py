@@ -152,7 +152,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     before[order[1:]] = order[:-1]
     at = np.arange(n)
     own = (before < 0) | (before == 0) | (at == 0)
-    own |= data[at - 1] != data[before - 1]
+    own |= data[at - 1] != data[np.maximum(before, 1) - 1]
     # the neighbour of the place before must be the one before this place's neighbour
     own[1:] |= before[:-1] + 1 != before[1:]
     i = np.flatnonzero(own & (before >= 0))
