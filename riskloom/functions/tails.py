@@ -13,15 +13,30 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(x), dtype=float)
 
 
-def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _lgamma(a) + _lgamma(b) - _lgamma(a + b)
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    """log gamma(z) less its leading terms (z - 1/2) log z - z + log(2 pi) / 2."""
+    near = np.minimum(z, 20.0)
+    exact = _lgamma(near) - ((near - 0.5) * np.log(near) - near + 0.5 * math.log(2 * math.pi))
+    far = np.maximum(z, 20.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * far * far)) / (far * far)) / (far * far)) / far
+    return np.where(z < 20, exact, series)
+
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    z = np.asarray(k, dtype=float) + 1
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + _stirling_rest(z)
+
+
+def _beta_front(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x^a (1 - x)^b / B(a, b), from terms that are small near the mean, so nothing cancels at any size."""
+    n = a + b
+    bulk = a * np.log1p((x * n - a) / a) + b * np.log1p((a - x * n) / b)
+    rest = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b)
+    return np.exp(bulk + rest + 0.5 * (np.log(a) + np.log(b) - np.log(n) - math.log(2 * math.pi)))
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -34,7 +49,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     c = np.ones_like(x)
     d = 1.0 / off_zero(1.0 - (a + b) * x / (a + 1.0))
     out = d.copy()
-    for m in range(1, 5000):
+    # it settles after a few times the root of the larger shape
+    for m in range(1, 200 + 20 * math.isqrt(int(max(a.max(initial=1), b.max(initial=1))))):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         before = out
@@ -47,39 +63,6 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gamma_upper(s: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma."""
-    out = np.ones_like(z)
-    log_scale = np.where(z > 0, s * np.log(np.where(z > 0, z, 1.0)) - z - _lgamma(s), -np.inf)
-    low = (z > 0) & (z < s + 1)
-    if low.any():
-        sl, zl = s[low], z[low]
-        term = total = 1.0 / sl
-        for k in range(1, 20000):
-            term = term * zl / (sl + k)
-            total = total + term
-            if np.all(term < total * 1e-16):
-                break
-        out[low] = 1.0 - np.exp(log_scale[low]) * total
-    high = z >= s + 1
-    if high.any():
-        sh, zh = s[high], z[high]
-        b = zh + 1 - sh
-        c = np.full_like(zh, 1e300)
-        d = 1.0 / b
-        h = d.copy()
-        for k in range(1, 20000):
-            an = -k * (k - sh)
-            b = b + 2
-            d = 1.0 / (an * d + b)
-            c = b + an / c
-            h = h * c * d
-            if np.all(np.abs(c * d - 1) < 1e-15):
-                break
-        out[high] = np.exp(log_scale[high]) * h
-    return out
-
-
 def beta_cdf(a, b, x) -> np.ndarray:
     """Regularised incomplete beta integral up to ``x``."""
     a, b, x = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
@@ -88,41 +71,12 @@ def beta_cdf(a, b, x) -> np.ndarray:
     out[known & (x <= 0)] = 0.0
     out[known & (x >= 1)] = 1.0
     inside = known & (x > 0) & (x < 1)
-    big, small = np.maximum(a, b), np.minimum(a, b)
-
-    use = inside & (big <= 1e5)
-    if use.any():
-        aa, bb, xx = a[use], b[use], x[use]
+    if inside.any():
+        aa, bb, xx = a[inside], b[inside], x[inside]
         swap = xx > (aa + 1) / (aa + bb + 2)
         p, q, y = np.where(swap, bb, aa), np.where(swap, aa, bb), np.where(swap, 1 - xx, xx)
-        front = np.exp(p * np.log(y) + q * np.log1p(-y) - _log_beta(p, q)) / p
-        part = front * _beta_fraction(p, q, y)
-        out[use] = np.where(swap, 1 - part, part)
-
-    # One very large shape: the beta tail is a gamma tail up to 1 / shape squared.
-    use = inside & (big > 1e5) & (small < 3000)
-    if use.any():
-        aa, bb, xx = a[use], b[use], x[use]
-        first = aa >= bb
-        z = np.where(first, -np.log(xx), -np.log1p(-xx)) * (big[use] + (small[use] - 1) / 2)
-        upper = _gamma_upper(small[use], z)
-        out[use] = np.where(first, upper, 1 - upper)
-
-    # Both large: integrate the density from x outwards over the reachable width.
-    use = inside & (big > 1e5) & (small >= 3000)
-    for i in np.flatnonzero(use.ravel()):
-        ai, bi, xi = a.flat[i], b.flat[i], x.flat[i]
-        mean = ai / (ai + bi)
-        width = math.sqrt(ai * bi / (ai + bi) ** 2 / (ai + bi + 1))
-        below = xi <= mean
-        edge = max(0.0, min(mean, xi) - 40 * width) if below else min(1.0, max(mean, xi) + 40 * width)
-        edge = max(edge, xi - 12 * width) if below else min(edge, xi + 12 * width)
-        t = (edge + xi) / 2 + (xi - edge) / 2 * _NODES
-        log_density = (ai - 1) * (np.log(t) - math.log(mean)) + (bi - 1) * (np.log1p(-t) - math.log1p(-mean))
-        n = ai + bi
-        log_norm = 1.5 * math.log(n) - 0.5 * math.log(2 * math.pi * ai * bi) - (1 / ai + 1 / bi - 1 / n) / 12
-        area = abs(xi - edge) / 2 * float(np.sum(_WEIGHTS * np.exp(log_density + log_norm)))
-        out.flat[i] = area if below else 1 - area
+        part = _beta_front(p, q, y) / p * _beta_fraction(p, q, y)
+        out[inside] = np.where(swap, 1 - part, part)
     return out
 
 
@@ -192,16 +146,53 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, weight[weight <= seen * (1 + 1e-7)].sum() / weight.sum()))
 
 
+def _log_binomial(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log of the binomial probability of k in n, by deviances; -inf outside 0 ... n."""
+    good = (k >= 0) & (k <= n)
+    k, n, p = np.where(good, k, 0.0), np.maximum(n, 0.0), np.clip(p, 1e-300, 1 - 1e-16)
+    inner = (k > 0) & (k < n)
+    kk, nn = np.where(inner, k, 1.0), np.where(inner, n, 2.0)
+    bulk = kk * np.log1p((nn * p - kk) / kk) + (nn - kk) * np.log1p((kk - nn * p) / (nn - kk))
+    # k! is gamma(k) k: the leading terms give sqrt(n / (2 pi k (n - k)))
+    rest = _stirling_rest(nn) - _stirling_rest(kk) - _stirling_rest(nn - kk) + 0.5 * (np.log(nn) - np.log(kk) - np.log(nn - kk) - math.log(2 * math.pi))
+    edge = np.where(k == 0, n * np.log1p(-p), n * np.log(p))
+    return np.where(good, np.where(inner, bulk + rest, edge), -np.inf)
+
+
+def log_hypergeometric(k, good, bad, take) -> np.ndarray:
+    """log probability of k good among ``take`` drawn without replacement."""
+    k, good, bad, take = (np.asarray(v, dtype=float) for v in (k, good, bad, take))
+    p = take / np.maximum(good + bad, 1)
+    return _log_binomial(k, good, p) + _log_binomial(take - k, bad, p) - _log_binomial(take, good + bad, p)
+
+
 def draw_hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """Random counts of good among ``take`` without replacement. The generator stops at 10^9 items;
-    beyond that a rounded normal with the exact mean and variance differs by less than 1e-4."""
+    """Random counts of good among ``take`` without replacement, exact at every size.
+
+    Ratio-of-uniforms rejection under the hat of Stadlober (1989), which needs the probability at the
+    mode and at the point tried, nothing more.
+    """
+    good, bad, take = (np.asarray(v, dtype=np.int64) for v in np.broadcast_arrays(good, bad, take))
     total = good + bad
-    if total.max(initial=0) < 1_000_000_000:
-        return rng.hypergeometric(good, bad, take)
+    low, high = np.maximum(0, take - bad), np.minimum(good, take)
     share = good / np.maximum(total, 1)
-    spread = np.sqrt(take * share * (1 - share) * (total - take) / np.maximum(total - 1, 1))
-    drawn = np.rint(rng.normal(take * share, spread)).astype(np.int64)
-    return np.clip(drawn, np.maximum(0, take - bad), np.minimum(good, take))
+    mean = take * share
+    spread = np.sqrt(mean * (1 - share) * (total - take) / np.maximum(total - 1, 1) + 0.5)
+    mode = np.clip(np.floor((take + 1.0) * ((good + 1.0) / (total + 2.0))), low, high)
+    top = log_hypergeometric(mode, good, bad, take)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    out = low.copy()
+    open_ = np.flatnonzero(high > low)
+    while len(open_):
+        u, v = 1 - rng.random(len(open_)), rng.random(len(open_))
+        tried = np.floor(mean.flat[open_] + 0.5 + width.flat[open_] * (v - 0.5) / u)
+        inside = (tried >= low.flat[open_]) & (tried <= high.flat[open_])
+        tried = np.where(inside, tried, low.flat[open_])
+        gain = log_hypergeometric(tried, good.flat[open_], bad.flat[open_], take.flat[open_]) - top.flat[open_]
+        taken = inside & (2 * np.log(u) <= gain)
+        out.flat[open_[taken]] = tried[taken].astype(np.int64)
+        open_ = open_[~taken]
+    return out
 
 
 def draw_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray, times: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import tails
 from riskloom.functions.columns import ref
 from riskloom.functions.numeric import half_even
-from riskloom.operators.small import attach, settled
+from riskloom.operators.small import attach
 
 
 def corr_matrix(
@@ -71,8 +71,9 @@ def corr_pvalues(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def drop_correlated(df: DataFrame, columns: Sequence[str], cutoff: float = 0.8, digits: int | None = 2) -> list[str]:
     """Columns to drop so that no pair stays above the cutoff.
 
-    Columns are visited from the largest mean absolute correlation down; of a pair above the cutoff
-    the one with the larger mean, over the columns still in, goes. The matrix is one small row.
+    Columns are visited from the largest mean absolute correlation down. Of a pair above the cutoff the
+    first goes when its mean exceeds the mean of all correlations of columns other than the second, else the second;
+    means are over the columns still in. The matrix is one small row.
     """
     size = len(columns)
     place = {c: i for i, c in enumerate(columns)}
@@ -86,9 +87,10 @@ def drop_correlated(df: DataFrame, columns: Sequence[str], cutoff: float = 0.8,
     for k, i in enumerate(order):
         for j in order[k + 1 :]:
             if live[i] and live[j] and m[i, j] > cutoff:
-                mean_i = np.nanmean(m[i, live])
-                mean_j = np.nanmean(np.delete(m, j, axis=0)[:, j])
-                live[i if mean_i > np.nan_to_num(mean_j) else j] = False
+                others = live.copy()
+                others[j] = False
+                mean_i, mean_rest = np.nanmean(m[i, live]), np.nanmean(m[np.ix_(others, live)])
+                live[i if mean_i > mean_rest else j] = False
     return [c for c in columns if not live[place[c]]]
 
 
@@ -101,7 +103,6 @@ def anova_one_way(df: DataFrame, value: str, factor: str, by: Sequence[str] = ()
     cells = rows.groupBy(*[ref(c) for c in [*by, factor]]).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(ref(value)).alias("_mean"), F.var_pop(ref(value)).alias("_var")
     )
-    cells = settled(cells)
     centre = cells.groupBy(*[ref(c) for c in by]).agg((F.sum(ref("_n") * ref("_mean")) / F.sum("_n")).alias("_centre"))
     out = attach(cells, centre, by).groupBy(*[ref(c) for c in by]).agg(
         (F.count(F.lit(1)) - 1).alias("df_between"),
@@ -117,34 +118,32 @@ def anova_one_way(df: DataFrame, value: str, factor: str, by: Sequence[str] = ()
 
 
 def _sequential(frame: pd.DataFrame, factors: Sequence[str], interaction: bool) -> list[tuple]:
-    """Term rows (term, df, sumsq) from cells with columns n, mean, ss, by nested weighted fits."""
-    n, mean = frame["_n"].to_numpy(float), frame["_mean"].to_numpy(float)
-    root = np.sqrt(n)
-    y = (mean - np.average(mean, weights=n)) * root
+    """Term rows (term, df, sumsq) from cells with columns n, mean, ss.
 
-    def dummies(name: str) -> np.ndarray:
-        levels = sorted(frame[name].unique())
-        return np.column_stack([(frame[name] == v).to_numpy(float) for v in levels])
-
-    a, b = dummies(factors[0]), dummies(factors[1])
-    blocks = [("term1", a), ("term2", b)]
+    The second factor is fitted after the first has been swept out, in a matrix of its levels by its levels; what the
+    two leave of the spread between cells is the interaction.
+    """
+    n = frame["_n"].to_numpy(float)
+    y = frame["_mean"].to_numpy(float) - np.average(frame["_mean"], weights=n)
+    (a, levels_a), (b, levels_b) = (pd.factorize(frame[f], sort=True) for f in factors)
+    between = float(n @ (y * y))
+    size_a, size_b = np.bincount(a, n), np.bincount(b, n)
+    sum_a, sum_b = np.bincount(a, n * y), np.bincount(b, n * y)
+    first = float((sum_a**2 / size_a).sum())
+    cross = np.zeros((len(levels_a), len(levels_b)))
+    np.add.at(cross, (a, b), n)
+    swept = np.diag(size_b) - cross.T @ (cross / size_a[:, None])
+    values, vectors = np.linalg.eigh((swept + swept.T) / 2)
+    fresh = vectors[:, values > 1e-9 * max(1.0, size_b.max())]
+    kept = values[values > 1e-9 * max(1.0, size_b.max())]
+    second = float((((sum_b - cross.T @ (sum_a / size_a)) @ fresh) ** 2 / kept).sum())
+    rows = [("term1", len(levels_a) - 1, first), ("term2", len(kept), second)]
+    used, left = len(levels_a) + len(kept), max(between - first - second, 0.0)
+    inside = float(frame["_ss"].sum())
     if interaction:
-        blocks.append(("term12", np.eye(len(n))))
-    basis = (root / np.linalg.norm(root))[:, None]
-    rows = []
-    left = float(y @ y)
-    for label, block in blocks:
-        design = block * root[:, None]
-        design = design - basis @ (basis.T @ design)
-        u, s, _ = np.linalg.svd(design, full_matrices=False)
-        fresh = u[:, s > max(1e-9, 1e-9 * np.sqrt(n.sum()))]
-        gained = float(np.sum((fresh.T @ y) ** 2))
-        rows.append((label, fresh.shape[1], gained))
-        left -= gained
-        basis = np.column_stack([basis, fresh])
-    rest = float(frame["_ss"].sum()) + (0.0 if interaction else max(left, 0.0))
-    rows.append(("Residuals", int(n.sum()) - basis.shape[1], rest))
-    return rows
+        rows.append(("term12", len(n) - used, left))
+        used, left = len(n), 0.0
+    return [*rows, ("Residuals", int(n.sum()) - used, inside + left)]
 
 
 def anova_two_way(
@@ -154,12 +153,11 @@ def anova_two_way(
     second: str,
     by: Sequence[str] = (),
     interaction: bool = True,
-    max_cells: int = 20_000,
 ) -> DataFrame:
     """Sequential analysis of variance (term, df, sumsq, meansq, f, p) per ``by`` group.
 
     The data is one aggregation to (by, first, second) cells; fits run on cells. Empty cells cost
-    their degrees of freedom. A group with more than ``max_cells`` cells is refused.
+    their degrees of freedom.
     """
     rows = df.where(ref(value).isNotNull() & ref(first).isNotNull() & ref(second).isNotNull())
     group = list(by) or ["_one"]
@@ -171,27 +169,22 @@ def anova_two_way(
     )
     names = {"term1": first, "term2": second, "term12": f"{first}:{second}", "Residuals": "Residuals"}
     schema = cells.select(*[ref(c) for c in group]).schema
-    for name, kind in (("ord", "integer"), ("term", "string"), ("df", "long"), ("sumsq", "double")):
+    for name, kind in (("ord", "integer"), ("term", "string"), ("df", "long"), ("sumsq", "double"), ("_rdf", "long"), ("_rms", "double")):
         schema = schema.add(name, kind)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > max_cells:
-            raise ValueError(f"more than {max_cells} cells in one analysis of variance")
         found = _sequential(frame, (first, second), interaction)
         out = pd.DataFrame(
             [(i, names[t], d, s) for i, (t, d, s) in enumerate(found)], columns=["ord", "term", "df", "sumsq"]
         )
+        _, rest, left = found[-1]
+        out["_rdf"], out["_rms"] = rest, left / rest if rest else np.nan
         for position, c in enumerate(group):
             out.insert(position, c, frame[c].iloc[0])
         return out
 
-    # A few rows per group, joined with their own residual row.
-    terms = settled(cells.groupBy(*[ref(c) for c in group]).applyInPandas(fit, schema))
-    rest = terms.where(ref("term") == "Residuals").select(
-        *[ref(c).alias(f"_r_{c}") for c in group], ref("df").alias("_rdf"), (ref("sumsq") / F.nullif(ref("df"), F.lit(0))).alias("_rms")
-    )
-    match = [ref(c).eqNullSafe(ref(f"_r_{c}")) for c in group]
-    table = terms.join(rest, match).withColumn("meansq", ref("sumsq") / F.nullif(ref("df"), F.lit(0)))
+    table = cells.groupBy(*[ref(c) for c in group]).applyInPandas(fit, schema)
+    table = table.withColumn("meansq", ref("sumsq") / F.nullif(ref("df"), F.lit(0)))
     tested = (ref("term") != "Residuals") & (ref("df") > 0) & (ref("_rms") > 0)
     table = table.withColumn("f", F.when(tested, ref("meansq") / ref("_rms")))
     p = tails.f_tail_col(F.coalesce(ref("f"), F.lit(0.0)), F.greatest(ref("df"), F.lit(1)).cast("double"), F.greatest(ref("_rdf"), F.lit(1)).cast("double"))
@@ -213,10 +206,6 @@ def fisher_2x2(df: DataFrame, row: Column, column: Column, by: Sequence[str] = (
     return cells.withColumn("p", tails.fisher_col("a", "b", "c", "d"))
 
 
-def _table_log_weight(tables: np.ndarray, log_fact: np.ndarray) -> np.ndarray:
-    return -log_fact[tables].sum(axis=(1, 2))
-
-
 def fisher_rxc(
     df: DataFrame,
     row: str,
@@ -226,7 +215,6 @@ def fisher_rxc(
     chunks: int = 16,
     seed: int = 1,
     show_na: bool = False,
-    max_levels: int = 200,
 ) -> DataFrame:
     """Monte-Carlo form of the exact test for tables of any shape: (by, n, exceed, replicates, p).
 
@@ -245,21 +233,13 @@ def fisher_rxc(
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         chunk = int(frame["_chunk"].iloc[0])
         a, b = frame["_a"].fillna("\0"), frame["_b"].fillna("\0")
-        if max(a.nunique(), b.nunique()) > max_levels:
-            raise ValueError(f"more than {max_levels} levels in one table")
         table = pd.crosstab(a, b, values=frame["_n"], aggfunc="sum").fillna(0).to_numpy().astype(np.int64)
         n = int(table.sum())
         rng = np.random.default_rng([seed, chunk, n])
-        # log k! for the cell sizes at hand; tables share their margins, so only cells matter.
-        top = int(min(table.sum(axis=0).max(), table.sum(axis=1).max()))
         drawn = tails.draw_tables(rng, table.sum(axis=1), table.sum(axis=0), share[chunk])
-        if top <= 5_000_000:
-            log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1, dtype=float)))])
-            seen = _table_log_weight(table[None], log_fact)[0]
-            weights = _table_log_weight(drawn, log_fact)
-        else:
-            seen = -tails._lgamma(table + 1.0).sum()
-            weights = -tails._lgamma(drawn + 1.0).sum(axis=(1, 2))
+        # tables share their margins, so only the factorials of the cells matter
+        seen = -tails.log_factorial(table).sum()
+        weights = -tails.log_factorial(drawn).sum(axis=(1, 2))
         slack = max(1e-7, 64 * np.finfo(float).eps * abs(seen))
         hits = int((weights <= seen + slack).sum())
         out = pd.DataFrame({"n": [n], "exceed": [hits], "replicates": [share[chunk]]})

@@ -22,9 +22,8 @@ from riskloom.functions import tails
 from riskloom.functions.columns import across, ref
 from riskloom.functions.numeric import presence, strict_mean
 from riskloom.operators.ordered import exact_quantiles
-from riskloom.operators.small import bounded, settled
+from riskloom.sources.tables import settled
 
-MAX_PROFILES = 4096
 
 
 def site_means(df: DataFrame, site: Sequence[str], taxa: Sequence[str], log: bool = True) -> DataFrame:
@@ -66,19 +65,18 @@ def profile_label(taxa: Sequence[str]) -> Column:
 
 
 def profile_distances(
-    table: DataFrame, taxa: Sequence[str], metric: str, key: Column | None = None, limit: int = MAX_PROFILES, blocks: int = 16
+    table: DataFrame, taxa: Sequence[str], metric: str, key: Column | None = None, blocks: int = 16
 ) -> DataFrame:
     """Distances (profile1, profile2, n1, n2, d) between different profiles, each pair once.
 
     ``metric`` is ``bray``, ``jaccard`` or ``euclid``; ``table`` comes from :func:`profiles`. Two
     sites of one profile are at distance 0, any other two at that of their profiles, so this is the
-    whole distance matrix. It is quadratic in profiles, so more than ``limit`` of them is an error.
-    Pairs are matched by block pair, which spreads them evenly over tasks. The distance of two
+    whole distance matrix: quadratic in profiles, not in sites. Pairs are matched by block pair, which spreads them evenly over tasks. The distance of two
     empty profiles is undefined and cannot occur, as they are the same profile.
     """
     key = profile_label(taxa) if key is None else key
     vector = F.array(*[ref(c).cast("double") for c in taxa])
-    items = bounded(table.select(key.alias("p"), "n_sites", vector.alias("v")), limit, "different profiles")
+    items = settled(table.select(key.alias("p"), "n_sites", vector.alias("v")))
     block = F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int")
     placed = items.withColumn("b", block)
     # Block pair (low, high): the left side serves as low or as high, whichever its partner is not.
@@ -93,16 +91,16 @@ def profile_distances(
 
 
 def permanova(
-    sites: DataFrame, taxa: Sequence[str], group: str, metric: str = "bray", limit: int = MAX_PROFILES
+    sites: DataFrame, taxa: Sequence[str], group: str, metric: str = "bray"
 ) -> DataFrame:
     """One-factor distance-based analysis of variance: df, sums of squares, R2 and F.
 
     SS is the sum of squared distances over pairs divided by the number of sites, over all pairs and
-    within groups; pairs are counted by profile.
+    within groups; pairs are counted by profile. Sites with a null in a taxon or without a group are left out.
     """
-    known = sites.where(ref(group).isNotNull()).withColumn("_p", profile_label(taxa))
+    known = sites.na.drop(subset=[*taxa, group]).withColumn("_p", profile_label(taxa))
     counts = settled(known.groupBy(ref("_p").alias("p"), ref(group).alias("g")).agg(F.count(F.lit(1)).alias("c")))
-    dist = profile_distances(profiles(known, taxa), taxa, metric, limit=limit)
+    dist = profile_distances(profiles(known, taxa), taxa, metric)
     square = ref("d") * ref("d")
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
     whole = dist.agg(F.coalesce(F.sum(square * ref("n1") * ref("n2")), F.lit(0.0)).alias("s"))
@@ -128,21 +126,47 @@ def permanova(
     )
 
 
-def _centred(d2: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Inner products about the weighted mean, from squared distances."""
-    share = weight / weight.sum()
-    row = d2 @ share
-    return -0.5 * (d2 - row[:, None] - row[None, :] + share @ row)
+def _squared_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Squared distances of rows of ``a`` to rows of ``b``, taxon by taxon; two empty profiles are at 0."""
+    apart, both, square = (np.zeros((len(a), len(b))) for _ in range(3))
+    for t in range(a.shape[1]):
+        gap = np.abs(a[:, t, None] - b[None, :, t])
+        apart += gap
+        square += gap * gap
+        both += a[:, t, None] + b[None, :, t]
+    if metric == "euclid":
+        return square
+    bray = np.divide(apart, both, out=np.zeros_like(apart), where=both != 0)
+    return (bray if metric == "bray" else 2 * bray / (1 + bray)) ** 2
 
 
-def _terms_ss(gower: np.ndarray, cells: np.ndarray, terms: Sequence[np.ndarray]) -> list[float]:
-    """Sequential sums of squares of factors given profile x cell counts.
+def _inner_sums(vectors: np.ndarray, weight: np.ndarray, tables: np.ndarray, metric: str, rows: int = 256) -> tuple[np.ndarray, float]:
+    """Sums of centred inner products between the cells of each table, and the total about the mean.
 
-    ``terms`` holds a cell x level 0/1 matrix per factor. Only cell sizes and cell sums of inner
-    products enter, so sites never do.
+    Distances are made for a block of profiles at a time and used for all tables at once, so no task holds
+    a matrix of all profiles.
+    """
+    share = weight / weight.sum()
+    inner = np.zeros((len(tables), tables.shape[2], tables.shape[2]))
+    lifted = np.zeros((len(tables), tables.shape[2]))
+    spread = 0.0
+    for start in range(0, len(vectors), rows):
+        d2 = _squared_distances(vectors[start : start + rows], vectors, metric)
+        mean = d2 @ share
+        part = tables[:, start : start + rows].astype(float)
+        inner += np.einsum("pic,pid->pcd", part, np.einsum("ij,pjd->pid", d2, tables, optimize=True))
+        lifted += np.einsum("pic,i->pc", part, mean)
+        spread += float(share[start : start + rows] @ mean)
+    size = tables.sum(axis=1).astype(float)
+    centred = inner - lifted[:, :, None] * size[:, None, :] - size[:, :, None] * lifted[:, None, :] + spread * size[:, :, None] * size[:, None, :]
+    return -0.5 * centred, 0.5 * spread * weight.sum()
+
+
+def _terms_ss(inner: np.ndarray, size: np.ndarray, terms: Sequence[np.ndarray]) -> list[tuple[int, float]]:
+    """Sequential (df, sum of squares) of factors from cell sums of inner products and cell sizes.
+
+    ``terms`` holds a cell x level 0/1 matrix per factor.
     """
-    inner = cells.T @ gower @ cells
-    size = cells.sum(axis=0)
     basis = np.sqrt(size)[:, None] / np.sqrt(size.sum())
     root = np.where(size > 0, 1 / np.sqrt(np.maximum(size, 1)), 0.0)
     scaled = inner * root[:, None] * root[None, :]
@@ -165,38 +189,27 @@ def permanova_terms(
     permutations: int = 999,
     chunks: int = 32,
     seed: int = 1,
-    limit: int = MAX_PROFILES,
-    max_cells: int = 500,
 ) -> DataFrame:
     """Sequential terms with permutation p: (ord, term, df, sumsq, r2, f, p) plus Residuals, Total.
 
     Permuting labels over sites is drawing a profile x cell count table with the observed margins.
-    Spark makes the counts and the distances and spreads the permutations over tasks; what a task
-    holds is the profile distance matrix, bounded by ``limit``, and the count table.
+    Spark makes the counts and spreads the permutations over tasks. What is collected and sent to the tasks is one row of
+    taxa and counts for each different profile, never a site and never a distance: tasks make distances block by block.
     """
     spark = sites.sparkSession
-    known = sites.na.drop(subset=[*taxa, *factors]).withColumn("_p", profile_label(taxa))
-    counts = known.groupBy("_p", *[ref(c) for c in factors]).agg(F.count(F.lit(1)).alias("_c"))
-    # profiles x cells, at most limit x max_cells rows.
-    flat = counts.limit(limit * max_cells + 1).toPandas()
-    names = sorted(flat["_p"].unique())
-    cells = flat[list(factors)].drop_duplicates().sort_values(list(factors)).reset_index(drop=True)
-    if len(names) > limit or len(cells) > max_cells:
-        raise ValueError(f"more than {limit} profiles or {max_cells} factor cells")
-    place = {p: i for i, p in enumerate(names)}
-    cell_of = {tuple(r): i for i, r in enumerate(cells.itertuples(index=False))}
-    table = np.zeros((len(names), len(cells)), dtype=np.int64)
-    for row in flat.itertuples(index=False):
-        table[place[row[0]], cell_of[tuple(row[1:-1])]] = row[-1]
-    d2 = np.zeros((len(names), len(names)))
-    for row in profile_distances(profiles(known, taxa), taxa, metric, limit=limit).toPandas().itertuples(index=False):
-        i, j = place[row[0]], place[row[1]]
-        d2[i, j] = d2[j, i] = row[4] ** 2
-    gower = _centred(d2, table.sum(axis=1).astype(float))
+    known = sites.na.drop(subset=[*taxa, *factors])
+    wide = known.groupBy(*[ref(c) for c in [*taxa, *factors]]).agg(F.count(F.lit(1)).alias("_c")).toPandas()
+    cells = wide[list(factors)].drop_duplicates().sort_values(list(factors)).reset_index(drop=True)
+    at_cell = wide[list(factors)].merge(cells.reset_index(), on=list(factors))["index"].to_numpy()
+    vectors, at = np.unique(wide[list(taxa)].to_numpy(float), axis=0, return_inverse=True)
+    table = np.zeros((len(vectors), len(cells)), dtype=np.int64)
+    np.add.at(table, (at.ravel(), at_cell), wide["_c"].to_numpy(np.int64))
+    weight = table.sum(axis=1).astype(float)
     terms = [pd.get_dummies(cells[f]).to_numpy(float) for f in factors]
-    seen = _terms_ss(gower, table.astype(float), terms)
+    size = table.sum(axis=0).astype(float)
+    inner, total = _inner_sums(vectors, weight, table[None], metric)
+    seen = _terms_ss(inner[0], size, terms)
     n = int(table.sum())
-    total = float(np.sum(np.diag(gower) * table.sum(axis=1)))
     rest_df = n - 1 - sum(d for d, _ in seen)
     rest = total - sum(s for _, s in seen)
 
@@ -205,17 +218,18 @@ def permanova_terms(
         return [(s / d) / (left / rest_df) if d and left > 0 and rest_df > 0 else np.nan for d, s in found]
 
     observed = ratios(seen)
-    held = spark.sparkContext.broadcast((gower, table, terms))
+    held = spark.sparkContext.broadcast((vectors, table, terms))
     share = [permutations // chunks + (1 if i < permutations % chunks else 0) for i in range(chunks)]
 
     def run(frames):
-        inner, counted, blocks = held.value
+        rows, counted, blocks = held.value
         for frame in frames:
             for chunk in frame["id"]:
                 rng = np.random.default_rng([seed, int(chunk)])
                 hits = np.zeros(len(observed), dtype=np.int64)
-                for drawn in tails.draw_tables(rng, counted.sum(axis=1), counted.sum(axis=0), share[int(chunk)]):
-                    found = ratios(_terms_ss(inner, drawn.astype(float), blocks))
+                drawn = tails.draw_tables(rng, counted.sum(axis=1), counted.sum(axis=0), share[int(chunk)])
+                for sums in _inner_sums(rows, counted.sum(axis=1).astype(float), drawn, metric)[0]:
+                    found = ratios(_terms_ss(sums, counted.sum(axis=0).astype(float), blocks))
                     hits += [f >= o - 1e-9 * abs(o) for f, o in zip(found, observed)]
                 yield pd.DataFrame({"ord": np.arange(len(hits)), "hits": hits})
 
@@ -272,9 +286,7 @@ def shuffled_labels(
     the group sizes. The cuts are exact quantiles, found from bin counts, so no permutation is
     sorted or shuffled as a whole: a site compares its number with the cuts and takes its label.
     """
-    sizes = [(r[0], r[1]) for r in sites.groupBy(ref(group)).agg(F.count(F.lit(1))).orderBy(ref(group)).limit(1001).collect()]
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 groups")
+    sizes = [(r[0], r[1]) for r in sites.groupBy(ref(group)).agg(F.count(F.lit(1))).orderBy(ref(group)).collect()]
     total = sum(n for _, n in sizes)
     draw = F.xxhash64(*[ref(c) for c in key], ref("permutation"), F.lit(seed).cast("long"))
     number = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))

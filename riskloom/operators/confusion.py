@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import tails
 from riskloom.functions.columns import ref
-from riskloom.operators.small import settled
+
 
 CELLS = ["tp", "fp", "fn", "tn"]
 
@@ -167,7 +167,6 @@ def threshold_sweep(
     rows = rows.where(ref("_s").isNotNull() & ~F.isnan("_s") & ref("_p").isNotNull())
     rows = rows.withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(steps), step)))
     counts = rows.groupBy(*[ref(c) for c in group], "_k").agg(F.sum("_p").alias("_p"), F.sum(1 - ref("_p")).alias("_n"))
-    counts = settled(counts)
     # A zero row per threshold, so that steps without scores are present.
     grid = (
         counts.select(*[ref(c) for c in group]).distinct()

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ref
-from riskloom.functions.numeric import hash_unit
 from riskloom.operators.ordered import exact_quantiles, ranked_codes
 from riskloom.operators.profile import MEDIAN, QUARTILES, count_by, group_share
 from riskloom.operators.small import attach
@@ -92,12 +91,6 @@ def heat_grid(status: DataFrame, unit: str, area: str, value: str, unit_stat: st
     return status.join(areas, area, "left").join(units, unit, "left")
 
 
-def scatter(df: DataFrame, x: str, y: str, key: str, keep: Sequence[str] = (), limit: int | None = None, seed: int = 1) -> DataFrame:
-    """Points of two measures; above ``limit`` rows a drawing takes a fixed-seed sample by key."""
-    points = df.select(*_refs([key, x, y, *keep]))
-    if limit is None:
-        return points
-    total = points.count()
-    if total <= limit:
-        return points
-    return points.where(hash_unit(ref(key), seed=seed) < F.lit(limit / total))
+def scatter(df: DataFrame, x: str, y: str, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Points of two measures."""
+    return df.select(*_refs([key, x, y, *keep]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -118,7 +119,7 @@ def fit_logistic(df: DataFrame, truth: str, event: object, predictors: Sequence[
 
 def fit_forest(
     df: DataFrame, truth: str, event: object, predictors: Sequence[str],
-    trees: int = 1000, mtry: int = 2, depth: int = 10, scale: bool = True, seed: int = 1,
+    trees: int = 1000, mtry: int = 2, depth: int = 30, scale: bool = True, seed: int = 1,
 ) -> Fitted:
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol=LABEL, numTrees=trees, featureSubsetStrategy=str(mtry), maxDepth=depth, seed=seed
@@ -147,6 +148,11 @@ EXTREME_GRID = [
 ]
 
 
+def job_seed(seed: int, repeat: int, fold: int) -> int:
+    """A seed of its own for every resample."""
+    return zlib.crc32(f"{seed}:{repeat}:{fold}".encode())
+
+
 def cross_validate(
     df: DataFrame,
     key: Sequence[str],
@@ -180,7 +186,7 @@ def cross_validate(
             if not oversample:
                 return repeat, fold, fit(train)
             marked = train.withColumn("_rare", (ref(truth) == F.lit(event)) == F.lit(event_rare)).na.drop(subset=numeric)
-            train = smote(marked, "_rare", True, numeric, key, seed=seed % 1000 + repeat * 10 + fold).drop("_rare")
+            train = smote(marked, "_rare", True, numeric, key, seed=job_seed(seed, repeat, fold)).drop("_rare")
             train = train.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 return repeat, fold, fit(train)

@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ref
-from riskloom.operators.small import null_safe_join, plain_keys, settled, solid_keys
+from riskloom.operators.small import null_safe_join, plain_keys, solid_keys
+from riskloom.sources.tables import settled
 
 BIN = "_bin"
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions.columns import ref
+from riskloom.sources.tables import checkpointed
 
 
 def lookup_join(
@@ -76,11 +77,16 @@ def stack(parts: Mapping[str, DataFrame], label: str = "dataset") -> DataFrame:
 def numbered(values: DataFrame, value: str, name: str) -> DataFrame:
     """1, 2, ... over the distinct values in ascending order, at any number of values.
 
-    Values are sorted by range, so each task numbers its own slice from a known start.
+    Values are dealt by range; each slice is numbered on its own, from the rows of the slices before.
     """
-    ordered = values.select(ref(value)).distinct().orderBy(ref(value).asc_nulls_last())
-    schema = T.StructType(list(ordered.schema.fields)).add(name, "long")
-    return ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)).toDF(schema)
+    order = ref(value).asc_nulls_last()
+    dealt = values.select(ref(value)).distinct().repartitionByRange(order).withColumn("_slice", F.spark_partition_id())
+    sliced = checkpointed(dealt)  # a slice's number must not change between its two readings
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_slice", before.alias("_before"))  # one row a slice
+    inside = F.row_number().over(W.partitionBy("_slice").orderBy(order))
+    return sliced.withColumn("_i", inside).join(starts, "_slice").select(ref(value), (ref("_i") + ref("_before")).cast("long").alias(name))
 
 
 def backfill_clean(clean: Column, film: Column, cover: Column, rating: Column) -> tuple[Column, Column]:

@@ -53,15 +53,14 @@ def smote(
     over_ratio: float = 1.0,
     seed: int = 1,
     block_rows: int = 10_000,
-    slabs: int = 256,
 ) -> DataFrame:
     """Add minority rows between a minority row and one of its nearest minority neighbours until
     the minority has about ``over_ratio`` times the other rows.
 
-    Up to ``block_rows`` minority rows neighbours are exact. A larger minority is cut into slabs
-    along one projection of its standardised features and each slab into parts of ``block_rows``
-    rows, and neighbours are the nearest of a part; a value shared by many rows thus never makes a
-    large part. Draws are fixed by row key and seed.
+    The minority is sorted along one projection of its standardised features and cut into parts of about
+    ``block_rows`` rows; rows that share a value are told apart by a tiny share of the row's hash, so that no part is
+    large. The neighbours of a row are the nearest in its own and the two adjoining parts. Draws are fixed by row key
+    and seed.
     """
     is_minor = ref(label) == F.lit(minority)
     stats = df.agg(
@@ -83,20 +82,14 @@ def smote(
     ]
     zs = [f"_z{i}" for i in range(len(features))]
     rows = minor.select("*", *scaled)
-    slab, parts = F.lit(0), F.lit(1)
-    if n > block_rows:
-        direction = np.random.default_rng(seed).normal(size=len(features))
-        along = sum((ref(z) * F.lit(float(w)) for z, w in zip(zs, direction)), F.lit(0.0))
-        rows = rows.withColumn("_along", along)
-        points = [i / slabs for i in range(1, slabs)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("_along", points, 10_000)).first()[0]))
-        slab = F.size(F.filter(F.lit(cuts), lambda c: c <= ref("_along")))
-    rows = rows.withColumn("_slab", slab)
-    if n > block_rows:
-        sizes = {r["_slab"]: r["_c"] for r in rows.groupBy("_slab").agg(F.count(F.lit(1)).alias("_c")).collect()}
-        table = F.create_map(*[F.lit(v) for s, c in sizes.items() for v in (s, math.ceil(c / block_rows))])
-        parts = F.element_at(table, ref("_slab"))
-    rows = rows.withColumn("_part", F.floor(hash_unit(*[ref(c) for c in key], seed=seed + 1) * parts).cast("int"))
+    direction = np.random.default_rng(seed).normal(size=len(features))
+    along = sum((F.coalesce(ref(z), F.lit(0.0)) * F.lit(float(w)) for z, w in zip(zs, direction)), F.lit(0.0))
+    rows = rows.withColumn("_along", along + hash_unit(*[ref(c) for c in key], seed=seed + 1) * 1e-9)
+    count = math.ceil(n / block_rows)
+    points = [i / count for i in range(1, count)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("_along", points, 20 * count)).first()[0])) if points else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= ref("_along"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_own", part)
     extra = F.lit(math.floor(per_row)) + (hash_unit(*[ref(c) for c in key], seed=seed) < F.lit(per_row % 1)).cast("int")
     rows = rows.withColumn("_extra", extra)
 
@@ -104,13 +97,14 @@ def smote(
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(key), kind="stable").reset_index(drop=True)
-        repeat = frame["_extra"].to_numpy(int)
+        here = int(frame["_part"].iloc[0])
+        repeat = np.where(frame["_own"].to_numpy() == here, frame["_extra"].to_numpy(int), 0)
         k = min(neighbours, len(frame) - 1)
         base = np.repeat(np.arange(len(frame)), repeat)
         out = frame.iloc[base][columns].reset_index(drop=True)
         if k < 1:
             return out
-        rng = np.random.default_rng([seed, int(frame["_slab"].iloc[0]), int(frame["_part"].iloc[0])])
+        rng = np.random.default_rng([seed, here])
         near = _nearest(frame[zs].to_numpy(float), k)
         mate = near[base, rng.integers(0, k, len(base))]
         share = rng.random(len(base))
@@ -121,7 +115,9 @@ def smote(
 
     typed = df.select(*[ref(c).cast("double").alias(c) if c in set(features) else ref(c) for c in df.columns])
     fresh = rows.select(*[ref(c).cast("double").alias(c) if c in set(features) else ref(c) for c in rows.columns])
-    made = fresh.groupBy("_slab", "_part").applyInPandas(make, typed.schema)
+    # a row is a candidate in the parts on both sides of its own
+    seen = fresh.withColumn("_part", F.explode(F.sequence(F.greatest(ref("_own") - 1, F.lit(0)), F.least(ref("_own") + 1, F.lit(len(cuts))))))
+    made = seen.groupBy("_part").applyInPandas(make, typed.schema)
     return typed.unionByName(made)
 
 
@@ -235,9 +231,6 @@ def impute_trees(
     return work.select(*[ref(c) for c in df.columns])
 
 
-def factor_levels(df: DataFrame, column: str, limit: int = 100) -> list[str]:
-    """Sorted levels of a category; more than ``limit`` of them are refused."""
-    rows = df.select(ref(column).alias("v")).where("v IS NOT NULL").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column}: more than {limit} levels")
-    return sorted(r["v"] for r in rows)
+def factor_levels(df: DataFrame, column: str) -> list[str]:
+    """Sorted levels of a category. Each becomes a model column, so there are few."""
+    return sorted(r["v"] for r in df.select(ref(column).alias("v")).where("v IS NOT NULL").distinct().collect())

@@ -73,12 +73,9 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], out: str, default: str = "
     return df.withColumn(out, rule_column(rules, default, bracketed))
 
 
-def apply_rule_table(df: DataFrame, table: DataFrame, out: str, default: str = "pass", limit: int = 500) -> DataFrame:
-    """Rules kept as a table (ord, predicate, outcome). A rule list is configuration: longer than
-    ``limit`` lines is refused rather than compiled into one expression."""
-    lines = table.select("ord", "predicate", "outcome").orderBy("ord").limit(limit + 1).collect()
-    if len(lines) > limit:
-        raise ValueError(f"rule table has more than {limit} lines")
+def apply_rule_table(df: DataFrame, table: DataFrame, out: str, default: str = "pass") -> DataFrame:
+    """Rules kept as a table (ord, predicate, outcome), compiled into one expression."""
+    lines = table.select("ord", "predicate", "outcome").orderBy("ord").collect()
     return apply_rules(df, [Rule(typed=r["predicate"], outcome=r["outcome"]) for r in lines], out, default)
 
 

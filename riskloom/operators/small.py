@@ -1,4 +1,4 @@
-"""Joining a large table with a result that is usually, but not provably, small."""
+"""Joins on group columns. No side carries a hint: adaptive execution broadcasts by measured bytes."""
 
 from __future__ import annotations
 
@@ -9,30 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.columns import ref
-
-SMALL_ROWS = 20_000
-
-
-def settled(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a broadcast table when it has at most ``limit`` rows, else ``df`` itself.
-
-    Use it on aggregation results (edges, quartiles, totals) that are joined back to the data: the
-    size is checked on the rows themselves, at most ``limit`` + 1 of them, and a result that is
-    larger goes through an ordinary shuffled join.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
-
-
-def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """``df`` as a broadcast table; more than ``limit`` rows is an error."""
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"{what}: more than {limit} rows")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
-
+from riskloom.sources.tables import settled
 
 def null_safe_join(big: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on group columns where a missing level is a group of its own."""
@@ -42,7 +19,7 @@ def null_safe_join(big: DataFrame, small: DataFrame, by: Sequence[str], how: str
 
 
 def attach(big: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join a settled result to the data on ``by``; on nothing when it is a single row."""
+    """Join a result to the data on ``by``; on nothing when it is a single row."""
     if by:
         return null_safe_join(big, settled(small), by)
     row = small.first()

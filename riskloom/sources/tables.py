@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -54,24 +55,40 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and keep on shared storage, so that later passes neither repeat the work nor
-    depend on the executors that did it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where none is set a local session (as in
-    tests) gets a folder of its own; a cluster without one goes on with the lazy frame.
+    Where none is set a local session (as in tests) gets a folder of its own; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once and keep on shared storage, so that later passes neither repeat the work nor
+    depend on the executors that did it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """An aggregation result, written to shared storage and read back.
+
+    The data behind it is scanned once however often the result is used, and Spark knows its size in bytes: joined to
+    the data it is broadcast when that is under the session's limit, and shuffled when it is not.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_model(model: PipelineModel, path: str) -> PipelineModel:
     model.write().overwrite().save(path)
     return model

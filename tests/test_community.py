@@ -45,11 +45,6 @@ def test_distances_against_brute_force(sites, metric):
         assert (r["n1"], r["n2"]) == (different[tuple(a)], different[tuple(b)])
 
 
-def test_too_many_profiles_is_an_error(sites):
-    with pytest.raises(ValueError):
-        E.profile_distances(E.profiles(sites[1], TAXA), TAXA, "bray", limit=5)
-
-
 def brute_permanova(x, g):
     n = len(x)
     d2 = np.array([[0.0 if (a == b).all() else brute_d(a, b, "bray") ** 2 for b in x] for a in x])

@@ -155,7 +155,7 @@ def test_smote_balances_between_neighbours(spark, df):
 def test_smote_in_blocks_with_one_heavy_point(spark):
     rows = [(i, "fail", 1.0 if i % 3 == 0 else float(i)) for i in range(600)] + [(1000 + i, "pass", 0.0) for i in range(1200)]
     df = spark.createDataFrame(rows, "id int, crms string, x double")
-    made = S.smote(df, "crms", "fail", ["x"], ["id"], block_rows=40, slabs=4).toPandas()
+    made = S.smote(df, "crms", "fail", ["x"], ["id"], block_rows=40).toPandas()
     assert (made["crms"] == "fail").sum() == 1200
     assert made["x"].max() <= 599
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from riskloom.operators import ordered as O
 from riskloom.operators import profile as A
 from riskloom.operators import roc as R
-from riskloom.operators import small
 
 
 @pytest.fixture(scope="module")
@@ -39,23 +38,18 @@ def test_largest_sorted_share_is_small(skewed):
     assert top < 0.01 * total
 
 
-def test_median_fallback_without_broadcast(skewed, monkeypatch):
-    """More target bins than the broadcast limit: the shuffled join gives the same."""
+def test_quantiles_without_broadcast(spark, skewed):
+    """A result over the session's broadcast limit goes through a shuffled join and gives the same."""
     one = {r["g"]: r["m"] for r in O.exact_quantiles(skewed, ["g"], "x", {"m": 0.5}).collect()}
-    monkeypatch.setattr(O, "settled", lambda df: small.settled(df, limit=3))
-    two = {r["g"]: r["m"] for r in O.exact_quantiles(skewed, ["g"], "x", {"m": 0.5}).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        two = {r["g"]: r["m"] for r in O.exact_quantiles(skewed, ["g"], "x", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert one == two and len(one) == 41
 
 
-def test_settled_checks_the_size(spark):
-    df = spark.range(50)
-    plan = small.settled(df, limit=100).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan
-    assert small.settled(df, limit=10) is df
-    with pytest.raises(ValueError):
-        small.bounded(df, 10, "rows")
-
-
 def test_quantile_scan_is_not_shuffled(skewed):
     """Rows meet the target bins by broadcast: no exchange of the data by group and bin."""
     plan = O.exact_quantiles(skewed, ["g"], "x", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
