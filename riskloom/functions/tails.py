@@ -152,7 +152,8 @@ def _log_binomial(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     k, n, p = np.where(good, k, 0.0), np.maximum(n, 0.0), np.clip(p, 1e-300, 1 - 1e-16)
     inner = (k > 0) & (k < n)
     kk, nn = np.where(inner, k, 1.0), np.where(inner, n, 2.0)
-    bulk = kk * np.log1p((nn * p - kk) / kk) + (nn - kk) * np.log1p((kk - nn * p) / (nn - kk))
+    with np.errstate(divide="ignore"):  # an impossible count has log probability -inf
+        bulk = kk * np.log1p((nn * p - kk) / kk) + (nn - kk) * np.log1p((kk - nn * p) / (nn - kk))
     # k! is gamma(k) k: the leading terms give sqrt(n / (2 pi k (n - k)))
     rest = _stirling_rest(nn) - _stirling_rest(kk) - _stirling_rest(nn - kk) + 0.5 * (np.log(nn) - np.log(kk) - np.log(nn - kk) - math.log(2 * math.pi))
     edge = np.where(k == 0, n * np.log1p(-p), n * np.log(p))

@@ -143,3 +143,26 @@ def test_tails_against_known_values():
     assert (drawn.sum(axis=2) == [10, 20, 5]).all() and (drawn.sum(axis=1) == [15, 20]).all() and (drawn >= 0).all()
     big = tails.draw_tables(rng, np.array([10**9, 2 * 10**9]), np.array([10**9, 2 * 10**9]), 20)
     assert (big.sum(axis=2) == [10**9, 2 * 10**9]).all() and (big >= 0).all()
+
+
+def test_drop_correlated_over_columns_still_in(spark):
+    """Five columns, so that means after a removal differ from means over all."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        base = rng.normal(size=(60, 2))
+        x = np.column_stack([base[:, 0], base[:, 0] + 0.3 * rng.normal(size=60), base[:, 1], base[:, 0] + base[:, 1], base[:, 1] + 0.2 * rng.normal(size=60)])
+        names = list("abcde")
+        m = np.abs(np.round(np.corrcoef(x.T), 2))
+        np.fill_diagonal(m, np.nan)
+        order, gone = sorted(range(5), key=lambda k: -np.nanmean(m[k])), set()
+        for p, i in enumerate(order):
+            for j in order[p + 1 :]:
+                if i not in gone and j not in gone and m[i, j] > 0.6:
+                    stay = [k for k in range(5) if k not in gone]
+                    mean_i = np.nanmean([m[i, k] for k in stay])
+                    rest = np.nanmean([[m[a, k] for k in stay] for a in stay if a != j])
+                    gone.add(i if mean_i > rest else j)
+        df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+        assert T.drop_correlated(df, names, 0.6) == [n for k, n in enumerate(names) if k in gone]

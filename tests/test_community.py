@@ -158,3 +158,15 @@ def test_one_group_and_empty_bar_do_not_divide_by_zero(spark, sites):
     assert row["df_between"] == 0 and row["f"] is None
     empty = spark.createDataFrame([("a", "t", 0.0), ("b", "t", 1.0)], "bar string, name string, x double")
     assert {r["bar"]: r["share"] for r in V.mean_share(empty, ["bar"], "name", "x").collect()} == {"a": None, "b": 1.0}
+
+
+def test_permanova_leaves_out_incomplete_sites(spark):
+    taxa = ["a", "b", "c"]
+    rows = [("x", 1.0, 0.0, 0.0), ("x", 1.0, 1.0, 0.0), ("x", 1.0, 0.0, 0.0), ("y", 0.0, 1.0, 1.0), ("y", 0.0, 0.0, 1.0), ("y", 0.0, 1.0, 1.0)]
+    more = [*rows, ("x", None, 1.0, 1.0), ("y", 1.0, None, 0.0), (None, 1.0, 1.0, 1.0)]
+    schema = "grp string, a double, b double, c double"
+    whole, some = spark.createDataFrame(rows, schema), spark.createDataFrame(more, schema)
+    one, two = E.permanova(whole, taxa, "grp").first(), E.permanova(some, taxa, "grp").first()
+    assert one == two
+    terms = {r["term"]: r for r in E.permanova_terms(some, taxa, ["grp"], permutations=64, chunks=4).collect()}
+    assert abs(terms["grp"]["f"] - one["f"]) < 1e-9 and abs(terms["grp"]["sumsq"] - one["ss_between"]) < 1e-9

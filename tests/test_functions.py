@@ -173,3 +173,32 @@ def test_top_with_ties(spark):
 def test_numbered(spark):
     df = spark.createDataFrame([(v,) for v in ("b", "a", "c", "a")], "v string")
     assert {r["v"]: r["no"] for r in P.numbered(df, "v", "no").collect()} == {"a": 1, "b": 2, "c": 3}
+
+
+def test_beta_tail_does_not_jump_where_shapes_get_large():
+    from math import exp, lgamma, log, log1p
+
+    import numpy as np
+
+    from riskloom.functions import tails
+
+    for a, b, x in ((99_999, 2_999, 0.97), (100_001, 2_999, 0.97), (100_001, 3_001, 0.97), (100_001, 1, 0.99998), (250_000, 250_000, 0.501)):
+        n = a + b - 1  # P(X >= a) of n trials
+        terms = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(x) + (n - k) * log1p(-x) for k in range(a, n + 1)]
+        assert abs(tails.beta_cdf(a, b, x) - sum(map(exp, terms))) < 1e-7
+    assert np.allclose(tails.beta_cdf(5e8, 5e8, 0.5), 0.5, atol=1e-8)
+
+
+def test_draws_are_exact_at_every_size():
+    import numpy as np
+
+    from riskloom.functions import tails
+
+    rng = np.random.default_rng(5)
+    for good, bad, take in ((11_000_000, 1_089_000_000, 10), (110_000_000, 990_000_000, 10), (3, 7, 4), (5, 1000, 100), (600_000_000, 600_000_000, 50)):
+        n = 100_000
+        seen = np.bincount(tails.draw_hypergeometric(rng, np.full(n, good), np.full(n, bad), np.full(n, take))) / n
+        want = np.exp(tails.log_hypergeometric(np.arange(len(seen)), good, bad, take))
+        often = want * n > 10
+        assert (np.abs(seen - want)[often] < 5 * np.sqrt(want * (1 - want) / n)[often]).all()
+    assert (tails.draw_hypergeometric(rng, np.array([5, 0]), np.array([0, 5]), np.array([3, 3])) == [3, 0]).all()
