@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -59,6 +59,15 @@ def design(df: DataFrame, predictors: Sequence[str]) -> Design:
     return Design(terms, SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__"))
 
 
+def linear_score(model: GeneralizedLinearRegressionModel, columns: Sequence[str], without: str | None = None) -> Column:
+    """The linear predictor of a generalised linear model, less the part of one column."""
+    eta = F.lit(float(model.intercept))
+    for c, b in zip(columns, model.coefficients):
+        if c != without:
+            eta = eta + F.lit(float(b)) * ref(c)
+    return eta
+
+
 @dataclass
 class Fitted:
     """A fitted pipeline with its coefficient names (empty for trees)."""
@@ -73,9 +82,7 @@ class Fitted:
         ready = PipelineModel(made).transform(df)
         if isinstance(model, GeneralizedLinearRegressionModel):
             # As a plain expression the score stays in generated code, without a vector per row.
-            eta = F.lit(float(model.intercept))
-            for c, b in zip(needed, model.coefficients):
-                eta = eta + F.lit(float(b)) * ref(c)
+            eta = linear_score(model, needed)
             return ready.withColumn("_score", 1 / (1 + F.exp(-eta))).select(*[ref(c) for c in df.columns], ref("_score").alias(out))
         gap = F.lit(False)
         for c in needed:
@@ -394,11 +401,21 @@ def best_size(table: DataFrame, metric: str = "accuracy") -> int:
 def partial_dependence(fitted: Fitted, df: DataFrame, predictor: str, points: int = 51, grid: Sequence[float] | None = None) -> DataFrame:
     """Mean P(event) with the predictor set to each grid value on every row: (value, yhat).
 
-    Each row is repeated per grid value inside its task; averages combine before the shuffle.
+    A logistic score is one pass: the part that does not move is computed once for each row, and every grid
+    value is an average of its own. For other models each row is repeated per grid value inside its task.
     """
     if grid is None:
         ends = df.agg(F.min(ref(predictor)).alias("a"), F.max(ref(predictor)).alias("b")).first()
         grid = [float(v) for v in np.linspace(float(ends["a"]), float(ends["b"]), points)]
+    *made, packer, model = fitted.pipeline.stages
+    column = f"{predictor}_x"
+    if isinstance(model, GeneralizedLinearRegressionModel) and len(made) == 1 and column in packer.getInputCols():
+        columns = list(packer.getInputCols())
+        slope = float(model.coefficients[columns.index(column)])
+        fixed = made[0].transform(df).select(linear_score(model, columns, column).alias("_eta"))
+        means = [F.avg(1 / (1 + F.exp(-(ref("_eta") + F.lit(slope * v))))).alias(f"_y{i}") for i, v in enumerate(grid)]
+        pairs = F.array(*[F.struct(F.lit(float(v)).alias("value"), ref(f"_y{i}").alias("yhat")) for i, v in enumerate(grid)])
+        return fixed.agg(*means).select(F.explode(pairs).alias("_p")).select("_p.*")
     moved = df.withColumn(predictor, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     scored = fitted.score(moved)
     return scored.groupBy(ref(predictor).alias("value")).agg(F.avg(P).alias("yhat"))

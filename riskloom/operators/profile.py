@@ -167,7 +167,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``; an aggregation, so it combines before the shuffle.
 
-    Order columns ascend with nulls first, as structs compare.
+    Order columns ascend with nulls first, as structs compare; equal ones go by the other columns.
     """
     rest = [c for c in df.columns if c not in set(keys)]
     packed = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[ref(c).alias(f"_v{i}") for i, c in enumerate(rest)])

@@ -50,7 +50,7 @@ def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir).withColumn("time_since_af", F.when(ref("ports_12m") >= 5, ref("time_since_af")))
-    return S.impute_trees(rows, PREDICTORS, ["type"], trees=5, depth=5).select("unit", *PREDICTORS)
+    return S.impute_trees(rows, PREDICTORS, ["type"]).select("unit", *PREDICTORS)
 
 
 @query("""WITH m AS (SELECT quantile_cont(c_acctbal, 0.5) FILTER (c_acctbal >= 0) AS med FROM customer)
@@ -61,7 +61,7 @@ def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cv(rows: DataFrame, fit) -> DataFrame:
-    return L.cross_validate(rows, KEY, "crms", "fail", PREDICTORS, fit, folds=5, repeats=1)
+    return L.cross_validate(rows, KEY, "crms", "fail", PREDICTORS, fit)
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def step_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rfe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.feature_elimination(_rows(spark, sf_dir), KEY, "crms", "fail", PREDICTORS, [1, 3])
+    return L.feature_elimination(_rows(spark, sf_dir), KEY, "crms", "fail", PREDICTORS, range(1, 6))
 
 
 @query()
