@@ -54,7 +54,7 @@ class Encoder:
     (``tests/llm`` compares the two); other files, texts with an added token and odd chunks go to the tokenizers library.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
