@@ -213,13 +213,12 @@ def _shared_keys(rows: DataFrame, width: int) -> DataFrame:
 def _key_filter(keys: DataFrame, bits: int, parts: int = 16) -> np.ndarray:
     """A Bloom filter of fixed size; each task fills its own part of it. Too many keys only let more segments pass."""
     size = bits // parts
-    top = np.uint64(64 - (parts.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             key = batch.column("key").to_numpy().view(np.uint64)
-            part = (key >> top).astype(np.int64)
+            part = part_of(key, parts)
             for p in np.unique(part).tolist():
                 flags = held.setdefault(p, np.zeros(size, bool))  # one part, unpacked
                 for k in probes(key[part == p], size):
@@ -227,13 +226,18 @@ def _key_filter(keys: DataFrame, bits: int, parts: int = 16) -> np.ndarray:
         for p, flags in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
 
-    part = F.shiftrightunsigned("key", int(top))
+    part = F.col("key").bitwiseAND(parts - 1)
     whole = np.zeros((parts, size // 8), np.uint8)
     for row in keys.repartition(parts, part).mapInArrow(run, "part long, bits binary").collect():  # ``bits`` in all
         whole[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
     return whole
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The lowest bits of a hash: being the smallest of a window, it has few of the highest."""
+    return (key & np.uint64(parts - 1)).astype(np.int64)
+
+
 def probes(key: np.ndarray, size: int) -> list[np.ndarray]:
     a, b = mixed(key), mixed(key ^ BASE) | np.uint64(1)
     return [((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64) for k in range(4)]
@@ -259,15 +263,15 @@ def dedup_substrings(
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     shared = stored(_shared_keys(rows, width), "grams")
     passing = spark.sparkContext.broadcast(_key_filter(shared, filter_bits))  # filter_bits in size
-    size = filter_bits // len(passing.value)
-    top = np.uint64(64 - (len(passing.value).bit_length() - 1))
+    parts = len(passing.value)
+    size = filter_bits // parts
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in sub_batches(batches, "t"):
             texts = [t.encode("utf-8", "replace") for t in batch.column("t").to_pylist()]
             which, gram, seg, pos, windows = text_segments(texts, width)
-            part = (gram >> top).astype(np.int64)
+            part = part_of(gram, parts)
             on = np.ones(len(gram), bool)
             for k in probes(gram, size):
                 on &= (passing.value[part, k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 > 0
