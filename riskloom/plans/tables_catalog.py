@@ -68,15 +68,15 @@ def days_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT doc_id, length(trim(lower(text))) AS lower_length, length(replace(replace(text, '-', ''), ',', '')) AS bare_length,
+@query(r"""SELECT doc_id, md5(trim(lower(text))) AS lowered, md5(replace(replace(text, '-', ''), ',', '')) AS bare,
   NOT regexp_matches(regexp_extract(text, '[^,]*$', 0), '[\p{L}\p{M}\p{N}_]') AS no_tail, upper(substr(source, 1, 1)) || lower(substr(source, 2)) AS source_case,
   regexp_matches(text, '[0-9]{3}') AS has_number FROM documents""")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
-        F.length(F.trim(F.lower("text"))).cast("long").alias("lower_length"),
-        F.length(X.strip_all(ref("text"), "-,")).cast("long").alias("bare_length"),
+        F.md5(F.trim(F.lower("text"))).alias("lowered"),
+        F.md5(X.strip_all(ref("text"), "-,")).alias("bare"),
         X.after_last_comma(ref("text")).isNull().alias("no_tail"),
         X.sentence_case(ref("source")).alias("source_case"),
         X.has_pattern(ref("text"), "[0-9]{3}").alias("has_number"),
@@ -131,20 +131,22 @@ def join_diff_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lookup_join(nation, region, {"n_regionkey": "r_regionkey"}).select("n_nationkey", "n_name", "r_name")
 
 
-@query("""SELECT n_nationkey, n_name, c_custkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c
-  RIGHT JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IS NOT NULL""")
+@query("""SELECT n_nationkey, n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey IS NOT NULL""")
 def right_join_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = table(spark, sf_dir, "customer").where("c_acctbal > 5000").withColumnRenamed("c_nationkey", "n_nationkey")
-    out = P.align(cust, table(spark, sf_dir, "nation"), ["n_nationkey"], ["c_custkey"])
-    return out.select("n_nationkey", "n_name", "c_custkey")
+    """Nations without a supplier, as small tables have them, drop out."""
+    suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    out = P.align(suppliers, table(spark, sf_dir, "nation"), ["n_nationkey"], ["s_suppkey"])
+    return out.select("n_nationkey", "n_name", "s_suppkey")
 
 
-@query("""SELECT p_partkey, coalesce(r_name, p_type) AS label FROM part
-  LEFT JOIN (SELECT 'PROMO' AS k, r_name FROM region WHERE r_regionkey = 0) ON p_type = k""")
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE CAST(c_nationkey AS VARCHAR) END AS label FROM customer)
+SELECT c_custkey, coalesce(n_name, label) AS label FROM c LEFT JOIN nation ON label = CAST(n_nationkey AS VARCHAR)""")
 def relabel_from_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lookup = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("PROMO").alias("k"), "r_name")
-    part = table(spark, sf_dir, "part").select("p_partkey", ref("p_type").alias("label"))
-    return P.recode_from(part, "label", lookup, "k", "r_name").select("p_partkey", "label")
+    """Every nation is a level; a label that is none stays."""
+    lookup = table(spark, sf_dir, "nation").select(ref("n_nationkey").cast("string").alias("k"), "n_name")
+    label = F.when(ref("c_acctbal") < 0, F.lit("in debt")).otherwise(ref("c_nationkey").cast("string"))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", label.alias("label"))
+    return P.recode_from(cust, "label", lookup, "k", "n_name").select("c_custkey", "label")
 
 
 GAPPY = "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END"
@@ -287,11 +289,13 @@ def distinct_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-@query("""WITH long AS (UNPIVOT (SELECT o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders) ON o_totalprice, o_custkey INTO NAME var VALUE value)
+@query("""WITH c AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey FROM customer),
+long AS (SELECT 'c_acctbal' AS var, c_acctbal AS value FROM c UNION ALL SELECT 'c_nationkey', c_nationkey FROM c)
 SELECT var, min(value) AS min, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.5), 4) AS median, round(avg(value), 4) AS mean,
-  round(quantile_cont(value, 0.75), 4) AS q3, max(value) AS max, CAST(0 AS BIGINT) AS nas FROM long GROUP BY 1""")
+  round(quantile_cont(value, 0.75), 4) AS q3, max(value) AS max, count(*) - count(value) AS nas FROM long GROUP BY 1""")
 def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.summary_stats(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]), "q1", "median", "mean", "q3", digits=4)
+    cust = table(spark, sf_dir, "customer").withColumn("c_acctbal", F.when(ref("c_acctbal") >= 0, ref("c_acctbal")))
+    return rounded(A.summary_stats(cust, ["c_acctbal", "c_nationkey"]), "q1", "median", "mean", "q3", digits=4)
 
 
 @query("""SELECT CAST(min(o_orderdate) AS VARCHAR) AS min, CAST(max(o_orderdate) AS VARCHAR) AS max FROM orders""")
