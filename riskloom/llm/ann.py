@@ -117,7 +117,7 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` its ``k`` nearest other rows by inner product.
 
-    Lists, rotation and the number of probes are fitted on a sample of at most ``sample_rows`` (those with the smallest id hashes),
+    Lists, rotation and the number of probes are fitted on a sample of at most ``sample_rows`` (those with the smallest id hashes, of a hashed share of a large table),
     ``sqrt(n) / 4`` lists, at most 1024; every row is indexed. Each query is compared with the whole
     of its probed lists, and with further lists where those hold fewer than ``k`` others. Lists and the queries that ask
     for them meet in blocks of bounded size, so a list that holds most of the table is many tasks. Scores are inner products
@@ -136,7 +136,8 @@ def search(
     n, most = rows.agg(F.count("*"), F.max(square)).first()
     if not n:
         return spark.createDataFrame([], result)
-    picked = rows.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_rows)  # bounded
+    some = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(max(1, n // (4 * sample_rows)))) == 0  # so that few rows are sorted
+    picked = rows.where(some).select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_rows)  # bounded
     sample = np.array([r["v"] for r in picked.select("v").collect()], np.float64)
     lists = int(min(1024, max(1, round(n**0.5 / 4))))
     index = spark.sparkContext.broadcast(fit(sample, most * (1 + 1e-12), lists, k, target))
