@@ -19,7 +19,7 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a missing ``lang`` is filled in. Null texts, texts without letters and ties go."""
+    """Documents whose language can be told; a missing ``lang`` is filled in. Null texts, texts without letters and narrow margins go."""
     ship(spark)
     got = language_id.identify(docs, language_id.fit(docs))
     return got.where("not rejected").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)

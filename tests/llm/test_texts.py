@@ -1,6 +1,7 @@
 """Language identification, secret scans, merge models and packing."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import language_id, packing, secret_scan, sentencepieces
 from riskloom.llm.base import QUERIES
@@ -40,6 +42,29 @@ def test_languages_of_odd_rows(spark, tricky):
         language_id.fit(tricky, most_languages=2)
 
 
+def test_narrow_margins_are_rejected(spark, sf_dir):
+    """Planted texts of a language that is left out, of random letters and of another script go; clean short ones outside the dictionaries stay."""
+    import corpus_pipeline
+
+    larger = f"{os.path.dirname(sf_dir)}/sf0.01"  # some 100 documents and more teach each language
+    if not os.path.isdir(larger):
+        pytest.skip("driver tables are not here")
+    docs = spark.read.parquet(f"{larger}/documents.parquet").where("n_chars > 1000 and text is not null")
+    rng = random.Random(8)
+    per = {lang: [r.text for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(18).collect()] for lang in ("de", "en", "es", "fr")}
+    short = [(-i, t[100:250]) for i, t in enumerate((t for lang in ("de", "en", "fr") for t in per[lang][:6]), 1)]
+    alien = [(-100 - i, t[:1500]) for i, t in enumerate(per["es"])]
+    random_letters = [(-200 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))) for i, n in enumerate([60, 150, 400, 1500, 6000] * 4)]
+    script = [(-300 - i, "".join(rng.choice("абвгдежзиклмн   ") for _ in range(n))) for i, n in enumerate([60, 400, 3000])]
+    planted = spark.createDataFrame(short + alien + random_letters + script, "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "'x' source", "0L n_chars")
+    seen = [t for lang in ("de", "en", "fr") for t in per[lang][:6]]
+    known = docs.where(F.col("lang") != "es").where(~F.col("text").isin(seen)).select(planted.columns)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, known.union(planted), sf_dir).collect()}
+    assert sum(i in kept for i, _ in short) >= 0.9 * len(short)
+    assert all(kept[i] == ("de", "en", "fr")[(-i - 1) // 6] for i, _ in short if i in kept)
+    assert sum(i in kept for i, _ in alien) <= 1 and not any(i in kept for i, _ in random_letters + script)
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
