@@ -97,6 +97,25 @@ def test_random_strings_and_known_forms():
         assert scan(f"see {known} here") == []
 
 
+def test_random_strings_inside_runs():
+    """Planted in paths and prefixed names, beside base spans, and of letters only; the words around them alone are no secret."""
+    scan, rng = secret_scan.scanner(secret_scan.token_counter(RANKS)), random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    before = ("", "github/example/project/releases/", "internal/configuration/production/", "my_service_production_", "exampleprojectproduction")
+    for prefix in before:
+        assert scan(f"see {prefix} and {prefix}documentation here") == []
+        for n, alphabet in ((20, letters + "0123456789"), (24, letters + "0123456789"), (40, letters + "0123456789"), (24, letters)):
+            found = 0
+            for _ in range(100):
+                text, at = f"see {prefix}{''.join(rng.choice(alphabet) for _ in range(n))} here", 4 + len(prefix)
+                found += sum(max(0, min(b, at + n) - max(a, at)) for _, a, b in scan(text)) >= 0.8 * n
+            assert found >= 97, (prefix, n, len(alphabet))
+    digest, secret = "0123456789abcdef" * 2, "Zq8xV3kL0pWm7Rt2Yb9NcD4f"
+    text = f"see {digest}/{secret} here"
+    assert [s[0] for s in scan(text)] == ["hex", "random"] and secret not in secret_scan.redacted(text, scan(text))
+    assert scan("see v2/objects/550E8400-E29B-41D4-A716-446655440000/index here") == []
+
+
 def test_secrets_of_odd_rows(spark, tricky):
     got = secret_scan.scan_secrets(tricky, RANKS)
     rows = {r.text: r for r in got.collect()}
