@@ -1,4 +1,4 @@
-"""Near-duplicate texts: an LSH forest of MinHash signatures proposes groups, full shingle sets decide."""
+"""Near-duplicate texts: bands of MinHash signatures propose groups, full shingle sets decide."""
 
 from __future__ import annotations
 
@@ -138,7 +138,7 @@ def _sign(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _forest(reps: DataFrame) -> DataFrame:
-    """A row of each document in each tree: its place in that tree's order of signatures, and a byte of each value."""
+    """A row of each document in each tree, which is a band: a hash of the band's ``DEPTH`` minima, and a byte of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +159,7 @@ def _forest(reps: DataFrame) -> DataFrame:
 def _candidates(forest: DataFrame, most_pairwise: int) -> DataFrame:
     """Links that hold together whatever may be alike.
 
-    The orders are sorted across the cluster, so a region of any size is cut over tasks; the pieces of a cut
+    The bands are sorted across the cluster, so a region of any size is cut over tasks; the pieces of a cut
     region are tied by their first documents. In a region of up to ``most_pairwise`` documents, those hang together that agree
     in ``LEAST_AGREEING`` of their signatures. In a denser one, or one that may go on in another task, every document hangs
     together with the first, and the exact comparison, which works in blocks, tells them apart.
@@ -274,8 +274,8 @@ def near_duplicates(
 
     Documents are linked when their sets of distinct ``words``-word shingles (words parted by ASCII white space, A-Z in lower case)
     have ``percent`` per cent of their union in common; a component is the smallest id that links reach. Equal sets are one class from the
-    start. The forest has ``TREES`` orders of ``HASHES`` minima; documents meet in a region when they share the first ``DEPTH`` values of an
-    order, which two documents at 0.8 miss in all trees 2.5 times in a million, and less the more alike they are. Proposed groups are decided on
+    start. There are ``TREES`` bands of ``DEPTH`` of the ``HASHES`` minima; documents meet in a region when they share all values of a
+    band (dense regions are not deepened, as that would lose pairs), which two documents at 0.8 miss in all trees 2.5 times in a million, and less the more alike they are. Proposed groups are decided on
     whole sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with null id take no
