@@ -1,0 +1,104 @@
+"""The distance queries over all event amounts: a site is a user on a day, so that taxa are absent without a detection limit."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.functions.columns import ref
+from riskloom.functions import numeric as N
+from riskloom.functions.tails import f_tail_col
+from riskloom.operators import association as T
+from riskloom.operators import community as E
+from riskloom.plans import closed_forms, tables_catalog, tests_catalog  # noqa: F401
+from riskloom.plans.registry import SQL, TAXA, TRACE, query, rounded, site_sql, table
+
+_cover = ", ".join(f"ln(1 + coalesce(sum(CASE WHEN event_type = '{t}' THEN value END), 0)) AS \"{t}\"" for t in TAXA)
+DAY_SQL = f"""sites AS (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS user_id, {_cover}, 'g' || (e.user_id % 3) AS grp
+  FROM events e GROUP BY e.user_id, CAST(ts AS DATE))"""
+
+
+def day_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users on days x event types over all amounts; ``user_id`` holds the site, user and day in one number."""
+    cover = [F.log1p(F.coalesce(F.sum(F.when(ref("event_type") == t, ref("value"))), F.lit(0.0))).alias(t) for t in TAXA]
+    sites = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(*cover)
+    site = ref("user_id") * 100000 + F.datediff("day", F.lit("1970-01-01").cast("date"))
+    return sites.select(site.alias("user_id"), *TAXA, F.concat(F.lit("g"), F.pmod("user_id", F.lit(3))).alias("grp"))
+
+
+def _pa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.presence_table(day_sites(spark, sf_dir), TAXA)
+
+
+def _sql(name: str) -> str:
+    """The SQL of the query above traces, over sites of all amounts."""
+    assert site_sql(TRACE) in SQL[name]
+    return SQL[name].replace(site_sql(TRACE), DAY_SQL)
+
+
+def _distances(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    return rounded(E.profile_distances(E.profiles(_pa(spark, sf_dir), TAXA), TAXA, metric), "d", digits=8)
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.anova_one_way(E.centroid_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", "grp")
+
+
+@query(_sql("row_sum_richness_pa"))
+def row_sum_richness_pa_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites, taxa = day_sites(spark, sf_dir), [ref(t) for t in TAXA]
+    counted = sites.withColumn("total", F.round(N.row_sum(taxa), 6)).withColumn("richness", N.richness(taxa))
+    return E.presence_table(counted, TAXA).select("user_id", "total", "richness", *TAXA)
+
+
+@query(_sql("bray_curtis"))
+def bray_curtis_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, "bray")
+
+
+@query(_sql("jaccard"))
+def jaccard_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, "jaccard")
+
+
+@query(_sql("euclid"))
+def euclid_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distances(spark, sf_dir, "euclid")
+
+
+@query(_sql("bray_curtis_group_means"))
+def bray_curtis_group_means_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = day_sites(spark, sf_dir).groupBy("grp").agg(*[F.avg(t).alias(t) for t in TAXA], F.count(F.lit(1)).alias("n_sites"))
+    return rounded(E.profile_distances(means, TAXA, "bray", ref("grp")), "d", digits=8)
+
+
+@query(_sql("permanova_f"))
+def permanova_f_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.permanova(_pa(spark, sf_dir), TAXA, "grp"), "ss_between", "ss_within", "ss_total", "r2", "f")
+
+
+@query()
+def permanova_p_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _pa(spark, sf_dir).withColumn("half", F.concat(F.lit("h"), F.pmod(F.floor(ref("user_id") / 3), F.lit(2))))
+    return E.permanova_terms(sites, TAXA, ["grp", "half"])
+
+
+@query(_sql("dispersion_centroid"))
+def dispersion_centroid_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.centroid_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", digits=8).select("user_id", "grp", "dist")
+
+
+@query(_sql("dispersion_f"))
+def dispersion_f_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_spread(spark, sf_dir).drop("ms_between", "ms_within"), "ss_between", "ss_within", "f")
+
+
+@query()
+def dispersion_test_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark, sf_dir).withColumn("p", f_tail_col("f", ref("df_between").cast("double"), ref("df_within").cast("double")))
+
+
+@query(_sql("dispersion_p"))
+def dispersion_p_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = f_tail_col("f", ref("df_between").cast("double"), ref("df_within").cast("double"))
+    return rounded(_spread(spark, sf_dir).select(tail.alias("p")), "p")
