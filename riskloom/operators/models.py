@@ -215,6 +215,29 @@ def cross_validate(
         held.unpersist()
 
 
+def oversampled(df: DataFrame, key: Sequence[str], truth: str, event: object, predictors: Sequence[str], seed: int = 1234567) -> DataFrame:
+    """The whole table as the final fit of a resampled model takes it: the rarer class oversampled, as in each training part."""
+    kinds = dict(df.dtypes)
+    numeric = [c for c in predictors if kinds[c] != "string"]
+    used = df.select(*[ref(c) for c in dict.fromkeys([*key, truth, *predictors])]).where(ref(truth).isNotNull())
+    counts = used.agg(F.count_if(ref(truth) == F.lit(event)).alias("e"), F.count(F.lit(1)).alias("n")).first()
+    event_rare = counts["e"] * 2 <= counts["n"]
+    marked = used.withColumn("_rare", (ref(truth) == F.lit(event)) == F.lit(event_rare)).na.drop(subset=numeric)
+    return smote(marked, "_rare", True, numeric, key, seed=job_seed(seed, 0, 0)).drop("_rare")
+
+
+def averaged_cells(called: DataFrame, truth: str, estimate: str, by: Sequence[str] = ("repeat", "fold")) -> DataFrame:
+    """(truth, estimate, n, percent): cells of the confusion matrix averaged over resamples, as counts and as shares of each resample."""
+    known = called.where(ref(truth).isNotNull() & ref(estimate).isNotNull())
+    cells = known.groupBy(*[ref(c) for c in by], truth, estimate).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = known.groupBy(*[ref(c) for c in by]).agg(F.count(F.lit(1)).alias("_all"))
+    resamples = sizes.agg(F.count(F.lit(1)).alias("_k"))
+    summed = cells.join(sizes, list(by)).groupBy(truth, estimate).agg(F.sum("_n").alias("_n"), F.sum(ref("_n") / ref("_all")).alias("_share"))
+    return summed.crossJoin(resamples).select(
+        ref(truth).alias("truth"), ref(estimate).alias("estimate"), (ref("_n") / ref("_k")).alias("n"), (ref("_share") / ref("_k") * 100).alias("percent")
+    )
+
+
 def resample_metrics(predictions: DataFrame, event: object, by: Sequence[str] = ("repeat", "fold"), cut: float = 0.5) -> DataFrame:
     """ROC (area), Sens, Spec, accuracy and kappa per resample."""
     called = predictions.withColumn("_call", F.when(ref(P) > cut, F.lit(event)).when(ref(P) <= cut, F.lit("not_event")))

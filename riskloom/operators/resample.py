@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Transformer
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -203,18 +204,19 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_trees(
     df: DataFrame, columns: Sequence[str], factors: Sequence[str] = (), trees: int = 10, depth: int = 8, seed: int = 1
 ) -> DataFrame:
-    """Fill gaps of each column by bagged trees on all the others (factors as 0/1 columns).
+    """Fill gaps of each column and factor by bagged trees on all the others (factors as 0/1 columns).
 
     Gaps in the predictors of a tree take the column median. Identifier columns are left out by not
     naming them. One fit per column that has gaps.
     """
-    gaps = set(columns_with_nulls(df.select(*[ref(c) for c in columns])))
+    gaps = set(columns_with_nulls(df.select(*[ref(c) for c in [*columns, *factors]])))
     if not gaps:
         return df
     middle = _medians(df, columns)
     helpers = {f"_h_{c}": F.coalesce(ref(c).cast("double"), F.lit(middle.get(c, 0.0))) for c in columns}
+    levels = {f: factor_levels(df, f) for f in factors}
     for f in factors:
-        for i, level in enumerate(factor_levels(df, f)):
+        for i, level in enumerate(levels[f]):
             helpers[f"_h_{f}_{i}"] = F.coalesce((ref(f) == F.lit(level)).cast("double"), F.lit(0.0))
     work = df.withColumns(helpers)
     for c in columns:
@@ -228,6 +230,22 @@ def impute_trees(
         )
         model = tree.fit(packed.where(ref(c).isNotNull()).withColumn("_y", ref(c).cast("double")))
         work = model.transform(packed).withColumn(c, F.coalesce(ref(c).cast("double"), ref("_fill"))).drop("_x", "_fill")
+    for f in factors:
+        if f not in gaps or not levels[f]:
+            continue
+        inputs = [h for h in helpers if h not in {f"_h_{f}_{i}" for i in range(len(levels[f]))}]
+        names = F.array(*[F.lit(x) for x in levels[f]])
+        if len(levels[f]) == 1 or not inputs:
+            work = work.withColumn(f, F.coalesce(ref(f), names[0]))
+            continue
+        packed = VectorAssembler(inputCols=inputs, outputCol="_x").transform(work)
+        tree = RandomForestClassifier(
+            featuresCol="_x", labelCol="_y", predictionCol="_fill", numTrees=trees, maxDepth=depth,
+            featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed,
+        )
+        model = tree.fit(packed.where(ref(f).isNotNull()).withColumn("_y", (F.array_position(names, ref(f)) - 1).cast("double")))
+        filled = model.transform(packed).withColumn(f, F.coalesce(ref(f), F.get(names, ref("_fill").cast("int"))))
+        work = filled.drop("_x", "_fill", "rawPrediction", "probability")
     return work.select(*[ref(c) for c in df.columns])
 
 

@@ -265,3 +265,25 @@ def test_final_model(model_data, tmp_path):
     for name, table in out.items():
         assert table.count() >= 0, name
     assert (tmp_path / "m").exists()
+
+
+def test_final_model_is_fitted_on_oversampled_rows(spark):
+    """One outcome in ten: the fit on oversampled rows calls far more of it than the plain one; the full model has every reduced column."""
+    import random
+
+    from riskloom.operators import models as L
+
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        fail = i % 10 == 0
+        rows.append((i, "fail" if fail else "pass", ["Bulk", "RoRo", "Cargo"][i % 3], rng.gauss(10 + 1.5 * fail, 2), rng.gauss(300 + 150 * fail, 150), *[rng.gauss(5, 2) for _ in range(7)]))
+    names = ["av_speed", "time_since_af", *[c for c in modelling.FULL_MODEL if c not in modelling.FINAL_MODEL]]
+    df = spark.createDataFrame(rows, "vessel_number long, crms string, type string, " + ", ".join(f"{c} double" for c in names))
+    out = modelling.final_model(df, folds=2, repeats=1, sizes=[1, 2])
+    called = out["predictions"].where("pred = 'fail'").count()
+    plain = L.predict_table(L.fit_logistic(df, "crms", "fail", modelling.FINAL_MODEL, scale=True), df, "fail", "pass").where("pred = 'fail'").count()
+    assert called > 2 * plain
+    terms = {r["term"] for r in out["full_coefficients"].collect()}
+    assert {"type_Cargo", "type_RoRo", "hull_works_since_af_x"} <= terms
+    assert abs(sum(r["percent"] for r in out["resample_matrix_average"].collect()) - 100) < 1e-9
+    assert out["elimination"].agg(F.max("size")).first()[0] == 9

@@ -246,3 +246,18 @@ def test_tables_round_trip(spark, tmp_path):
     (tmp_path / "book" / "1" / "part.csv").write_text("a,b,c\n1,  x  ,NA\n2,NA,2.5\n")
     rows = [tuple(r) for r in IO.read_sheet(spark, str(tmp_path / "book"), 1, df.schema).collect()]
     assert rows == [(1, "x", None), (2, None, 2.5)]
+
+
+def test_text_gaps_are_imputed(spark, rows):
+    holes = [(r[0], None if r[0] % 10 == 0 else ["lo", "hi"][r[3] > 0], float(r[3]), None if r[0] % 7 == 0 else 1.5 * r[3]) for r in rows]
+    df = spark.createDataFrame(holes, "id int, kind string, a double, y double")
+    got = {r["id"]: r["kind"] for r in S.impute_trees(df, ["a", "y"], ["kind"]).collect()}
+    gaps = {h[0]: ["lo", "hi"][h[2] > 0] for h in holes if h[1] is None}
+    assert len(got) == len(holes) and sum(got[i] == k for i, k in gaps.items()) >= 0.9 * len(gaps)
+    assert all(got[h[0]] == h[1] for h in holes if h[1])
+
+
+def test_averaged_cells(spark):
+    rows = [(1, 0, "a", "a"), (1, 0, "a", "b"), (1, 1, "a", "a"), (1, 1, "a", "a"), (1, 1, "b", "a"), (1, 1, "b", "b")]
+    got = {(r["truth"], r["estimate"]): (r["n"], r["percent"]) for r in L.averaged_cells(spark.createDataFrame(rows, "repeat int, fold int, obs string, pred string"), "obs", "pred").collect()}
+    assert got == {("a", "a"): (1.5, 50.0), ("a", "b"): (0.5, 25.0), ("b", "a"): (0.5, 12.5), ("b", "b"): (0.5, 12.5)}
