@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup
+from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup, target_draw
 from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -123,3 +123,10 @@ def op9_tiled_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op12_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighed = target_draw.weigh(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return target_draw.draw(weighed, seed=2024, percent=10, min_words=20).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
