@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup, target_draw
-from riskloom.llm.base import QUERIES, SQL, query, table  # noqa: F401
+from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup, target_draw, warc
+from riskloom.llm.base import QUERIES, SQL, query, shared_folder, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -130,3 +132,26 @@ def op12_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weighed = target_draw.weigh(docs, table(spark, sf_dir, "benchmark")).drop("text")
     return target_draw.draw(weighed, seed=2024, percent=10, min_words=20).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query(
+    """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+      h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+      r AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM h)
+      SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31), 1)
+        ), 'string_agg', '') AS payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+      FROM r"""
+)
+def op13_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}", min_bytes=0)
+    read = warc.read_warc(archives, with_payload=False).where("type in ('response', 'revisit')")
+
+    def page(name):
+        return F.regexp_extract(name, "^urn:page:(.*)$", 1).try_cast("long")
+
+    return read.select(
+        page("record_id").alias("page_id"), "payload_bytes", F.regexp_extract("payload_digest", "^sha1:(.*)$", 1).alias("payload_digest"),
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
+    )
