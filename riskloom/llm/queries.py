@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, chat, embedding_dedup, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup, target_draw, warc
+from riskloom.llm import ann, chat, embedding_dedup, hard_negatives, language_id, line_dedup, minhash, packing, secret_scan, sentencepieces, suffix_dedup, target_draw, warc
 from riskloom.llm.base import QUERIES, SQL, query, shared_folder, table  # noqa: F401
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -155,3 +155,21 @@ def op13_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("record_id").alias("page_id"), "payload_bytes", F.regexp_extract("payload_digest", "^sha1:(.*)$", 1).alias("payload_digest"),
         F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
     )
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+      p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+      SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id,
+        p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+      QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)"""
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label, positives=5, k=3, low=50, high=95, scale=256)
