@@ -21,6 +21,38 @@ from riskloom.llm.base import with_computed
 MARK = "▁"
 
 
+class IntTable:
+    """Keys (not negative) to values in flat arrays, looked up for many keys at once."""
+
+    def __init__(self, bits: int):
+        self.bits, self.held = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: list[int], values: list[int]) -> None:
+        """New keys."""
+        last = len(self.keys) - 1
+        for key, place, value in zip(keys, self._place(np.array(keys, np.int64)).tolist(), values):
+            while self.keys[place] >= 0:
+                place = (place + 1) & last
+            self.keys[place], self.values[place] = key, value
+        self.held += len(keys)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 for keys that are not there."""
+        out = np.full(len(keys), -1, np.int32)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            found = self.keys[place]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[place[hit]]
+            on = ~hit & (found >= 0)
+            left, place = left[on], (place[on] + 1) & (len(self.keys) - 1)
+        return out
+
+
 class MergeTable:
     """The pieces of a merge model with byte fallback, identity normalization and a dummy prefix."""
 
@@ -44,10 +76,24 @@ class MergeTable:
         self.chars = {p for p in self.ids if len(p) == 1}
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if len(piece) == 1 or self._last_merge(piece, i):
-                self.automaton.add_word(piece, (i, len(piece)))
+        reached = [p for p, i in self.ids.items() if len(p) == 1 or self._last_merge(p, i)]
+        for piece in reached:
+            self.automaton.add_word(piece, (self.ids[piece], len(piece)))
         self.automaton.make_automaton()
+        # the same automaton's states in arrays, to follow many words at once: 0 is the start, a step is (state, character)
+        steps: dict[tuple[int, str], int] = {}
+        ends = {}
+        for piece in reached:
+            state = 0
+            for c in piece:
+                state = steps.setdefault((state, c), len(steps) + 1)
+            ends[state] = self.ids[piece]
+        self.steps = IntTable(max(12, (4 * len(steps)).bit_length()))
+        self.steps.put([(state << 21) + ord(c) for state, c in steps], list(steps.values()))
+        self.ends = np.full(len(steps) + 1, -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
+        self.lengths = np.array([len(p) for p in self.pieces])
+        self.pairs = IntTable(21)
         longer = [p for p in self.ids if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in longer):
             self.chunk = re.compile("(?s).+")  # pieces cross white space: no cutting
@@ -129,25 +175,99 @@ class MergeTable:
                 held = []
         return ids + (self._known_characters("".join(held)) if held else [])
 
-    def _learn(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.merge(chunk)
-        got = (np.array(ids, "<i4").tobytes(), b"".join([self.surface[i] for i in ids]))
-        if len(chunk) <= 64:
-            if len(self.known) >= self.most_known:
-                self.known.clear()
-            self.known[chunk] = got
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for many pairs."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        known = self.pairs.get(keys)
+        if (known < 0).any():
+            new = np.unique(keys[known < 0])
+            if self.pairs.held + len(new) > len(self.pairs.keys) // 2:
+                self.pairs = IntTable(max(21, (4 * len(new)).bit_length()))
+                new = np.unique(keys)
+            self.pairs.put(new.tolist(), [self.fits(*divmod(k, len(self.pieces))) for k in new.tolist()])
+            known = self.pairs.get(keys)
+        return known > 0
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of known characters, one after the other, and how many each has.
+
+        The automaton is followed from every character of every word at once. Then all prefixes of one length get
+        their last token together: of the pieces that match at their end the one that fits behind the last token of the prefix before it.
+        """
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        end_of, begin_of = np.repeat(begins + sizes, sizes), np.repeat(begins, sizes)
+        starts, states, ends, tokens = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], []
+        for depth in range(int(sizes.max())):
+            states = self.steps.get((states << 21) + codes[starts + depth])
+            token = self.ends[states]
+            match = (states >= 0) & (token >= 0)
+            ends.append(starts[match] + depth)
+            tokens.append(token[match])
+            on = (states >= 0) & (starts + depth + 1 < end_of[starts])
+            starts, states = starts[on], states[on].astype(np.int64)
+            if not len(starts):
+                break
+        ends, tokens = np.concatenate(ends), np.concatenate(tokens)
+        place = ends - begin_of[ends]  # matches in order of the prefix's length, shorter pieces first
+        order = np.argsort(place, kind="stable")
+        ends, tokens, cuts = ends[order], tokens[order], np.searchsorted(place[order], np.arange(int(sizes.max()) + 1))
+        last = np.full(len(codes), -1, np.int32)
+        for a, b in zip(cuts, cuts[1:]):
+            end, token = ends[a:b], tokens[a:b]
+            before = end - self.lengths[token]
+            inside = before >= begin_of[end]
+            previous = np.where(inside, last[np.maximum(before, 0)], -1)
+            good = ~inside
+            good[inside] = self._fit(previous[inside], token[inside])
+            last[end[good]] = token[good]
+        at, word, found = begins + sizes - 1, np.arange(len(words)), []
+        counts = np.zeros(len(words), np.int64)
+        while len(word):
+            found.append((word, last[at]))
+            counts[word] += 1
+            at = at - self.lengths[last[at]]
+            on = at >= begins[word]
+            at, word = at[on], word[on]
+        ids, upto = np.zeros(int(counts.sum()), "<i4"), np.cumsum(counts)
+        for back, (word, token) in enumerate(found):
+            ids[upto[word] - 1 - back] = token
+        return ids, counts
+
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        together, got = [], {}
+        for chunk in chunks:
+            if len(chunk) <= 64 and "\0" not in chunk and self.chars.issuperset(chunk):
+                together.append(chunk)
+            else:
+                ids = self.merge(chunk)
+                got[chunk] = (np.array(ids, "<i4").tobytes(), b"".join([self.surface[i] for i in ids]))
+        for at in range(0, len(together), 50_000):
+            words = together[at : at + 50_000]
+            ids, counts = self.merge_all(words)
+            data, cuts = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            surfaces = "\0".join(words).replace(MARK, " ").encode().split(b"\0")  # a known character stands for itself
+            got.update(zip(words, zip([data[a:b] for a, b in zip(cuts, cuts[1:])], surfaces)))
         return got
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the bytes that those ids stand for."""
-        if not text:
-            return b"", b""
-        chunks = self.chunk.findall(MARK + text.replace(" ", MARK))
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            parts = [got or self._learn(chunk) for chunk, got in zip(chunks, parts)]
-        ids, surface = zip(*parts)
-        return b"".join(ids), b"".join(surface)
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids as little-endian 32-bit integers, and the bytes that those ids stand for."""
+        chunked = [self.chunk.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list(set().union(*chunked).difference(self.known))
+        if new:
+            learned = self._learn(new)
+            if len(self.known) + len(new) > self.most_known:
+                self.known = {c: self.known[c] for c in set().union(*chunked).intersection(self.known)}
+            self.known.update(learned)
+        out = []
+        for chunks in chunked:
+            ids, surface = zip(*map(self.known.__getitem__, chunks)) if chunks else ((), ())
+            out.append((b"".join(ids), b"".join(surface)))
+        long = [c for c in new if len(c) > 64]
+        for c in long:
+            del self.known[c]
+        return out
 
 
 def decoded(surface: bytes) -> str:
@@ -172,7 +292,7 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text") -> DataFr
         table = merge_table(model)
 
         def find(texts):
-            got = [table.encode(t or "") for t in texts]
+            got = table.encode_all([t or "" for t in texts])
             lengths = np.array([0] + [len(ids) // 4 for ids, _ in got])
             values = pa.array(np.frombuffer(b"".join([ids for ids, _ in got]), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
