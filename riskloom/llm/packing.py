@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import stored, sub_batches
 
 END = 1
-#: White space by Unicode, as the byte-level pre-tokenizer sees it. Its tokens never run on past a letter, number or sign
-#: into white space, so a text can be encoded in chunks that each start with white space.
+#: White space by Unicode, as the byte-level pre-tokenizer sees it. Its tokens never run on past a letter, number or sign into white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE_SET = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+CUT = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 
 
 def merge_ranks(model: dict) -> tuple[dict[bytes, int], str] | None:
@@ -46,55 +44,34 @@ def merge_ranks(model: dict) -> tuple[dict[bytes, int], str] | None:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, as the tokenizers library gives them for the whole text.
+    """A text to its 32-bit ids, as the tokenizers library gives them for the whole text.
 
-    A chunk is encoded once and remembered; the memory is emptied when it holds ``most`` chunks. New chunks
-    are encoded in one text: no token reaches from a chunk's last letter or sign into the white space that the next one
-    starts with. Where the file's merges are in order of their ids, tiktoken applies them, which takes a fraction of the time
-    (``tests/llm`` compares the two); other files, texts with an added token and odd chunks go to the tokenizers library.
+    Where the file's merges are in order of their ids, tiktoken applies them, which takes a fraction of the time
+    (``tests/llm`` compares the two); other files and texts with an added token go to the tokenizers library. A text above ``most`` characters is
+    encoded in parts that start with white space behind another character: no token reaches across such a place.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         model = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in model.get("added_tokens", ())]
-        self.merges = merge_ranks(model)
-        if self.merges:
-            ranks, pattern = self.merges
-            self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-            self.lengths[list(ranks.values())] = [len(token) for token in ranks]
-            self.merges = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.merges and c[0] in SPACE_SET and c[-1] not in SPACE_SET]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.merges.encode_ordinary("".join(part)), "<u4")
-            ends = np.cumsum([len(c.encode()) for c in part])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()]
-            for c, i, j in zip(part, cuts, cuts[1:]):
-                self.known[c] = ids[i:j].tobytes()
-        others = [c for c in chunks if not self.merges or c[0] not in SPACE_SET or c[-1] in SPACE_SET]
-        for c, coded in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
-            self.known[c] = np.array(coded.ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        chunked = [CHUNK.findall(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        got = [list(map(self.known.get, chunks)) for chunks in chunked]
-        new = {c for chunks, ids in zip(chunked, got) if None in ids for c, i in zip(chunks, ids) if i is None}
-        if new:
-            self._learn(list(new))
-            got = [[i or self.known[c] for c, i in zip(chunks, ids)] if None in ids else ids for chunks, ids in zip(chunked, got)]
-        special = [any(a in t for a in self.added) for t in texts]
-        return [self._whole(t) if odd else b"".join(ids) for t, ids, odd in zip(texts, got, special)]
+        found = merge_ranks(model)
+        self.merges = tiktoken.Encoding("file", pat_str=found[1], mergeable_ranks=found[0], special_tokens={}) if found else None
+
+    def parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.most and (cut := CUT.search(text, at + self.most)):
+            yield text[at : cut.end()]
+            at = cut.end()
+        yield text[at:] if at else text
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.merges is None or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        parts = [self.merges.encode_to_numpy(part) for part in self.parts(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 @lru_cache(maxsize=1)
@@ -154,8 +131,7 @@ def pack(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = encoder(tokenizer), []
-        base = TaskContext.get().partitionId() << 32
-        number = [base]
+        number = [TaskContext.get().partitionId() << 32]
         mark = int(end).to_bytes(4, "little")
 
         def emit(pieces: list, is_open: bool = False) -> None:
@@ -173,8 +149,8 @@ def pack(
 
         windows = Windows(size, most_open, emit)
         for batch in sub_batches(batches, "t"):
-            for doc, ids in zip(batch.column("doc").to_pylist(), encode(batch.column("t").to_pylist())):
-                ids += mark
+            for doc, t in zip(batch.column("doc").to_pylist(), batch.column("t").to_pylist()):
+                ids = encode(t).astype("<u4", copy=False).tobytes() + mark
                 total, start = len(ids) // 4, 0
                 while total - start >= size:
                     emit([(doc, start, ids[4 * start : 4 * (start + size)], total)])
