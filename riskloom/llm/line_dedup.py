@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from riskloom.llm.base import stored
 
@@ -50,8 +51,18 @@ class Runs:
         return run
 
 
+def _cuts(rows: DataFrame, batches: int) -> list:
+    """Ids that cut the documents into ``batches``: quantiles of numbers; of other ids, order statistics of a hashed sample of about 10,000."""
+    shares = [i / batches for i in range(1, batches)]
+    if isinstance(rows.schema["doc"].dataType, IntegralType):
+        return sorted({int(c) for c in rows.approxQuantile("doc", shares, 0.01)}) if shares else []
+    n = rows.count() if shares else 0
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, n // 10_000))) == 0).select(F.sort_array(F.collect_set("doc")).alias("s")).first()["s"] if n else []
+    return sorted({some[int(len(some) * s)] for s in shares}) if some else []
+
+
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 4
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 2
 ) -> DataFrame:
     """``docs`` with later copies of a line gone from ``text``, and ``n_lines``, ``n_dropped`` (long).
 
@@ -63,13 +74,12 @@ def dedup_lines(
     many documents share is spread over all tasks.
 
     Null text is an empty text: one empty line. Rows with null id stay as they are and hold no lines for
-    others. Rows that share an id are one document. Columns of ``docs`` named ``n_lines`` or ``n_dropped``
+    others. Rows that share an id are one document; ids are of any type that sorts. Columns of ``docs`` named ``n_lines`` or ``n_dropped``
     are replaced. An empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t")).where("doc is not null")
-    cuts = sorted(set(rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    edges = [None, *(int(c) for c in cuts), None]
+    edges = [None, *_cuts(rows, batches), None]
     runs, dropped = Runs(fanout), []
     for low, high in zip(edges, edges[1:]):
         part = rows if low is None else rows.where(F.col("doc") > low)
@@ -79,11 +89,12 @@ def dedup_lines(
         run = runs.add(runs.unseen(lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"))))
         dropped.append(lines.join(run, ["h1", "h2", "doc"], "left_anti").select("doc", "th", "pos"))
     gone = reduce(DataFrame.union, dropped).groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    joined = docs.drop("n_lines", "n_dropped").join(gone, (F.col(key) == F.col("_doc")) & (F.xxhash64(t) == F.col("_th")), "left")
-    lines = F.split(t, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), t).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumns({
-        "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text: kept,
-    }).drop("_doc", "_th", "_gone")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))  # so that no name can clash
+    own, own_text = F.col("given").getField(key), F.coalesce(F.col("given").getField(text), F.lit(""))
+    joined = held.join(gone, (own == F.col("doc")) & (F.xxhash64(own_text) == F.col("th")), "left")
+    lines = F.split(own_text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), own_text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    found = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    same = [kept.alias(c) if c.lower() == text.lower() else F.col("given").getField(c).alias(c) for c in docs.columns if c.lower() not in found]
+    return joined.select(*same, *[c.alias(n) for n, c in found.items()])
