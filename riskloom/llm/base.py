@@ -108,6 +108,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def smallest_ids(classes: DataFrame, parts: DataFrame, node: str = "node", rep: str = "rep") -> DataFrame:
+    """``node, least, head`` of the nodes in ``parts (node, component)``: the smallest ``rep`` in a node's component, and the smallest node that has it."""
+    ids = classes.select(F.col(node).alias("node"), F.col(rep).alias("rep"))
+    held = parts.select("node", "component").join(ids, "node")
+    least = stored(held.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("first")), "least")
+    return parts.join(least, "component").select("node", F.col("first.rep").alias("least"), F.col("first.node").alias("head"))
+
+
 def with_computed(docs: DataFrame, text: str, ddl: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """``docs`` with columns that a Python function finds from the texts, a few MB of text at a time.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import components, dealt, groups_of, stored
+from riskloom.llm.base import components, dealt, groups_of, smallest_ids, stored
 from riskloom.llm.vectors import common_length, matrix, unit, usable
 
 
@@ -64,14 +64,14 @@ def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(rows: DataFrame, d: int, axes: np.ndarray, least: float, strip: int = 512) -> DataFrame:
-    """For each pair of tiles: how many rows each class is linked to (``b`` null), and links that span its components."""
+    """For each pair of tiles: how many rows each class (by its number) is linked to (``b`` null), and links that span its components."""
     shared = rows.sparkSession.sparkContext.broadcast(axes)  # d x d numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (left, right), part in groups_of(batches, ["left", "right"]):
             raw = unit(matrix(part.column("v"), d))
             turned = raw @ shared.value
-            ids, weight, tile = (part.column(c).to_numpy() for c in ("rep", "n", "tile"))
+            ids, weight, tile = (part.column(c).to_numpy() for c in ("node", "n", "tile"))
             a_rows, b_rows = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
             y, found = turned[b_rows], []
             for s in range(0, len(a_rows), strip):
@@ -101,8 +101,8 @@ def _compare(rows: DataFrame, d: int, axes: np.ndarray, least: float, strip: int
     return stored(dealt(rows, keys).mapInArrow(run, "a long, b long, n long"), "links")
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, tile_rows: int = 4096) -> DataFrame:
-    """``key, n_links, component_id, kept``, one row for each row of ``df``: links are cosines of ``least`` or more.
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, tile_rows: int = 4096) -> DataFrame:
+    """``key, n_links, component_id, kept``, one row for each row of ``df``: links are cosines of ``threshold`` or more.
 
     Equal vectors are one class with a count, so that copies are compared once. Classes are sorted along the first principal axis
     of all vectors and cut at quantiles into tiles of about ``tile_rows``. Two tiles are compared unless the gap
@@ -111,7 +111,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     all with all is quadratic where vectors do not lie apart.
 
     Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components are linked with nothing; so are rows with
-    null id, which are kept. Rows that share an id and differ in their vector are looked at one by one.
+    null id, which are kept. Rows that share an id and differ in their vector are looked at one by one: classes have numbers of their own.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit("second"), "v"), "ok": usable("v") & F.col("id").isNotNull()})
@@ -119,7 +119,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     good = F.col("ok") & (F.size("v") == d)
     everyone = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
     classes = everyone.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the numbers stay as written
     total = classes.count()
     apart = everyone.where("not ok").select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
@@ -130,28 +130,28 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = unit(matrix(batch.column("v"), d)) @ first.value if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "v")), pa.array(at)], names=["rep", "n", "v", "at"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "v")), pa.array(at)], names=["node", "n", "v", "at"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    # equal places are told apart by a tiny share that follows from the id
-    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * 1e-15
-    placed = stored(classes.mapInArrow(place, f"rep long, n long, v {kind}, at double").withColumn("pos", F.col("at") + share), "placed")
+    # equal places are told apart by a tiny share that follows from the number
+    share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * 1e-15
+    placed = stored(classes.mapInArrow(place, f"node long, n long, v {kind}, at double").withColumn("pos", F.col("at") + share), "placed")
     tiles = -(-total // tile_rows)
     cuts = sorted(set(placed.approxQuantile("pos", [k / tiles for k in range(1, tiles)], 0.2 / tiles))) if tiles > 1 else []
     tile = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("pos"))) if cuts else F.lit(0)
     placed = placed.withColumn("tile", tile.cast("long"))
     spans = sorted(map(tuple, placed.groupBy("tile").agg(F.min("at"), F.max("at")).collect()))  # one row a tile
     angle = [(t, np.arccos(np.clip(high, -1, 1)), np.arccos(np.clip(low, -1, 1))) for t, low, high in spans]
-    widest = np.arccos(least) + 1e-6
+    widest = np.arccos(threshold) + 1e-6
     partners = {t: [u for u, a, b in angle if u >= t and max(a - high, low - b) <= widest] for t, low, high in angle}
     met = {t: sorted({(t, u) for u in partners[t]} | {(u, t) for u in partners if t in partners[u]}) for t in partners}
     pairs = df.sparkSession.createDataFrame(
         [(t, a, b) for t, ps in met.items() for a, b in ps], "tile long, left long, right long"
     )
-    found = _compare(placed.join(pairs, "tile").select("left", "right", "rep", "n", "v", "tile"), d, axes, least)
+    found = _compare(placed.join(pairs, "tile").select("left", "right", "node", "n", "v", "tile"), d, axes, threshold)
     direct = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    parts = components(found.where("b is not null").select("a", "b"))
-    known = classes.select("k1", "k2", "rep", "n").join(direct, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = stored(known.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    least = smallest_ids(classes, components(found.where("b is not null").select("a", "b")))
+    known = classes.select("k1", "k2", "rep", "n", "node").join(direct, F.col("node") == F.col("a"), "left").join(least, "node", "left")
+    known = stored(known.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id")), "known")
     placed_rows = everyone.where("ok").select("id", "k1", "k2").join(known, ["k1", "k2"])
     return placed_rows.select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")).union(apart)

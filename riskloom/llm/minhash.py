@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import components, dealt, groups_of, joined_labels, shuffle_width, stored, sub_batches
+from riskloom.llm.base import components, dealt, groups_of, joined_labels, shuffle_width, smallest_ids, stored, sub_batches
 
 HASHES, TREES, DEPTH = 64, 18, 3
 #: Signatures of two sets that are 0.8 alike agree in half of 64 values but for one chance in a thousand million.
@@ -131,10 +131,11 @@ def _sign(rows: DataFrame, words: int) -> DataFrame:
             key = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sig = [next(signed).astype("<u4").tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc", "n", "key", "sig"]
+                [batch.column("doc"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                names=["doc", "th", "n", "key", "sig"],
             )
 
-    return rows.mapInArrow(run, "doc long, n long, key binary, sig binary")
+    return rows.mapInArrow(run, "doc long, th long, n long, key binary, sig binary")
 
 
 def _forest(reps: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def _exact(texts: DataFrame, cand: DataFrame, words: int, percent: int, block: i
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = 256, most_pairwise: int = 1024
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept``, one row for each row of ``docs``.
+    """``key, n_shingles, component_id, kept, head, text_hash``, one row for each row of ``docs``.
 
     Documents are linked when their sets of distinct ``words``-word shingles (words parted by ASCII white space, A-Z in lower case)
     have ``percent`` per cent of their union in common; a component is the smallest id that links reach. Equal sets are one class from the
@@ -279,19 +280,26 @@ def near_duplicates(
     whole sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with null id take no
-    part and are kept. Rows that share an id and differ in text are looked at one by one. An empty table gives an empty one.
+    part and are kept. Rows that share an id and differ in text are looked at one by one: what is compared and joined are classes of equal sets,
+    each with a number of its own. ``text_hash`` tells such rows apart, and ``head`` is true for the rows of one class in each component, which holds its smallest id
+    (and for rows that take no part). An empty table gives an empty one.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).withColumn("th", F.xxhash64("t"))
     signed = stored(_sign(rows, words), "signed")
     full = signed.where("n > 0 and doc is not null")
-    reps = stored(full.groupBy("key").agg(F.min(F.struct("doc", "sig")).alias("one")).select("key", "one.doc", "one.sig"), "reps")
-    groups = components(_candidates(_forest(reps.select("doc", "sig")), most_pairwise))
+    reps = full.groupBy("key").agg(F.min(F.struct("doc", "th", "sig")).alias("one")).select("key", "one.*", F.monotonically_increasing_id().alias("node"))
+    reps = stored(reps, "reps")  # the numbers stay as written
+    groups = components(_candidates(_forest(reps.select(F.col("node").alias("doc"), "sig")), most_pairwise))
     cand = stored(groups.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
-    texts = stored(rows.join(cand, "doc").select("doc", "comp", "t"), "texts")
-    found = _exact(texts, cand, words, percent, block)
-    classes = stored(reps.select("key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("component", "doc").alias("comp")), "classes")
-    placed = full.join(classes, "key").select("doc", "n", "comp")
-    alone = signed.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("comp"))
+    chosen = cand.join(reps.select(F.col("node").alias("doc"), F.col("doc").alias("id"), "th"), "doc")
+    texts = rows.select(F.col("doc").alias("id"), "th", "t").join(chosen, ["id", "th"]).select("doc", "comp", "t")
+    found = _exact(stored(texts, "texts"), cand, words, percent, block)
+    least = smallest_ids(reps, found, rep="doc")
+    classes = reps.select("key", "doc", "node").join(least, "node", "left")
+    classes = stored(classes.select("key", F.coalesce("least", "doc").alias("comp"), F.coalesce(F.col("head") == F.col("node"), F.lit(True)).alias("head")), "classes")
+    placed = full.join(classes, "key").select("doc", "th", "n", "comp", "head")
+    alone = signed.where("n = 0 or doc is null").select("doc", "th", "n", F.col("doc").alias("comp"), F.lit(True).alias("head"))
     return placed.union(alone).select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc") == F.col("comp"), F.lit(True)).alias("kept")
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc") == F.col("comp"), F.lit(True)).alias("kept"),
+        "head", F.col("th").alias("text_hash"),
     )

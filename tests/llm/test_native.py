@@ -48,6 +48,26 @@ def test_lines_ties_and_case(spark):
     assert got == {1: rows[1][1], 2: "short\nshort", 3: "ÉCOLE SUPÉRIEURE"}
 
 
+def test_lines_with_clashing_names_and_text_ids(spark, tricky):
+    """Columns named as the operator's own, in any case, stay; ids may be text."""
+    rows = [(r.doc_id, r.text) for r in tricky.collect()]
+    names = ["_gone", "_doc", "_th", "doc", "th", "gone", "t", "given", "h1", "pos", "k", "line"]
+    got = line_dedup.dedup_lines(tricky.select("*", *[F.lit(n).alias(n) for n in names]))
+    assert got.columns == ["doc_id", "text", "lang", "score", *names, "n_lines", "n_dropped"]
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute_lines(rows)
+    named = [(None if i is None else f"d{i:03}", t) for i, t in rows]
+    got = line_dedup.dedup_lines(spark.createDataFrame(named, "doc_id string, text string"))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute_lines(named)
+
+
+def test_defaults_compact(spark, sf_dir, monkeypatch):
+    seen = []
+    plain = line_dedup.Runs.add
+    monkeypatch.setattr(line_dedup.Runs, "add", lambda self, rows: (plain(self, rows), seen.append([len(level) for level in self.levels]))[0])
+    line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert [0, 1] in seen and seen[-1] == [1, 1]
+
+
 def test_runs_are_compacted(spark):
     runs = line_dedup.Runs(fanout=2)
     for k in range(4):

@@ -91,13 +91,35 @@ def test_minhash_groups(spark, block, pairwise):
 def test_minhash_of_odd_rows(spark, tricky):
     got = minhash.near_duplicates(tricky)
     rows = got.collect()
-    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and len(rows) == tricky.count()
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept", "head", "text_hash"] and len(rows) == tricky.count()
     by = {r.doc_id: r for r in rows}
     assert by[6].component_id == 5 and not by[6].kept and by[5].kept and by[3].n_shingles == by[4].n_shingles == by[7].n_shingles == 0 and by[7].kept
     assert by[None].component_id is None and by[None].kept
     assert minhash.near_duplicates(tricky.limit(0)).count() == 0
 
 
+def test_minhash_of_shared_ids(spark):
+    """Rows with one id and unlike texts stay apart; the component of each is the smallest id that its own text reaches."""
+    rng = random.Random(2)
+    long = lambda: [str(rng.random()) for _ in range(100)]
+    a, b, c = long(), long(), long()
+    rows = [(5, a), (5, b), (3, a[:-1]), (7, c), (7, c[:-1]), (9, b[1:]), (9, b[1:]), (11, long())]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs).join(docs.withColumn("text_hash", F.xxhash64("text")).distinct(), ["doc_id", "text_hash"]).collect()
+    told = {(r.doc_id, r.text): (r.component_id, r.kept, r.head) for r in got}
+    assert len(got) == 8 and [told[i, " ".join(t)][:2] for i, t in rows] == [
+        (3, False), (5, True), (3, True), (7, True), (7, True), (5, False), (5, False), (11, True)
+    ]
+    assert sum(told[i, " ".join(t)][2] for i, t in rows[3:5]) == 1  # one of two near copies with the same id heads their component
+
+
+def test_vectors_of_shared_ids(spark):
+    a, b, c = [1.0, 0.1, 0.0], [0.0, 1.0, 0.1], [0.1, 0.0, 1.0]
+    rows = [(5, a), (5, b), (3, [1.0, 0.2, 0.0]), (9, [0.0, 1.0, 0.2]), (9, [0.0, 1.0, 0.2]), (7, c)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (7, 0, 7, True), (9, 2, 5, False), (9, 2, 5, False)]
+
+
 def test_words_are_cut_anywhere(spark):
     text = " ".join(str(k % 97) for k in range(4000))
     whole, pieces = minhash.word_hashes(text.encode()), minhash.word_hashes(text.encode(), most=50)
@@ -198,6 +220,27 @@ def test_nearest_in_small_blocks(spark, sf_dir, vectors):
     assert len(got) == 300 and hits >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("large", [[1e160], [1e200, 1e-200, 1e-320], [1e8], [1e3, 1e5, 1e7, 1e9, 1e30]])
+def test_nearest_with_any_norms(spark, large):
+    """Vectors of very unlike size among unit vectors: they answer, are found, and take nothing from the others."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for at, norm in enumerate(large):
+        x[37 * at + 20] *= norm
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(docs, F.col("vec_id") % 20 == 0, k=10).toPandas()
+    assert len(got) == 600
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        g = g.sort_values("rank")
+        assert np.allclose(g.score, score[g.vec_id], rtol=1e-12, atol=0)
+        hits += len(set(g.vec_id) & set(np.lexsort((np.arange(1200), -score))[:10]))
+    assert hits >= 0.9 * len(got)
+
+
 def brute_vectors(ids, x, least):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want, n = Sets(), np.zeros(len(ids), int)
