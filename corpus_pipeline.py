@@ -31,10 +31,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id.
+
+    Rows that share an id and differ in text are documents of their own; of rows equal in id and text one stays.
+    """
     ship(spark)
-    gone = stored(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    found = stored(minhash.near_duplicates(docs).select("doc_id", "text_hash", (F.col("kept") & F.col("head")).alias("stays")), "near")
+    text_hash = F.xxhash64("text")
+    gone = stored(found.where("not stays").select("doc_id", "text_hash").distinct(), "gone")
+    kept = docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (text_hash == gone["text_hash"]), "left_anti").select(*COLUMNS)
+    again = stored(found.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1"), "again")
+    if again.isEmpty():
+        return kept
+    is_again = kept["doc_id"].eqNullSafe(again["doc_id"]) & (text_hash == again["text_hash"])
+    once = kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, is_again, "left_anti").union(once)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
