@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(group).orderBy(value)`` sends a whole group to one
 value falls into a bin that never decreases with the value. What lies ahead of a row is then the
 total of the earlier bins plus the rows ahead inside its bin, so the window over a group only sees
 one row per bin, and the window over a bin only the values in it. The result is exact: bins only
-decide which task does the work. They follow from the value alone, so a task that runs again after
+decide which task does the work. They are cut where the data lie: at edges from a quantile sketch, which Spark merges
+from all rows in one pass, with every value that is an edge in a bin of its own. Edges are written once, so a task that runs again after
 a lost executor makes the same bins.
 """
 
@@ -40,6 +41,47 @@ def value_bin(value: Column) -> Column:
     return F.when(value < 0, -place).otherwise(place)
 
 
+# A group has a bin for each so many of its rows, up to _BINS, each cut further by the signed logarithm; edges are searched in two steps of 16.
+_ROWS_IN_BIN, _BINS, _STEP = 512, 256, 16
+# The sketch's ranks are right to one part in so many.
+_ACCURACY = 10_000
+EDGES = "_edges"
+
+
+def bin_edges(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``_edges`` for each group: distinct values that part its rows about evenly, in lists of 16; none where the group is small.
+
+    A value that holds more than a bin's share of the rows is sure to be an edge.
+    """
+    shares = [i / _BINS for i in range(1, _BINS)]
+    sketch = rows.groupBy(*_refs(by)).agg(
+        F.percentile_approx(ref(value), shares, _ACCURACY).alias("_q"), F.least(F.lit(_BINS), F.ceil(F.count(F.lit(1)) / _ROWS_IN_BIN)).cast("int").alias("_k")
+    )
+    steps = F.sequence(F.lit(1), ref("_k") - 1)
+    picked = F.array_distinct(F.transform(steps, lambda i: F.get(ref("_q"), (i * _BINS / ref("_k")).cast("int") - 1)))
+    parts = F.sequence(F.lit(0), ((F.size("_e") - 1) / _STEP).cast("int"))
+    lists = F.transform(parts, lambda c: F.slice(ref("_e"), c * _STEP + 1, _STEP))
+    none = F.array().cast("array<array<double>>")
+    with_edges = sketch.withColumn("_e", F.when(ref("_k") > 1, picked).otherwise(F.array().cast("array<double>")))
+    return with_edges.select(*_refs(by), F.when(F.size("_e") > 0, lists).otherwise(none).alias(EDGES))
+
+
+def edge_bin(value: Column, edges: Column) -> Column:
+    """Twice the edges up to the value, less one if it equals the last of them."""
+    part = F.size(F.filter(edges, lambda e: e[0] <= value))
+    here = F.get(edges, part - 1)
+    upto = F.size(F.filter(here, lambda e: e <= value))
+    place = 2 * ((part - 1) * _STEP + upto) - (F.get(here, upto - 1) == value).cast("int")
+    return F.when(part == 0, F.lit(0)).otherwise(place)
+
+
+def binned(rows: DataFrame, by: Sequence[str], value: str, edges: DataFrame) -> DataFrame:
+    """``rows`` with their bin in ``_bin``; ``edges`` of :func:`bin_edges`, settled."""
+    joined = rows.join(edges, list(by))
+    place = F.shiftleft(edge_bin(ref(value), ref(EDGES)).cast("long"), 25) + (value_bin(ref(value)) + (1 << 24))
+    return joined.withColumn(BIN, place).select(*_refs([*rows.columns, BIN]))
+
+
 def known(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
@@ -53,9 +95,9 @@ def _ahead(name: str, by: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(ref(name)).over(window), F.lit(0).cast("long"))
 
 
-def bin_totals(binned: DataFrame, by: Sequence[str], counts: Sequence[str]) -> DataFrame:
+def bin_totals(placed: DataFrame, by: Sequence[str], counts: Sequence[str]) -> DataFrame:
     """One row per (group, bin): ``<count>`` in it, ``<count>_ahead`` and the group's ``<count>_all``."""
-    bins = binned.groupBy(*_refs([*by, BIN])).agg(*[F.sum(ref(c)).alias(c) for c in counts])
+    bins = placed.groupBy(*_refs([*by, BIN])).agg(*[F.sum(ref(c)).alias(c) for c in counts])
     whole = W.partitionBy(*_refs(by))
     return bins.withColumns(
         {f"{c}_ahead": _ahead(c, by, BIN) for c in counts} | {f"{c}_all": F.sum(ref(c)).over(whole) for c in counts}
@@ -72,11 +114,12 @@ def running_totals(
     give the rows it was collapsed from: bin totals are then read off them, which combines before
     the shuffle instead of waiting for the collapse.
     """
-    binned = df.withColumn(BIN, value_bin(ref(value)))
-    source = binned if rows is None else rows.withColumn(BIN, value_bin(ref(value)))
-    totals = bin_totals(source, by, counts)
+    whole = df if rows is None else rows
+    edges = settled(bin_edges(whole, by, value))
+    placed = binned(df, by, value, edges)
+    totals = bin_totals(placed if rows is None else binned(rows, by, value, edges), by, counts)
     keys = [*by, BIN]
-    local = binned.withColumns({f"_{c}_in": _ahead(c, keys, value) for c in counts})
+    local = placed.withColumns({f"_{c}_in": _ahead(c, keys, value) for c in counts})
     joined = local.join(totals.drop(*counts), keys)
     return joined.select(
         *_refs([*df.columns, BIN]),
@@ -90,37 +133,59 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, linear between neighbours; one output column per name.
 
-    Bin counts (combined before the shuffle) tell which bins hold the wanted ranks; only rows of
-    those bins are then counted by value. The rest of the data is never shuffled or sorted: the
-    list of bins is a few rows per group and, its size checked, reaches the scan as a broadcast.
+    A first pass sketches each group and brackets every wanted rank by two values whose ranks are sure to lie around it. A second
+    counts the rows before, between and behind the brackets, and those inside by value, combined before the shuffle. The
+    data is neither shuffled nor sorted: brackets are one row per group and join as Spark sees fit for their size. Should a rank lie outside its
+    brackets after all, these are widened and the second pass is done again.
     """
     rows = df.select(*_refs(by), ref(value).cast("double").alias("_v")).where(known(ref("_v")))
-    rows = solid_keys(rows, by).withColumn(BIN, value_bin(ref("_v")))
+    rows = solid_keys(rows, by)
     lone = "_all"
     if not by:
         rows, by = rows.withColumn(lone, F.lit(0)), [lone]
-    keys = [*by, BIN]
-
-    def holds(p: float, ahead: str, count: str) -> Column:
-        place = (ref("_n_all") - 1) * F.lit(float(p))
-        low, high, start = F.floor(place), F.ceil(place), ref(ahead)
-        stop = start + ref(count)
-        return ((low >= start) & (low < stop)) | ((high >= start) & (high < stop))
-
-    wanted = F.lit(False)
-    for p in quantiles.values():
-        wanted = wanted | holds(p, "_n_ahead", "_n")
-    bins = bin_totals(rows.withColumn("_n", F.lit(1).cast("long")), by, ["_n"]).where(wanted).drop("_n")
-    carried = [*keys, "_n_ahead", "_n_all"]
-    near = rows.join(settled(bins), keys).groupBy(*_refs([*carried, "_v"])).agg(F.count(F.lit(1)).alias("_c"))
-    near = near.withColumn("_start", ref("_n_ahead") + _ahead("_c", keys, "_v"))
+    wanted = sorted(set(map(float, quantiles.values())))
+    for margin in (4 / _ACCURACY, 0.02, 1.0):
+        near = settled(_near_ranks(rows, by, wanted, margin))
+        keys = [*by, BIN]
+        total = near.groupBy(*_refs(keys)).agg(F.sum("_c").alias("_n"), F.max(ref("_v").isNotNull()).alias("_inside"))
+        bins = total.withColumns({"_n_ahead": _ahead("_n", by, BIN), "_n_all": F.sum(ref("_n")).over(W.partitionBy(*_refs(by)))})
+
+        def holds(p: float, start: Column, count: Column) -> Column:
+            place = (ref("_n_all") - 1) * F.lit(p)
+            low, high, stop = F.floor(place), F.ceil(place), start + count
+            return ((low >= start) & (low < stop)) | ((high >= start) & (high < stop))
+
+        outside = F.lit(False)
+        for p in wanted:
+            outside = outside | holds(p, ref("_n_ahead"), ref("_n"))
+        if bins.where(~ref("_inside") & outside).isEmpty():
+            break
+    inside = near.where(ref("_v").isNotNull()).join(bins.drop("_n", "_inside"), keys)
+    inside = inside.withColumn("_start", ref("_n_ahead") + _ahead("_c", keys, "_v"))
     picks = []
     for name, p in quantiles.items():
-        here = F.when(holds(p, "_start", "_c"), ref("_v"))
+        here = F.when(holds(float(p), ref("_start"), ref("_c")), ref("_v"))
         place = F.max((ref("_n_all") - 1) * F.lit(float(p)))
         low = F.min(here)
         picks.append((low + (F.max(here) - low) * (place - F.floor(place))).alias(name))
-    return plain_keys(near.groupBy(*_refs(by)).agg(*picks), by).drop(lone)
+    return plain_keys(inside.groupBy(*_refs(by)).agg(*picks), by).drop(lone)
+
+
+def _near_ranks(rows: DataFrame, by: Sequence[str], wanted: Sequence[float], margin: float) -> DataFrame:
+    """Counts ``_c`` by group, ``_bin`` and ``_v``: the value for rows inside a bracket, null for rows before, between and behind them."""
+    shares = [share for p in wanted for share in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = rows.groupBy(*_refs(by)).agg(F.percentile_approx("_v", shares, _ACCURACY).alias("_q"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    ends = {}
+    for i, p in enumerate(wanted):
+        ends[f"_low{i}"] = ref("_least") if shares[2 * i] == 0 else ref("_q")[2 * i]
+        ends[f"_high{i}"] = ref("_most") if shares[2 * i + 1] == 1 else ref("_q")[2 * i + 1]
+    brackets = settled(sketch.select(*_refs(by), *[c.alias(n) for n, c in ends.items()]))
+    value, place, inside = ref("_v"), F.lit(0), F.lit(False)
+    for i in range(len(wanted)):
+        place = place + (value >= ref(f"_low{i}")).cast("int") + (value > ref(f"_high{i}")).cast("int")
+        inside = inside | ((value >= ref(f"_low{i}")) & (value <= ref(f"_high{i}")))
+    placed = rows.join(brackets, list(by)).select(*_refs(by), place.alias(BIN), F.when(inside, value).alias("_v"))
+    return placed.groupBy(*_refs([*by, BIN, "_v"])).agg(F.count(F.lit(1)).alias("_c"))
 
 
 def ranked_codes(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

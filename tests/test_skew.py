@@ -30,12 +30,31 @@ def test_auc_and_quantiles_on_a_hot_group(skewed):
     assert np.allclose([q["a"], q["b"], q["c"]], np.quantile(hot["x"], [0.1, 0.5, 0.99]))
 
 
-def test_largest_sorted_share_is_small(skewed):
-    """Distinct values of the hot group spread over many bins."""
-    bins = skewed.where("g = 'hot'").select(O.value_bin(F.col("x")).alias("b"), "x").distinct()
-    sizes = bins.groupBy("b").count()
-    top, total = sizes.agg(F.max("count"), F.sum("count")).first()
-    assert top < 0.01 * total
+@pytest.mark.parametrize("low,width", [(0.0, 100.0), (0.9999, 0.0001), (1.7e9, 86_400.0), (-1e12, 1.0), (0.0, 1e-300)])
+def test_largest_sorted_share_is_small(skewed, low, width):
+    """Distinct values of the hot group spread over many bins, wherever they lie; a third of its rows on one value is a bin of its own."""
+    rows = skewed.select("g", (F.lit(low) + F.col("x") / 100 * width).alias("x"))
+    placed = O.binned(rows, ["g"], "x", O.bin_edges(rows, ["g"], "x").persist()).where("g = 'hot'")
+    sizes = placed.groupBy(O.BIN).agg(F.count("*").alias("n"), F.count_distinct("x").alias("values"), F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
+    assert (sizes[sizes["values"] > 1].n < 0.01 * sizes.n.sum()).all() and (sizes["values"] <= 0.015 * sizes["values"].sum()).all()
+    by = sizes.sort_values(O.BIN)
+    assert (by.high.to_numpy()[:-1] < by.low.to_numpy()[1:]).all()
+    assert sizes.n.max() > 0.3 * sizes.n.sum()
+
+
+def test_squeezed_scores_and_times(spark):
+    """Scores in [0.9999, 1] and epoch seconds: exact totals and quantiles."""
+    n = F.col("id")
+    rows = spark.range(60_000).select(F.pmod(n, F.lit(2)).alias("g"), F.when(n % 2 == 0, 0.9999 + F.pmod(F.xxhash64(n), F.lit(40_000)) / 4e8).otherwise(1.7e9 + F.pmod(F.xxhash64(n), F.lit(30_000))).alias("x"))
+    held = rows.toPandas()
+    got = O.exact_quantiles(rows, ["g"], "x", {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.999, "e": 1.0}).toPandas().set_index("g")
+    for g, part in held.groupby("g"):
+        assert np.array_equal(got.loc[g], np.quantile(part.x, [0.0, 0.31, 0.5, 0.999, 1.0])) or np.allclose(got.loc[g], np.quantile(part.x, [0.0, 0.31, 0.5, 0.999, 1.0]), rtol=1e-15)
+    values = rows.groupBy("g", "x").agg(F.count("*").alias("n"))
+    totals = O.running_totals(values, ["g"], "x", ["n"]).toPandas()
+    for g, part in totals.groupby("g"):
+        part = part.sort_values("x")
+        assert (part.n_ahead == part.n.cumsum().shift(fill_value=0)).all() and part[O.BIN].value_counts().max() < max(0.01 * len(part), 600)
 
 
 def test_quantiles_without_broadcast(spark, skewed):
