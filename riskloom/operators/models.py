@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -421,11 +422,30 @@ def best_size(table: DataFrame, metric: str = "accuracy") -> int:
     return table.orderBy(F.desc_nulls_last(metric), "size").first()["size"]
 
 
+def _mean_scores(fixed: DataFrame, grid: Sequence[float], slope: float, rows: int = 2048) -> DataFrame:
+    """(value, yhat): the mean over ``_eta`` of the logistic function of _eta + slope * value."""
+    shift = slope * np.asarray(grid, float)
+
+    def sums(batches):
+        total, n = np.zeros(len(shift)), 0
+        for batch in batches:
+            eta = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            n += len(eta)
+            for at in range(0, len(eta), rows):
+                with np.errstate(over="ignore"):  # exp beyond the doubles is a probability of 0
+                    total += (1 / (1 + np.exp(-(eta[at : at + rows, None] + shift)))).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(shift))), pa.array(total), pa.array(np.full(len(shift), n))], names=["i", "total", "n"])
+
+    parts = fixed.mapInArrow(sums, "i long, total double, n long").groupBy("i").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("yhat"))
+    values = fixed.sparkSession.createDataFrame(list(enumerate(map(float, grid))), "i long, value double")
+    return values.join(parts, "i").select("value", "yhat")
+
+
 def partial_dependence(fitted: Fitted, df: DataFrame, predictor: str, points: int = 51, grid: Sequence[float] | None = None) -> DataFrame:
     """Mean P(event) with the predictor set to each grid value on every row: (value, yhat).
 
-    A logistic score is one pass: the part that does not move is computed once for each row, and every grid
-    value is an average of its own. For other models each row is repeated per grid value inside its task.
+    A logistic score is one pass: the part that does not move is computed once for each row, and each task hands on one sum for each grid
+    value. For other models each row is repeated per grid value inside its task.
     """
     if grid is None:
         ends = df.agg(F.min(ref(predictor)).alias("a"), F.max(ref(predictor)).alias("b")).first()
@@ -436,9 +456,7 @@ def partial_dependence(fitted: Fitted, df: DataFrame, predictor: str, points: in
         columns = list(packer.getInputCols())
         slope = float(model.coefficients[columns.index(column)])
         fixed = made[0].transform(df).select(linear_score(model, columns, column).alias("_eta"))
-        means = [F.avg(1 / (1 + F.exp(-(ref("_eta") + F.lit(slope * v))))).alias(f"_y{i}") for i, v in enumerate(grid)]
-        pairs = F.array(*[F.struct(F.lit(float(v)).alias("value"), ref(f"_y{i}").alias("yhat")) for i, v in enumerate(grid)])
-        return fixed.agg(*means).select(F.explode(pairs).alias("_p")).select("_p.*")
+        return _mean_scores(fixed, grid, slope)
     moved = df.withColumn(predictor, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     scored = fitted.score(moved)
     return scored.groupBy(ref(predictor).alias("value")).agg(F.avg(P).alias("yhat"))

@@ -13,7 +13,7 @@ from riskloom.operators import confusion as M
 from riskloom.operators import models as L
 from riskloom.operators import resample as S
 from riskloom.operators.roc import auc
-from riskloom.plans.registry import TAXA, TRACE, UNITS_SQL, query, rounded, site_sql, site_table, table, units
+from riskloom.plans.registry import DAY_SQL, SITE_SQL, TAXA, UNITS_SQL, day_sites, query, rounded, site_table, table, units
 from riskloom.plans.tests_catalog import CELLS_SQL, JUDGED_SQL, TWO_WAY_SQL, _judged, _pa, _roots
 
 GROUPS_SQL = f"""{UNITS_SQL}, g AS (SELECT type, count(*) AS n, count(*) FILTER (crms = 'fail') AS e FROM units GROUP BY 1),
@@ -68,7 +68,7 @@ def anova_two_df_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.where((ref("df") == 2) & (ref("term") != "Residuals")).select("name", "term", "p"), "p")
 
 
-@query(f"""WITH {site_sql(TRACE)}, pa AS (SELECT grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
+@query(f"""WITH {DAY_SQL}, pa AS (SELECT grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
 m AS (SELECT grp AS g, {', '.join(f'avg({t}) AS m_{t}' for t in TAXA)} FROM pa GROUP BY 1),
 d AS (SELECT grp, sqrt({' + '.join(f'({t} - m_{t}) ** 2' for t in TAXA)}) AS dist FROM pa JOIN m ON grp = g),
 c AS (SELECT grp, count(*) AS n, avg(dist) AS mean, var_pop(dist) AS v FROM d GROUP BY 1), t AS (SELECT sum(n * mean) / sum(n) AS mm FROM c),
@@ -110,7 +110,7 @@ def auc_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(auc(rows, "crms", "av_speed", "fail", ["fold"]).select("fold", "auc"), "auc", digits=8)
 
 
-@query(f"""WITH {site_sql()}, c AS (SELECT var_samp(click) AS a, covar_samp(click, view) AS b, var_samp("view") AS d FROM sites),
+@query(f"""WITH {SITE_SQL}, c AS (SELECT var_samp(click) AS a, covar_samp(click, view) AS b, var_samp("view") AS d FROM sites),
 v AS (SELECT (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS top, a, b, d FROM c), u AS (SELECT b / sqrt(b * b + (top - a) ** 2) AS x, (top - a) / sqrt(b * b + (top - a) ** 2) AS y FROM v)
 SELECT user_id, round(abs(click * x + "view" * y), 6) AS axis1, round(abs("view" * x - click * y), 6) AS axis2 FROM sites CROSS JOIN u""")
 def pca_two_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def fisher_rxc_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fisher_rxc(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus").select("n")
 
 
-@query(f"""WITH {site_sql()}, l AS (UNPIVOT sites ON {', '.join(TAXA)} INTO NAME taxon VALUE value), m AS (SELECT taxon, grp, avg(value) AS m, avg(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS b FROM l GROUP BY 1, 2),
+@query(f"""WITH {SITE_SQL}, l AS (UNPIVOT sites ON {', '.join(TAXA)} INTO NAME taxon VALUE value), m AS (SELECT taxon, grp, avg(value) AS m, avg(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS b FROM l GROUP BY 1, 2),
 s AS (SELECT taxon, grp, sqrt(m / sum(m) OVER (PARTITION BY taxon) * b) AS stat FROM m)
 SELECT taxon, arg_max(grp, stat) AS grp, round(max(stat), 8) AS stat FROM s GROUP BY 1""")
 def indval_best(spark: SparkSession, sf_dir: str) -> DataFrame:

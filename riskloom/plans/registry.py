@@ -94,29 +94,26 @@ UNITS_SQL = """units AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-# Amounts up to this are traces: a site has a taxon when it shows more of it at least once.
-TRACE = 120
+def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users x event types: log(1 + summed value) per taxon, 0 where a user has none."""
+    return _cover(table(spark, sf_dir, "events").groupBy("user_id")).withColumn("grp", F.concat(F.lit("g"), F.pmod("user_id", F.lit(3))))
 
 
-def site_table(spark: SparkSession, sf_dir: str, above: int | None = None) -> DataFrame:
-    """Users x event types: log(1 + summed value) per taxon, 0 where a user has none.
+def day_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users on days x event types, so that taxa are absent; ``user_id`` holds the site, user and day in one number."""
+    sites = _cover(table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")))
+    site = ref("user_id") * 100000 + F.datediff("day", F.lit("1970-01-01").cast("date"))
+    return sites.select(site.alias("user_id"), *TAXA, F.concat(F.lit("g"), F.pmod("user_id", F.lit(3))).alias("grp"))
 
-    With ``above`` only larger amounts count as cover.
-    """
-    events = table(spark, sf_dir, "events")
 
-    def counts(taxon: str) -> Column:
-        here = ref("event_type") == taxon
-        return here if above is None else here & (ref("value") > above)
+def _cover(grouped) -> DataFrame:
+    return grouped.agg(*[F.log1p(F.coalesce(F.sum(F.when(ref("event_type") == t, ref("value"))), F.lit(0.0))).alias(t) for t in TAXA])
 
-    cover = [F.log1p(F.coalesce(F.sum(F.when(counts(t), ref("value"))), F.lit(0.0))).alias(t) for t in TAXA]
-    return events.groupBy("user_id").agg(*cover).withColumn("grp", F.concat(F.lit("g"), F.pmod("user_id", F.lit(3))))
 
-
-def site_sql(above: int | None = None) -> str:
-    more = "" if above is None else f" AND value > {above}"
-    cover = ", ".join(f"ln(1 + coalesce(sum(CASE WHEN event_type = '{t}'{more} THEN value END), 0)) AS \"{t}\"" for t in TAXA)
-    return f"sites AS (SELECT user_id, {cover}, 'g' || (user_id % 3) AS grp FROM events GROUP BY user_id)"
+_COVER_SQL = ", ".join(f"ln(1 + coalesce(sum(CASE WHEN event_type = '{t}' THEN value END), 0)) AS \"{t}\"" for t in TAXA)
+SITE_SQL = f"sites AS (SELECT user_id, {_COVER_SQL}, 'g' || (user_id % 3) AS grp FROM events GROUP BY user_id)"
+DAY_SQL = f"""sites AS (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS user_id, {_COVER_SQL}, 'g' || (e.user_id % 3) AS grp
+  FROM events e GROUP BY e.user_id, CAST(ts AS DATE))"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from riskloom.operators import ordered as O
 from riskloom.operators import prepare as P
 from riskloom.operators import profile as A
 from riskloom.operators.roc import to_series
-from riskloom.plans.registry import MEASURES, TAXA, TRACE, query, rounded, site_sql, site_table, table
+from riskloom.plans.registry import DAY_SQL, MEASURES, SITE_SQL, TAXA, day_sites, query, rounded, site_table, table
 
 
 @query("""SELECT l_linestatus AS line_status, l_orderkey AS order_key, l_quantity AS quantity, l_extendedprice AS extended_price,
@@ -349,10 +349,10 @@ def unpivot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.split_name(to_series(part, ["price~list", "size~raw"], ["p_partkey"]), "name", ["what", "kind"])
 
 
-@query(f"""WITH {site_sql(TRACE)} SELECT user_id, round({' + '.join(TAXA)}, 6) AS total, CAST({' + '.join(f'(CASE WHEN {t} > 0 THEN 1 ELSE 0 END)' for t in TAXA)} AS INT) AS richness,
+@query(f"""WITH {DAY_SQL} SELECT user_id, round({' + '.join(TAXA)}, 6) AS total, CAST({' + '.join(f'(CASE WHEN {t} > 0 THEN 1 ELSE 0 END)' for t in TAXA)} AS INT) AS richness,
   {', '.join(f'CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END AS {t}' for t in TAXA)} FROM sites""")
 def row_sum_richness_pa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = site_table(spark, sf_dir, TRACE)
+    sites = day_sites(spark, sf_dir)
     taxa = [ref(t) for t in TAXA]
     counted = sites.withColumn("total", F.round(N.row_sum(taxa), 6)).withColumn("richness", N.richness(taxa))
     return E.presence_table(counted, TAXA).select("user_id", "total", "richness", *TAXA)
@@ -437,7 +437,7 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.scatter(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", "o_orderkey", ["o_orderstatus"])
 
 
-@query(f"""WITH {site_sql()}, m AS (SELECT grp, {', '.join(f'avg({t}) AS {t}' for t in TAXA)} FROM sites GROUP BY 1), l AS (UNPIVOT m ON {', '.join(TAXA)} INTO NAME name VALUE value)
+@query(f"""WITH {SITE_SQL}, m AS (SELECT grp, {', '.join(f'avg({t}) AS {t}' for t in TAXA)} FROM sites GROUP BY 1), l AS (UNPIVOT m ON {', '.join(TAXA)} INTO NAME name VALUE value)
 SELECT grp, name, round(value, 6) AS value, round(value / sum(value) OVER (PARTITION BY grp), 6) AS share FROM l""")
 def taxa_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.taxa_share(site_table(spark, sf_dir), ["grp"], TAXA), "value", "share")

@@ -13,7 +13,7 @@ from riskloom.operators import roc as R
 from riskloom.operators import rules as D
 from riskloom.operators.profile import unit_means
 from riskloom.plans.registry import (
-    MEASURES, SCORES_SQL, TAXA, TRACE, UNITS_SQL, query, rounded, scores, site_sql, site_table, table, units,
+    DAY_SQL, MEASURES, SCORES_SQL, SITE_SQL, TAXA, UNITS_SQL, day_sites, query, rounded, scores, site_table, table, units,
 )
 
 PRED_17 = """CASE WHEN type IN ('Bulk', 'Tanker') AND (time_since_owm > 260 OR time_since_af > 260) OR (laid_up_more_10d > 0 AND ports_12m > 35) THEN 'fail'
@@ -308,14 +308,14 @@ def fisher_rxc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fisher_rxc(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-PROFILE_SQL = f"""{site_sql(TRACE)}, pa AS (SELECT {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)}, grp FROM sites),
+PROFILE_SQL = f"""{DAY_SQL}, pa AS (SELECT {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)}, grp FROM sites),
 v AS (SELECT concat_ws('|', {', '.join(f"CASE WHEN {t} > 0 THEN '1.0' ELSE '0.0' END" for t in TAXA)}) AS p, {', '.join(f'max({t}) AS {t}' for t in TAXA)}, count(*) AS n FROM pa GROUP BY 1),
 d AS (SELECT a.p AS profile1, b.p AS profile2, a.n AS n1, b.n AS n2, {' + '.join(f'abs(a.{t} - b.{t})' for t in TAXA)} AS apart, {' + '.join(f'a.{t} + b.{t}' for t in TAXA)} AS whole FROM v a JOIN v b ON a.p < b.p)"""
 
 
 def _pa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presence table: which taxa a site shows more than traces of."""
-    return E.presence_table(site_table(spark, sf_dir, TRACE), TAXA)
+    """Presence table: which taxa a user showed on a day."""
+    return E.presence_table(day_sites(spark, sf_dir), TAXA)
 
 
 def _distances(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
@@ -337,17 +337,17 @@ def euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distances(spark, sf_dir, "euclid")
 
 
-@query(f"""WITH {site_sql(TRACE)}, m AS (SELECT grp, {', '.join(f'avg({t}) AS {t}' for t in TAXA)}, count(*) AS n_sites FROM sites GROUP BY 1)
+@query(f"""WITH {DAY_SQL}, m AS (SELECT grp, {', '.join(f'avg({t}) AS {t}' for t in TAXA)}, count(*) AS n_sites FROM sites GROUP BY 1)
 SELECT a.grp AS profile1, b.grp AS profile2, a.n_sites AS n1, b.n_sites AS n2, round(({' + '.join(f'abs(a.{t} - b.{t})' for t in TAXA)}) / ({' + '.join(f'a.{t} + b.{t}' for t in TAXA)}), 8) AS d
 FROM m a JOIN m b ON a.grp < b.grp""")
 def bray_curtis_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = site_table(spark, sf_dir, TRACE)
+    sites = day_sites(spark, sf_dir)
     means = sites.groupBy("grp").agg(*[F.avg(t).alias(t) for t in TAXA], F.count(F.lit(1)).alias("n_sites"))
     return rounded(E.profile_distances(means, TAXA, "bray", ref("grp")), "d", digits=8)
 
 
 # Written over all pairs of sites; the query itself goes over profiles.
-@query(f"""WITH {site_sql(TRACE)}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
+@query(f"""WITH {DAY_SQL}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
 y AS (SELECT a.grp AS g1, b.grp AS g2, {' + '.join(f'abs(a.{t} - b.{t})' for t in TAXA)} AS apart, {' + '.join(f'a.{t} + b.{t}' for t in TAXA)} AS whole FROM pa a JOIN pa b ON a.user_id < b.user_id),
 z AS (SELECT g1, g2, CASE WHEN whole = 0 THEN 0 ELSE (apart / whole) ** 2 END AS q FROM y),
 s AS (SELECT grp, count(*) AS n FROM pa GROUP BY 1), w AS (SELECT sum(x / n) AS ssw, sum(n) AS n, count(*) AS k FROM (SELECT g1, sum(q) AS x FROM z WHERE g1 = g2 GROUP BY 1) JOIN s ON g1 = grp),
@@ -365,14 +365,14 @@ def permanova_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.permanova_terms(sites, TAXA, ["grp", "half"])
 
 
-@query(f"""WITH {site_sql(TRACE)}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
+@query(f"""WITH {DAY_SQL}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
 m AS (SELECT grp AS g, {', '.join(f'avg({t}) AS m_{t}' for t in TAXA)} FROM pa GROUP BY 1)
 SELECT user_id, grp, round(sqrt({' + '.join(f'({t} - m_{t}) ** 2' for t in TAXA)}), 8) AS dist FROM pa JOIN m ON grp = g""")
 def dispersion_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.centroid_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", digits=8).select("user_id", "grp", "dist")
 
 
-@query(f"""WITH {site_sql(TRACE)}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
+@query(f"""WITH {DAY_SQL}, pa AS (SELECT user_id, grp, {', '.join(f'(CASE WHEN {t} > 0 THEN 1.0::DOUBLE ELSE {t} END) AS {t}' for t in TAXA)} FROM sites),
 m AS (SELECT grp AS g, {', '.join(f'avg({t}) AS m_{t}' for t in TAXA)} FROM pa GROUP BY 1),
 d AS (SELECT grp, sqrt({' + '.join(f'({t} - m_{t}) ** 2' for t in TAXA)}) AS dist FROM pa JOIN m ON grp = g),
 c AS (SELECT grp, count(*) AS n, avg(dist) AS mean, var_pop(dist) AS v FROM d GROUP BY 1), t AS (SELECT sum(n * mean) / sum(n) AS mm FROM c),
@@ -391,7 +391,7 @@ def dispersion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_.withColumn("p", f_tail_col("f", ref("df_between").cast("double"), ref("df_within").cast("double")))
 
 
-@query(f"""WITH {site_sql()}, l AS (UNPIVOT sites ON {', '.join(TAXA)} INTO NAME taxon VALUE value), m AS (SELECT taxon, grp, avg(value) AS m, avg(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS b FROM l GROUP BY 1, 2)
+@query(f"""WITH {SITE_SQL}, l AS (UNPIVOT sites ON {', '.join(TAXA)} INTO NAME taxon VALUE value), m AS (SELECT taxon, grp, avg(value) AS m, avg(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS b FROM l GROUP BY 1, 2)
 SELECT taxon, grp, round(m / sum(m) OVER (PARTITION BY taxon), 8) AS a, round(b, 8) AS b, round(sqrt(m / sum(m) OVER (PARTITION BY taxon) * b), 8) AS stat FROM m""")
 def indval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.indicator_values(site_table(spark, sf_dir), TAXA, "grp"), "a", "b", "stat", digits=8)
@@ -407,6 +407,6 @@ def taxa_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ordination(site_table(spark, sf_dir), TAXA, ["user_id", "grp"])
 
 
-@query(f"""WITH {site_sql()} SELECT grp, {', '.join(f'round(avg({t}), 6) AS {t}' for t in TAXA)} FROM sites GROUP BY 1""")
+@query(f"""WITH {SITE_SQL} SELECT grp, {', '.join(f'round(avg({t}), 6) AS {t}' for t in TAXA)} FROM sites GROUP BY 1""")
 def range_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(unit_means(site_table(spark, sf_dir), ["grp"], TAXA, strict=False), *TAXA)
