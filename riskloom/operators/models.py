@@ -20,6 +20,7 @@ from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions.columns import ref
 from riskloom.operators.confusion import confusion, with_metrics
+from riskloom.operators.newton import Candidate, ManyFits
 from riskloom.operators.profile import group_min_med_max
 from riskloom.operators.resample import factor_levels, fold_of, learn_scaling, smote
 from riskloom.operators.roc import auc
@@ -318,104 +319,77 @@ def dispersion(scored: DataFrame, truth: str, event: object, parameters: int, p:
     )
 
 
-class _Subsets:
-    """Logistic fits on subsets of terms over one prepared, cached frame."""
+class _Terms:
+    """Term sets as candidates over one prepared frame: all fits of a round are Newton steps in common passes."""
 
-    def __init__(self, df: DataFrame, truth: str, event: object, predictors: Sequence[str]):
+    def __init__(self, df: DataFrame, truth: str, event: object, predictors: Sequence[str], folds: Sequence[Column] = ()):
         self.plan = design(df, predictors)
         ready = self.plan.stage.transform(with_label(df, truth, event)).na.drop(subset=self.plan.columns())
-        self.rows = ready.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(self, terms: Sequence[str], rows: DataFrame | None = None) -> Fitted:
-        columns = self.plan.columns(terms) if terms else []
-        rows = self.rows if rows is None else rows
-        if not columns:
-            rows, columns = rows.withColumn("_none", F.lit(0.0)), ["_none"]
-        pack = VectorAssembler(inputCols=columns, outputCol="_x")
-        return Fitted(PipelineModel([self.plan.stage, pack, _glm().fit(pack.transform(rows))]), columns)
-
-    def aic(self, terms: Sequence[str]) -> float:
-        if terms and self.plan.columns(terms):
-            return float(self.fit(terms).summary.aic)
-        # Without predictors the fitted probability is the share of events.
-        row = self.rows.agg(F.sum(LABEL).alias("e"), F.count(F.lit(1)).alias("n")).first()
-        e, n = float(row["e"]), float(row["n"])
-        loss = sum(k * np.log(k / n) for k in (e, n - e) if k > 0)
-        return float(-2 * loss + 2)
-
-    def close(self) -> None:
-        self.rows.unpersist()
-
-
-def step_aic(
-    df: DataFrame, truth: str, event: object, predictors: Sequence[str], parallelism: int = 4
-) -> tuple[list[str], DataFrame]:
+        self.columns = self.plan.columns()
+        self.fits = ManyFits(ready, ref(LABEL), self.columns, folds)
+
+    def candidate(self, terms: Sequence[str], repeat: int = -1, fold: int = -1) -> Candidate:
+        return Candidate([self.columns.index(c) for t in terms for c in self.plan.terms[t]], repeat, fold)
+
+
+def step_aic(df: DataFrame, truth: str, event: object, predictors: Sequence[str]) -> tuple[list[str], DataFrame]:
     """Backward selection by AIC: (terms kept, path of (step, dropped, aic)).
 
-    All models use the rows complete in the starting predictors. A factor goes as one term.
+    All models use the rows complete in the starting predictors. A factor goes as one term. The models of a round, one
+    for each term that may go, are fitted together.
     """
-    work = _Subsets(df, truth, event, predictors)
+    work = _Terms(df, truth, event, predictors)
     try:
         terms = list(predictors)
-        current = work.aic(terms)
+        current = work.fits.fit([work.candidate(terms)])[0].aic
         path = [(0, None, current)]
-        with ThreadPool(max(1, parallelism)) as pool:
-            while terms:
-                tried = pool.map(lambda t: (work.aic([x for x in terms if x != t]), t), list(terms))
-                best, drop = min(tried)
-                if best >= current:
-                    break
-                terms.remove(drop)
-                current = best
-                path.append((len(path), drop, current))
+        while terms:
+            tried = work.fits.fit([work.candidate([x for x in terms if x != t]) for t in terms])
+            best, drop = min((c.aic, t) for c, t in zip(tried, terms))
+            if best >= current:
+                break
+            terms.remove(drop)
+            current = best
+            path.append((len(path), drop, current))
     finally:
-        work.close()
-    return terms, df.sparkSession.createDataFrame(path, "step int, dropped string, aic double")
+        work.fits.close()
+    return terms, df.sparkSession.createDataFrame([(i, t, float(a)) for i, t, a in path], "step int, dropped string, aic double")
 
 
 def feature_elimination(
     df: DataFrame, key: Sequence[str], truth: str, event: object, predictors: Sequence[str],
-    sizes: Sequence[int], folds: int = 5, repeats: int = 1, seed: int = 1234567, parallelism: int = 4,
+    sizes: Sequence[int], folds: int = 5, repeats: int = 1, seed: int = 1234567,
 ) -> DataFrame:
     """Accuracy and kappa per number of predictors, averaged over folds: (size, accuracy, kappa).
 
     Per fold all predictors are fitted once and ranked by absolute z; each size then takes the top
-    ones. The full set is always one of the sizes.
+    ones. The full set is always one of the sizes. All folds are fitted together, then all sizes of all folds, and
+    one more pass counts the calls on the rows left out.
     """
     wanted = sorted({*[s for s in sizes if s <= len(predictors)], len(predictors)})
-    work = _Subsets(df, truth, event, predictors)
+    work = _Terms(df, truth, event, predictors, [fold_of(key, folds, r, seed) for r in range(1, repeats + 1)])
     try:
-        def one(job: tuple[int, int]) -> list[DataFrame]:
-            repeat, fold = job
-            place = fold_of(key, folds, repeat, seed)
-            train, test = work.rows.where(place != fold), work.rows.where(place == fold)
-            full = work.fit(list(predictors), train)
-            z = np.abs(np.nan_to_num([float(b) / s if s else 0.0 for b, s in zip(full.pipeline.stages[-1].coefficients, full.summary.coefficientStandardErrors)]))
-            strength = dict(zip(full.names, z))
+        jobs = [(r, f) for r in range(repeats) for f in range(folds)]
+        full = work.fits.fit([work.candidate(predictors, r, f) for r, f in jobs])
+        asked, names = [], []
+        for (r, f), model in zip(jobs, full):
+            strength = dict(zip(work.columns, np.abs(model.z)))
             ranked = sorted(predictors, key=lambda t: -max(strength[c] for c in work.plan.terms[t]))
-            parts = []
-            for size in wanted:
-                model = work.fit(ranked[:size], train)
-                packed = PipelineModel(model.pipeline.stages[1:]).transform(test)
-                parts.append(packed.select(
-                    F.lit(size).alias("size"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"),
-                    F.when(ref(LABEL) == 1, F.lit("e")).otherwise(F.lit("o")).alias("obs"),
-                    F.when(ref("prediction") > 0.5, F.lit("e")).otherwise(F.lit("o")).alias("call"),
-                ))
-            return parts
-
-        jobs = [(r, f) for r in range(1, repeats + 1) for f in range(folds)]
-        with ThreadPool(max(1, parallelism)) as pool:
-            parts = [p for ps in pool.map(one, jobs) for p in ps]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        cells = with_metrics(confusion(out, "obs", "call", "e", ["size", "repeat", "fold"]))
-        table = cells.groupBy("size").agg(F.avg("accuracy").alias("accuracy"), F.avg("kap").alias("kappa"))
+            asked += [work.candidate(ranked[:size], r, f) for size in wanted]
+            names += [(size, r, f) for size in wanted]
+        work.fits.fit(asked)
+        spark = df.sparkSession
+        known = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "i long, size int, repeat int, fold int")
+        calls = work.fits.held_out_calls(asked).join(known, "i")
+        cells = calls.groupBy("size", "repeat", "fold").agg(*[
+            F.coalesce(F.sum(F.when((ref("obs") == o) & (ref("call") == c), ref("n"))), F.lit(0)).alias(n)
+            for n, o, c in (("tp", True, True), ("fn", True, False), ("fp", False, True), ("tn", False, False))
+        ])
+        table = with_metrics(cells).groupBy("size").agg(F.avg("accuracy").alias("accuracy"), F.avg("kap").alias("kappa"))
         # A few rows, taken while the prepared frame is still cached.
-        return df.sparkSession.createDataFrame(table.orderBy("size").collect(), table.schema)
+        return spark.createDataFrame(table.orderBy("size").collect(), table.schema)
     finally:
-        work.close()
+        work.fits.close()
 
 
 def best_size(table: DataFrame, metric: str = "accuracy") -> int:

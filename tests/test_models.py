@@ -261,3 +261,48 @@ def test_averaged_cells(spark):
     rows = [(1, 0, "a", "a"), (1, 0, "a", "b"), (1, 1, "a", "a"), (1, 1, "a", "a"), (1, 1, "b", "a"), (1, 1, "b", "b")]
     got = {(r["truth"], r["estimate"]): (r["n"], r["percent"]) for r in L.averaged_cells(spark.createDataFrame(rows, "repeat int, fold int, obs string, pred string"), "obs", "pred").collect()}
     assert got == {("a", "a"): (1.5, 50.0), ("a", "b"): (0.5, 25.0), ("b", "a"): (0.5, 12.5), ("b", "b"): (0.5, 12.5)}
+
+
+def single_fit(x, y, steps=40):
+    x = np.column_stack((np.ones(len(x)), x))
+    b = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
+    p = 1 / (1 + np.exp(-x @ b))
+    return b, np.sqrt(np.diag(np.linalg.inv(x.T @ (x * (p * (1 - p))[:, None])))), -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+
+def test_many_fits_equal_single_ones(spark):
+    """All subsets of three columns of very unlike scale, on all rows and without a fold, in common passes."""
+    from itertools import combinations
+
+    from riskloom.operators.newton import Candidate, ManyFits
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack((rng.normal(size=900), rng.normal(1e4, 3e3, 900), rng.integers(0, 2, 900)))
+    y = (rng.random(900) < 1 / (1 + np.exp(-(x[:, 0] - (x[:, 1] - 1e4) / 5e3 + x[:, 2])))).astype(float)
+    fold = rng.integers(0, 3, 900)
+    frame = spark.createDataFrame([(float(t), *map(float, r), int(k)) for t, r, k in zip(y, x, fold)], "y double, a double, b double, c double, k int").repartition(5)
+    work = ManyFits(frame, F.col("y"), ["a", "b", "c"], [F.col("k")])
+    asked = [Candidate(list(s), r, f) for n in range(4) for s in combinations(range(3), n) for r, f in ((-1, -1), (0, 1))]
+    work.fit(asked)
+    for c in asked:
+        used = np.ones(900, bool) if c.repeat < 0 else fold != c.fold
+        beta, errors, loss = single_fit(x[used][:, c.columns], y[used])
+        assert np.allclose(c.beta, beta, rtol=1e-8, atol=1e-10) and np.allclose(c.errors, errors, rtol=1e-8) and abs(c.loss - loss) < 1e-8 and c.rows == used.sum()
+        assert abs(c.aic - (2 * loss + 2 * len(beta))) < 1e-7
+    calls = {(r.i, r.obs, r.call): r.n for r in work.held_out_calls(asked[-1:]).collect()}
+    held = fold == 1
+    told = np.column_stack((np.ones(900), x))[held] @ asked[-1].beta > 0
+    assert calls == {(0, o, c): n for o in (True, False) for c in (True, False) if (n := int(((y[held] > 0) == o)[told == c].sum()))}
+    same = [Candidate([0, 1]), Candidate([0])]  # a column that repeats another adds nothing
+    twice = ManyFits(frame.withColumn("b", F.col("a")), F.col("y"), ["a", "b"])
+    twice.fit(same)
+    assert same[0].rank == same[1].rank == 2 and abs(same[0].aic - same[1].aic) < 1e-7
+    apart = [Candidate([0])]  # separated rows: no maximum, but an end
+    ManyFits(frame.withColumn("y", (F.col("a") > 0).cast("double")), F.col("y"), ["a"]).fit(apart)
+    assert apart[0].loss < 1e-3
+    nothing = [Candidate([0])]
+    ManyFits(frame.limit(0), F.col("y"), ["a"]).fit(nothing)
+    assert nothing[0].rows == 0
