@@ -213,6 +213,18 @@ def draw_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray, ti
     return out
 
 
+def split_counts(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
+    """For each row of counts how many of each kind are among ``size`` drawn without replacement."""
+    out = np.empty_like(left)
+    need, rest = np.full(len(left), size), left.sum(axis=1)
+    for j in range(left.shape[1] - 1):
+        rest = rest - left[:, j]
+        out[:, j] = draw_hypergeometric(rng, left[:, j], rest, need)
+        need = need - out[:, j]
+    out[:, -1] = need
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def f_tail_col(stat: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(f_tail(stat, df1, df2))

@@ -13,19 +13,39 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions import tails
 from riskloom.functions.columns import across, ref
 from riskloom.functions.numeric import presence, strict_mean
-from riskloom.operators.ordered import exact_quantiles
 from riskloom.sources.tables import settled
 
 
 
+def groups_of(batches, keys: Sequence[str], most: int):
+    """The rows of each run of equal integer keys in sorted batches, in parts of at most ``most`` rows."""
+    held, last, n = [], None, 0
+    for batch in batches:
+        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys]) if batch.num_rows else np.zeros((0, len(keys)))
+        cuts = np.flatnonzero(np.any(values[1:] != values[:-1], axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            while a < b:
+                at = tuple(int(v) for v in values[a])
+                if held and (at != last or n >= most):
+                    yield last, pa.Table.from_batches(held)
+                    held, n = [], 0
+                take = min(b - a, most - n)
+                held.append(batch.slice(a, take))
+                last, n, a = at, n + take, a + take
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def site_means(df: DataFrame, site: Sequence[str], taxa: Sequence[str], log: bool = True) -> DataFrame:
     """Mean cover per site and taxon, log(x + 1) when asked."""
     means = df.groupBy(*[ref(c) for c in site]).agg(*[strict_mean(ref(c)).alias(c) for c in taxa])
@@ -258,63 +278,188 @@ def centroid_distances(sites: DataFrame, taxa: Sequence[str], group: str) -> Dat
     return joined.withColumn("dist", F.sqrt(square)).drop(*[f"_m_{c}" for c in taxa])
 
 
+def spatial_medians(
+    sites: DataFrame, taxa: Sequence[str], group: str, most_rounds: int = 500, tolerance: float = 1e-10
+) -> DataFrame:
+    """The point of each group with the smallest sum of Euclidean distances to its sites: (group, taxa...).
+
+    Weiszfeld's iteration over distinct profiles with their counts; a round is one grouped aggregate. Where the point lies on a profile the pull
+    of the other sites is held against that profile's count, which says whether it stays. At the end the profile nearest to the point
+    is tried in its place. Centres are one row of numbers for each group and go to the next round as a small table.
+    """
+    spark = sites.sparkSession
+    held = settled(profiles(sites.na.drop(subset=[group]), taxa, [group]))
+    names = [f"_m{i}" for i in range(len(taxa))]
+    total = ref("n_sites").cast("double")
+    start = held.groupBy(ref(group)).agg(*[(F.sum(ref(c) * total) / F.sum(total)).alias(n) for c, n in zip(taxa, names)])
+    schema = start.schema
+    centres = [tuple(r) for r in start.collect()]
+    size = max((abs(v) for r in centres for v in r[1:]), default=0.0)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        square = reduce(add, [F.pow(ref(c) - ref(n), F.lit(2.0)) for c, n in zip(taxa, names)])
+        return rows.withColumn("_d", F.sqrt(square))
+
+    for _ in range(most_rounds):
+        near = apart(held.join(spark.createDataFrame(centres, schema), group))
+        on = ref("_d") <= 1e-14 * (1 + size)
+        pull = F.when(~on, total / ref("_d"))
+        sums = [F.sum(F.when(on, total)).alias("_eta"), F.sum(pull).alias("_w")]
+        sums += [F.sum(pull * ref(c)).alias(f"_t{i}") for i, c in enumerate(taxa)] + [F.first(ref(n)).alias(n) for n in names]
+        moved, step = [], 0.0
+        for r in near.groupBy(ref(group)).agg(*sums).collect():
+            here = np.array([r[n] for n in names])
+            if r["_w"] is None:  # all sites in one point
+                moved.append((r[group], *here.tolist()))
+                continue
+            goal = np.array([r[f"_t{i}"] for i in range(len(taxa))]) / r["_w"]
+            force = r["_w"] * float(np.linalg.norm(goal - here))
+            stay = min(1.0, (r["_eta"] or 0.0) / force) if force > 0 else 1.0
+            there = (1 - stay) * goal + stay * here
+            step = max(step, float(np.abs(there - here).max()))
+            moved.append((r[group], *there.tolist()))
+        centres = moved
+        if step <= tolerance * (1 + size):
+            break
+    point = spark.createDataFrame(centres, schema)
+    near = apart(held.join(point, group))
+    nearest = near.groupBy(ref(group)).agg(F.min_by(F.struct(*[ref(c) for c in taxa]), ref("_d")).alias("_p"), F.sum(total * ref("_d")).alias("_sum"))
+    other = nearest.select(ref(group), "_sum", *[ref("_p")[c].alias(n) for c, n in zip(taxa, names)])
+    tried = apart(held.join(settled(other), group)).groupBy(ref(group)).agg(F.sum(total * ref("_d")).alias("_new"), F.first("_sum").alias("_old"), *[F.first(n).alias(n) for n in names])
+    better = tried.where(ref("_new") < ref("_old")).select(ref(group), *names)
+    out = better.union(point.join(better.select(ref(group)), group, "left_anti").select(ref(group), *names))
+    return settled(out.select(ref(group), *[ref(n).alias(c) for c, n in zip(taxa, names)]))
+
+
+def median_distances(sites: DataFrame, taxa: Sequence[str], group: str) -> DataFrame:
+    """Each site with ``dist``, its Euclidean distance to its group's spatial median; sites with a null are left out."""
+    rows = sites.na.drop(subset=[*taxa, group])
+    centres = spatial_medians(rows, taxa, group).select(ref(group), *[ref(c).alias(f"_m_{c}") for c in taxa])
+    square = reduce(add, [F.pow(ref(c) - ref(f"_m_{c}"), F.lit(2.0)) for c in taxa])
+    return rows.join(centres, group).withColumn("dist", F.sqrt(square)).drop(*[f"_m_{c}" for c in taxa])
+
+
 def indicator_values(sites: DataFrame, taxa: Sequence[str], group: str) -> DataFrame:
     """Rows (taxon, grp, a, b, stat): specificity, fidelity and their geometric mean."""
-    return _indval(sites.na.drop(subset=[*taxa, group]), taxa, group, [])
+    return _indval(_group_sums(sites.na.drop(subset=[*taxa, group]), taxa, group), taxa, [], 1)
+
+
+def indicator_combinations(sites: DataFrame, taxa: Sequence[str], group: str, most: int | None = None) -> DataFrame:
+    """As :func:`indicator_values` for every combination of up to ``most`` groups (all but the whole by default), named ``a+b``.
+
+    Specificity is the share of the combination's groups in the sum of group means, fidelity the share of
+    its sites where the taxon occurs.
+    """
+    return _indval(_group_sums(sites.na.drop(subset=[*taxa, group]), taxa, group), taxa, [], most)
+
+
+def _group_sums(rows: DataFrame, taxa: Sequence[str], group: str) -> DataFrame:
+    """(grp, n, sums, hits): sites of a group, and for each taxon its sum and the sites where it occurs."""
+    arrays = [F.array(*[F.sum(ref(c).cast("double")) for c in taxa]), F.array(*[F.sum((ref(c) > 0).cast("double")) for c in taxa])]
+    return rows.groupBy(ref(group).alias("grp")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[a.alias(n) for a, n in zip(arrays, ("sums", "hits"))])
+
+
+def _subsets(groups: Column, most: int | None) -> Column:
+    """All combinations of the elements of a sorted array, of 1 to ``most`` elements, by default all but the whole; a single group is one."""
+    k = F.size(groups)
+    limit = F.greatest(k - 1, F.lit(1)) if most is None else F.least(k, F.lit(most))
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), k).cast("long") - 1)
+    chosen = F.transform(masks, lambda m: F.filter(groups, lambda g, i: F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
+    return F.filter(chosen, lambda c: F.size(c) <= limit)
 
 
-def _indval(rows: DataFrame, taxa: Sequence[str], group: str, by: Sequence[str]) -> DataFrame:
-    """Means and occurrence per group and taxon; one aggregation over the sites."""
-    aggs = []
+def _indval(sums: DataFrame, taxa: Sequence[str], by: Sequence[str], most: int | None) -> DataFrame:
+    """Indicator values from sums of groups; with ``most`` 1 of single groups, else of combinations."""
+    keys = [ref(c) for c in by]
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grp", "n", "sums", "hits"))).alias("_g"))  # one cell for each group level
+    single = F.transform("_g", lambda g: F.array(g))
+    sets = packed.withColumn("_s", F.explode(single if most == 1 else _subsets(ref("_g"), most)))
+
+    def mean(groups: Column, i: int) -> Column:
+        return F.aggregate(groups, F.lit(0.0), lambda t, g: t + g["sums"][i] / g["n"])
+
+    def found(i: int) -> Column:
+        return F.aggregate(ref("_s"), F.lit(0.0), lambda t, g: t + g["hits"][i])
+
+    items = []
     for i, c in enumerate(taxa):
-        aggs += [F.avg(ref(c)).alias(f"_m{i}"), F.avg((ref(c) > 0).cast("double")).alias(f"_b{i}")]
-    wide = rows.groupBy(*[ref(c) for c in by], ref(group).alias("grp")).agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("taxon"), ref(f"_m{i}").alias("m"), ref(f"_b{i}").alias("b")) for i, c in enumerate(taxa)])
-    long = wide.select(*[ref(c) for c in by], "grp", F.explode(items).alias("_i")).select(*[ref(c) for c in by], "grp", "_i.*")
-    sums = long.groupBy(*[ref(c) for c in by], "taxon").agg(F.sum("m").alias("_all"))
-    share = F.coalesce(ref("m") / F.nullif(ref("_all"), F.lit(0.0)), F.lit(0.0))
-    out = long.join(sums, [*by, "taxon"])
-    return out.select(*[ref(c) for c in by], "taxon", "grp", share.alias("a"), "b", F.sqrt(share * ref("b")).alias("stat"))
-
-
-def shuffled_labels(
-    sites: DataFrame, key: Sequence[str], group: str, keep: Sequence[str], permutations: int, seed: int = 1
+        share = F.coalesce(mean(ref("_s"), i) / F.nullif(mean(ref("_g"), i), F.lit(0.0)), F.lit(0.0))
+        hits = found(i)
+        count = F.aggregate(ref("_s"), F.lit(0.0), lambda t, g: t + g["n"])
+        items.append(F.struct(F.lit(c).alias("taxon"), share.alias("a"), (hits / count).alias("b")))
+    name = ref("_s")[0]["grp"] if most == 1 else F.array_join(F.transform("_s", lambda g: g["grp"].cast("string")), "+")
+    out = sets.select(*keys, name.alias("grp"), F.explode(F.array(*items)).alias("_i")).select(*keys, "_i.taxon", "grp", "_i.a", "_i.b")
+    return out.withColumn("stat", F.sqrt(ref("a") * ref("b")))
+
+
+def permuted_sums(
+    rows: DataFrame, taxa: Sequence[str], key: Sequence[str], group: str, permutations: int, seed: int = 1, blocks: int | None = None
 ) -> DataFrame:
-    """Every site once per permutation, with labels shuffled and group sizes kept.
+    """(permutation, grp, n, sums, hits) as :func:`_group_sums` has them, for labels shuffled over all sites with group sizes kept.
 
-    A permutation orders sites by a random number fixed by (site, permutation) and cuts the order at
-    the group sizes. The cuts are exact quantiles, found from bin counts, so no permutation is
-    sorted or shuffled as a whole: a site compares its number with the cuts and takes its label.
+    A shuffle of labels is two draws: how many of each group fall into each block of sites (multivariate hypergeometric, drawn for a few
+    hundred blocks from their sizes), and which sites of a block take them. A task draws the second for all
+    permutations and adds up its sites, some thousand at a time, so no site is copied and no permutation sorted. Blocks follow from the
+    key and draws from block and seed: a task that runs again repeats them.
     """
-    sizes = [(r[0], r[1]) for r in sites.groupBy(ref(group)).agg(F.count(F.lit(1))).orderBy(ref(group)).collect()]
-    total = sum(n for _, n in sizes)
-    draw = F.xxhash64(*[ref(c) for c in key], ref("permutation"), F.lit(seed).cast("long"))
-    number = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
-    times = sites.select(*[ref(c) for c in [*key, *keep]], F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
-    drawn = times.withColumn("_u", number)
-    marks, start = {}, 0
-    for i, (_, n) in enumerate(sizes[:-1]):
-        start += n
-        # Halfway between the last number of one group and the first of the next.
-        marks[f"_cut{i}"] = (start - 0.5) / (total - 1) if total > 1 else 0.0
-    cuts = exact_quantiles(drawn, ["permutation"], "_u", marks)
-    label = F.lit(sizes[-1][0])
-    for i in reversed(range(len(sizes) - 1)):
-        label = F.when(ref("_u") < ref(f"_cut{i}"), F.lit(sizes[i][0])).otherwise(label)
-    return drawn.join(settled(cuts), "permutation").select("permutation", *[ref(c) for c in [*key, *keep]], label.alias(group))
+    spark = rows.sparkSession
+    blocks = blocks or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = F.xxhash64(*[ref(c) for c in key])
+    placed = rows.select(F.pmod(order, F.lit(blocks)).cast("int").alias("_block"), order.alias("_order"), F.array(*[ref(c).cast("double") for c in taxa]).alias("_x"), ref(group).alias("_grp"))
+    sizes = [(r[0], r[1]) for r in placed.groupBy("_grp").agg(F.count(F.lit(1))).orderBy("_grp").collect()]
+    levels = [g for g, _ in sizes]
+    counts = {r[0]: r[1] for r in placed.groupBy("_block").agg(F.count(F.lit(1))).collect()}  # at most ``blocks`` rows
+    rng, left, share = np.random.default_rng([seed, 1]), np.tile(np.array([n for _, n in sizes], np.int64), (permutations, 1)), {}
+    for b in sorted(counts):
+        share[b] = tails.split_counts(rng, left, counts[b])
+        left = left - share[b]
+    held = spark.sparkContext.broadcast(share)  # permutations x blocks x groups counts
+    t, g = len(taxa), len(levels)
+
+    def run(batches):
+        last, remaining, drawn, total, n = None, None, None, None, 0
+
+        def emit():
+            perm, grp = np.divmod(np.arange(permutations * g), g)
+            flat = total.reshape(permutations * g, 1 + 2 * t)
+            return pa.RecordBatch.from_arrays([pa.array(perm + 1, pa.int32()), pa.array(grp, pa.int32()), pa.array(flat.tolist())], names=["permutation", "level", "v"])
+
+        for (block,), part in groups_of(batches, ["_block"], 2048):
+            x = part.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, t)
+            if block != last:
+                if last is not None:
+                    yield emit()
+                last, remaining, drawn = block, held.value[block].copy(), np.random.default_rng([seed, 2, block])
+                total = np.zeros((permutations, g, 1 + 2 * t))
+            values = np.column_stack((np.ones(len(x)), x, x > 0))
+            here = tails.split_counts(drawn, remaining, len(x))
+            remaining = remaining - here
+            for p in range(permutations):
+                label = drawn.permutation(np.repeat(np.arange(g), here[p]))
+                for k in range(g):
+                    total[p, k] += values[label == k].sum(axis=0)
+        if last is not None:
+            yield emit()
+
+    parts = placed.repartition(blocks, "_block").sortWithinPartitions("_block", "_order").select("_block", "_x").mapInArrow(run, "permutation int, level int, v array<double>")
+    added = parts.groupBy("permutation", "level").agg(*[F.sum(ref("v")[i]).alias(f"_{i}") for i in range(1 + 2 * t)])
+    names = spark.createDataFrame(list(enumerate(levels)), T.StructType([T.StructField("level", T.IntegerType()), T.StructField("grp", rows.schema[group].dataType)]))
+    return added.join(names, "level").select(
+        "permutation", "grp", ref("_0").alias("n"), F.array(*[ref(f"_{1 + i}") for i in range(t)]).alias("sums"), F.array(*[ref(f"_{1 + t + i}") for i in range(t)]).alias("hits")
+    )
 
 
 def indicator_test(
-    sites: DataFrame, taxa: Sequence[str], key: Sequence[str], group: str, permutations: int = 999, seed: int = 1
+    sites: DataFrame, taxa: Sequence[str], key: Sequence[str], group: str, permutations: int = 999, seed: int = 1, most: int | None = 1
 ) -> DataFrame:
-    """Best group per taxon with its statistic and permutation p."""
+    """Best group per taxon with its statistic and permutation p; with ``most`` (null: all but the whole) the best combination of so many groups."""
     rows = sites.na.drop(subset=[*taxa, group])
-    seen = _indval(rows, taxa, group, [])
+    seen = _indval(_group_sums(rows, taxa, group), taxa, [], most)
     best = seen.groupBy("taxon").agg(
         F.max(F.struct("stat", "grp", "a", "b")).alias("_b")
     ).select("taxon", "_b.grp", "_b.a", "_b.b", "_b.stat")
-    mixed = shuffled_labels(rows, key, group, taxa, permutations, seed)
-    null = _indval(mixed, taxa, group, ["permutation"]).groupBy("permutation", "taxon").agg(F.max("stat").alias("_s"))
+    drawn = settled(permuted_sums(rows, taxa, key, group, permutations, seed))
+    null = _indval(drawn, taxa, ["permutation"], most).groupBy("permutation", "taxon").agg(F.max("stat").alias("_s"))
     joined = null.join(settled(best.select("taxon", "stat")), "taxon")
     hits = joined.groupBy("taxon").agg(F.sum((ref("_s") >= ref("stat") - 1e-12).cast("long")).alias("_h"))
     return best.join(hits, "taxon").withColumn("p", (ref("_h") + 1) / F.lit(permutations + 1.0)).drop("_h")

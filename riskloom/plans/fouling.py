@@ -158,7 +158,7 @@ def community_report(df: DataFrame, permutations: int = 999, seed: int = 1) -> d
         part = A.unit_means(long, ["vessel_code", "type", "crms", "area", side, "name"], ["value"]).na.drop(subset=[side])
         out[f"boxes_{side}"] = V.box_stats(part, "value", ["name", side, "crms"])
     for group in ("type", "crms"):
-        spread = T.anova_one_way(E.centroid_distances(present, taxa, group), "dist", group)
+        spread = T.anova_one_way(E.median_distances(present, taxa, group), "dist", group)
         p = f_tail_col("f", ref("df_between").cast("double"), ref("df_within").cast("double"))
         out[f"dispersion_{group}"] = spread.withColumn("p", p)
     return out

@@ -397,6 +397,36 @@ def indval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.indicator_values(site_table(spark, sf_dir), TAXA, "grp"), "a", "b", "stat", digits=8)
 
 
+@query(f"""WITH {DAY_SQL}, m AS (SELECT grp AS g, median("view") AS m FROM sites GROUP BY 1)
+SELECT grp, count(*) AS n, round(sum(abs("view" - m)) / count(*), 6) AS mean_dist FROM sites JOIN m ON grp = g GROUP BY 1""")
+def dispersion_median_one_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one dimension the spatial median is the median; where it is not unique the mean distance still is."""
+    rows = E.median_distances(day_sites(spark, sf_dir), ["view"], "grp")
+    return rounded(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean_dist")), "mean_dist")
+
+
+@query()
+def dispersion_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread about spatial medians between groups, over all taxa."""
+    return T.anova_one_way(E.median_distances(_pa(spark, sf_dir), TAXA, "grp"), "dist", "grp")
+
+
+@query(f"""WITH {SITE_SQL}, l AS (UNPIVOT sites ON {', '.join(TAXA)} INTO NAME taxon VALUE value),
+m AS (SELECT taxon, grp, avg(value) AS m, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM l GROUP BY 1, 2),
+c AS (SELECT * FROM (VALUES ('g0'), ('g1'), ('g2'), ('g0+g1'), ('g0+g2'), ('g1+g2')) v(combination))
+SELECT m.taxon, combination AS grp, round(sum(m) FILTER (contains(combination, m.grp)) / sum(m), 8) AS a,
+  round(sum(hits) FILTER (contains(combination, m.grp)) / sum(n) FILTER (contains(combination, m.grp)), 8) AS b,
+  round(sqrt(sum(m) FILTER (contains(combination, m.grp)) / sum(m) * sum(hits) FILTER (contains(combination, m.grp)) / sum(n) FILTER (contains(combination, m.grp))), 8) AS stat
+FROM m CROSS JOIN c GROUP BY 1, 2""")
+def indval_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.indicator_combinations(site_table(spark, sf_dir), TAXA, "grp"), "a", "b", "stat", digits=8)
+
+
+@query()
+def indval_combinations_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.indicator_test(site_table(spark, sf_dir), TAXA, ["user_id"], "grp", most=None)
+
+
 @query()
 def indval_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.indicator_test(site_table(spark, sf_dir), TAXA, ["user_id"], "grp")

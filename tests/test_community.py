@@ -121,14 +121,57 @@ def test_indicator_values(sites):
             assert np.allclose(got[(t, g)], (a, b, np.sqrt(a * b)))
 
 
-def test_label_shuffles_keep_group_sizes(sites):
-    _, df = sites
-    mixed = E.shuffled_labels(df, ["site"], "crms", TAXA, 20, seed=5)
-    counts = {(r["permutation"], r["crms"]): r["count"] for r in mixed.groupBy("permutation", "crms").count().collect()}
-    assert len(counts) == 40
-    assert {v for (p, g), v in counts.items() if g == "fail"} == {30}
-    pattern = mixed.groupBy("site").agg(F.countDistinct("crms").alias("c")).where("c = 1").count()
-    assert pattern == 0
+def test_permuted_sums_keep_groups_and_totals(spark, sites):
+    rows, df = sites
+    got = E.permuted_sums(df, TAXA, ["site"], "crms", 60, seed=5, blocks=4).toPandas()
+    assert len(got) == 120 and set(got[got.grp == "fail"].n) == {30.0}
+    for _, part in got.groupby("permutation"):
+        assert np.allclose(np.sum(part.sums.tolist(), axis=0), [sum(r[3 + k] for r in rows) for k in range(len(TAXA))])
+        assert np.array_equal(np.sum(part.hits.tolist(), axis=0), [sum(r[3 + k] > 0 for r in rows) for k in range(len(TAXA))])
+    one = np.array([v[0] for v in got[got.grp == "fail"].sums])
+    x = np.array([r[3] for r in rows], float)
+    spread = 30 * (len(x) - 30) / (len(x) - 1) * x.var()  # of a sum of 30 drawn without replacement
+    assert len(set(one)) > 30 and abs(one.mean() - 30 * x.mean()) < 4 * np.sqrt(spread / 60) and 0.5 < one.var() / spread < 1.8
+    again = E.permuted_sums(df.repartition(7), TAXA, ["site"], "crms", 60, seed=5, blocks=4).toPandas()
+    key = ["permutation", "grp"]
+    assert np.allclose(np.stack(got.sort_values(key).sums), np.stack(again.sort_values(key).sums))
+
+
+def test_combinations_of_groups(sites):
+    from itertools import combinations
+
+    rows, df = sites
+    got = {(r["taxon"], r["grp"]): (r["a"], r["b"], r["stat"]) for r in E.indicator_combinations(df, TAXA, "type").collect()}
+    levels = sorted({r[2] for r in rows})
+    want = [c for n in range(1, len(levels)) for c in combinations(levels, n)]
+    assert {g for _, g in got} == {"+".join(c) for c in want} and len(levels) == 3
+    for k, t in enumerate(TAXA):
+        means = {g: np.mean([r[3 + k] for r in rows if r[2] == g]) for g in levels}
+        for c in want:
+            a = sum(means[g] for g in c) / sum(means.values())
+            b = np.mean([r[3 + k] > 0 for r in rows if r[2] in c])
+            assert np.allclose(got[(t, "+".join(c))], (a, b, np.sqrt(a * b)))
+    assert {r["grp"] for r in E.indicator_test(df, TAXA, ["site"], "type", permutations=19, most=None).collect()} <= {"+".join(c) for c in want}
+
+
+@pytest.mark.parametrize("kind", ["presence", "cover", "one"])
+def test_spatial_medians_are_least(spark, sites, kind):
+    """No point around gives a smaller sum of distances; in one dimension it is the median."""
+    rows, df = sites
+    taxa = TAXA[:1] if kind == "one" else TAXA
+    df = E.presence_table(df, taxa) if kind == "presence" else df
+    x = np.array([[r[3 + TAXA.index(t)] for t in taxa] for r in rows], float)
+    x = (x > 0).astype(float) if kind == "presence" else x
+    rng = np.random.default_rng(1)
+    for r in E.spatial_medians(df, taxa, "type").collect():
+        mine, at = x[[o[2] == r["type"] for o in rows]], np.array([r[t] for t in taxa])
+        total = lambda p: np.linalg.norm(mine - p, axis=1).sum()
+        tried = [at + rng.normal(size=len(taxa)) * s for s in (1e-1, 1e-2, 1e-3, 1e-4) for _ in range(200)] + list(mine)
+        assert total(at) <= min(map(total, tried)) + 1e-6
+        if kind == "one":
+            assert abs(total(at) - total(np.median(mine, axis=0))) < 1e-6
+    spread = E.median_distances(df, taxa, "type")
+    assert spread.count() == len(rows)
 
 
 def test_indicator_test(sites):
