@@ -255,8 +255,9 @@ def dedup_substrings(
     2. Documents are written once with those of their segments that the filter passes.
     3. Segments that occur more than once are repeated whole. Of each gram with several different segments, one copy of each is sent to a
     shard: suffix array, common prefixes, and the windows that another start shares.
-    4. A gram whose segments need more than ``shard_bytes`` is cut into several shards. Each sends a hash (64 bits, under the gram's 64) of
-    its distinct windows to be merged: in each bucket of hashes the sorted runs of all shards are searched for each other's.
+    4. A gram whose segments need more than ``shard_bytes`` is cut into several shards. Each sends its distinct windows to be merged as hashes (64 bits, under the gram's
+    64) in packed arrays, one for each bucket of about 256 KB of the gram (at most ``MOST_BUCKETS``, then buckets grow): in a bucket
+    the sorted runs of all shards are searched for each other's.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -297,20 +298,22 @@ def dedup_substrings(
         buckets = max(1, round(total / shard_bytes))
         large = F.col("bytes") > shard_bytes
         sub = F.when(large, F.pmod("seg", F.ceil(F.col("bytes") / shard_bytes))).otherwise(-1)
+        merged_in = F.when(large, F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("bytes") / BUCKET_BYTES))).otherwise(0).cast("int").alias("nb")
         wanted = kinds.join(grams.select("key", "bytes"), "key").select(
-            F.when(large, F.col("key")).otherwise(F.pmod("key", F.lit(buckets))).alias("shard"), sub.cast("long").alias("sub"), "key", "row", "pos", "windows"
+            F.when(large, F.col("key")).otherwise(F.pmod("key", F.lit(buckets))).alias("shard"), sub.cast("long").alias("sub"), "key", "row", "pos", "windows", merged_in
         )
-        asked = wanted.groupBy("row").agg(F.collect_list(F.struct("shard", "sub", "key", "pos", "windows")).alias("asks"))
+        asked = wanted.groupBy("row").agg(F.collect_list(F.struct("shard", "sub", "key", "pos", "windows", "nb")).alias("asks"))
         cut = marked.select("row", "data").join(asked, "row").select("row", "data", F.inline("asks")).select(
-            "shard", "sub", "key", "row", "pos", "windows", F.substring(F.col("data"), (F.col("pos") + 1).cast("int"), (F.col("windows") + (width - 1)).cast("int")).alias("part")
+            "shard", "sub", "key", "row", "pos", "windows", "nb", F.substring(F.col("data"), (F.col("pos") + 1).cast("int"), (F.col("windows") + (width - 1)).cast("int")).alias("part")
         )
         results = stored(_sort_shards(cut, width), "windows")
-        found = [results.where("hash is null").select("row", "pos", "windows"), _merge_shards(results.where("hash is not null"))]
+        span = F.array(F.struct("pos", "windows")).alias("spans")
+        found = [results.where("packed is null").select("row", span), _merge_shards(results.where("packed is not null"))]
     single = kinds.where("n = 1").select("row", "pos")
-    repeats = places.select("row", "pos", "windows").join(single, ["row", "pos"], "left_anti")
+    repeats = places.select("row", "pos", "windows").join(single, ["row", "pos"], "left_anti").select("row", F.array(F.struct("pos", "windows")).alias("spans"))
     for more in found:
         repeats = repeats.union(more)
-    spans = repeats.groupBy("row").agg(F.collect_list(F.struct("pos", "windows")).alias("spans"))
+    spans = repeats.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "data"):
@@ -335,8 +338,13 @@ def dedup_substrings(
     return changed.union(same)
 
 
+#: A packed window: its hash, document row, position, and whether its own shard has it more than once.
+PACKED = np.dtype([("hash", "<u8"), ("row", "<i8"), ("pos", "<i8"), ("again", "?")])
+BUCKET_BYTES, MOST_BUCKETS = 1 << 18, 4096
+
+
 def _sort_shards(cut: DataFrame, width: int) -> DataFrame:
-    """Runs of repeated windows (``hash`` null), and for grams in several shards their distinct windows with hashes."""
+    """Runs of repeated windows (``packed`` null), and for grams in several shards their distinct windows, packed by bucket of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, sub), part in groups_of(batches, ["shard", "sub"]):
@@ -350,41 +358,48 @@ def _sort_shards(cut: DataFrame, width: int) -> DataFrame:
             again, first = repeated_windows(data, starts, width)
             at, count = _runs(again, which)
             if len(at):
-                yield batch(gram[which[at]], row[which[at]], (pos[which] + inside)[at], count, None, sub, np.zeros(len(at), bool))
+                yield batch(row[which[at]], (pos[which] + inside)[at], count)
             if sub >= 0:
                 k = np.flatnonzero(first)
-                hashes = Rolling(data)(starts[k], starts[k] + width).view(np.int64)
-                yield batch(gram[which[k]], row[which[k]], (pos[which] + inside)[k], np.ones(len(k), np.int64), hashes, sub, again[k])
-
-    def batch(gram, row, pos, windows, hashes, sub, again):
+                sent = np.zeros(len(k), PACKED)
+                sent["hash"] = Rolling(data)(starts[k], starts[k] + width)
+                sent["row"], sent["pos"], sent["again"] = row[which[k]], (pos[which] + inside)[k], again[k]
+                bucket = (mixed(sent["hash"]) % np.uint64(part.column("nb")[0].as_py())).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                ids, cuts = np.unique(bucket[order], return_index=True)
+                packed = [rows.tobytes() for rows in np.split(sent[order], cuts[1:])]
+                for n in range(0, len(ids), 16):  # a few MB at a time
+                    some = ids[n : n + 16]
+                    yield batch(np.zeros(len(some), int), some, np.zeros(len(some), int), packed[n : n + 16], int(gram[0]), sub)
+
+    def batch(row, pos, windows, packed=None, gram=None, sub=None):
         n = len(row)
-        hashes = pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes)
-        arrays = [pa.array(gram), pa.array(row), pa.array(pos), pa.array(windows), hashes, pa.array(np.full(n, sub, np.int64)), pa.array(again)]
-        return pa.RecordBatch.from_arrays(arrays, names=["key", "row", "pos", "windows", "hash", "sub", "again"])
+        arrays = [pa.array(row), pa.array(pos), pa.array(windows), pa.array(packed or [None] * n, pa.binary()), pa.array([gram] * n, pa.int64()), pa.array([sub] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["row", "pos", "windows", "packed", "key", "sub"])
 
-    return dealt(cut, ["shard", "sub"]).mapInArrow(run, "key long, row long, pos long, windows long, hash long, sub long, again boolean")
+    return dealt(cut, ["shard", "sub"]).mapInArrow(run, "row long, pos long, windows long, packed binary, key long, sub long")
 
 
-def _merge_shards(windows: DataFrame) -> DataFrame:
-    """The windows that another shard of their gram holds too: in each bucket of hashes the shards' sorted runs are searched
+def _merge_shards(packed: DataFrame) -> DataFrame:
+    """``row, spans``: the windows that another shard of their gram holds too. In each bucket of a gram the shards' sorted runs are searched
     for each other's entries. A window that was repeated in its own shard is only looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in groups_of(batches, ["bucket"]):
-            key, hashes, sub = (part.column(c).to_numpy() for c in ("key", "hash", "sub"))
-            seen = np.zeros(len(key), bool)
-            runs = {s: np.flatnonzero(sub == s) for s in np.unique(sub)}
-            both = mixed(key.view(np.uint64)) ^ hashes.view(np.uint64)
-            ordered = {s: at[np.argsort(both[at], kind="stable")] for s, at in runs.items()}
-            everything = np.sort(both)
-            low, high = np.searchsorted(everything, both, "left"), np.searchsorted(everything, both, "right")
-            for s, at in ordered.items():
-                own = both[at]
-                seen[at] = (high - low)[at] > np.searchsorted(own, own, "right") - np.searchsorted(own, own, "left")
-            on = np.flatnonzero(seen & ~part.column("again").to_numpy().astype(bool))
+        for _, part in groups_of(batches, ["key", "bucket"]):
+            runs = [np.sort(np.frombuffer(p, PACKED), order="hash") for p in part.column("packed").to_pylist()]
+            everything = np.sort(np.concatenate([r["hash"] for r in runs]))
+            found = []
+            for own in runs:
+                h = own["hash"]
+                many = np.searchsorted(everything, h, "right") - np.searchsorted(everything, h, "left")
+                mine = np.searchsorted(h, h, "right") - np.searchsorted(h, h, "left")
+                found.append(own[(many > mine) & ~own["again"]])
+            on = np.sort(np.concatenate(found), order=["row", "pos"])
             if len(on):
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[on]) for c in ("row", "pos", "windows")], names=["row", "pos", "windows"])
+                rows, cuts = np.unique(on["row"], return_index=True)
+                cells = pa.StructArray.from_arrays([pa.array(on["pos"]), pa.array(np.ones(len(on), np.int64))], names=["pos", "windows"])
+                spans = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(on)), pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), spans], names=["row", "spans"])
 
-    width = shuffle_width(windows.sparkSession)
-    bucket = F.pmod("hash", F.lit(8 * width)).alias("bucket")
-    return dealt(windows.select(bucket, "key", "hash", "sub", "again", "row", "pos", "windows"), ["bucket"]).mapInArrow(run, "row long, pos long, windows long")
+    chosen = packed.select("key", F.col("pos").alias("bucket"), "packed")
+    return dealt(chosen, ["key", "bucket"]).mapInArrow(run, "row long, spans array<struct<pos: long, windows: long>>")
