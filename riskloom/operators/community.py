@@ -12,7 +12,6 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -160,26 +159,23 @@ def _squared_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return (bray if metric == "bray" else 2 * bray / (1 + bray)) ** 2
 
 
-def _inner_sums(vectors: np.ndarray, weight: np.ndarray, tables: np.ndarray, metric: str, rows: int = 256) -> tuple[np.ndarray, float]:
-    """Sums of centred inner products between the cells of each table, and the total about the mean.
+def _draw_block(rng: np.random.Generator, weight: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Random tables profile x cell of one block, one for each row of ``left``, the counts of the cells in the block.
 
-    Distances are made for a block of profiles at a time and used for all tables at once, so no task holds
-    a matrix of all profiles.
+    A profile of many sites takes its counts in one draw; the sites of the others take what is left in random order.
     """
-    share = weight / weight.sum()
-    inner = np.zeros((len(tables), tables.shape[2], tables.shape[2]))
-    lifted = np.zeros((len(tables), tables.shape[2]))
-    spread = 0.0
-    for start in range(0, len(vectors), rows):
-        d2 = _squared_distances(vectors[start : start + rows], vectors, metric)
-        mean = d2 @ share
-        part = tables[:, start : start + rows].astype(float)
-        inner += np.einsum("pic,pid->pcd", part, np.einsum("ij,pjd->pid", d2, tables, optimize=True))
-        lifted += np.einsum("pic,i->pc", part, mean)
-        spread += float(share[start : start + rows] @ mean)
-    size = tables.sum(axis=1).astype(float)
-    centred = inner - lifted[:, :, None] * size[:, None, :] - size[:, :, None] * lifted[:, None, :] + spread * size[:, :, None] * size[:, None, :]
-    return -0.5 * centred, 0.5 * spread * weight.sum()
+    times, cells = left.shape
+    out = np.zeros((times, len(weight), cells))
+    for i in np.flatnonzero(weight > 8):
+        took = tails.split_counts(rng, left, int(weight[i]))
+        out[:, i] = took
+        left = left - took
+    light = np.flatnonzero(weight <= 8)
+    owner = np.repeat(light, weight[light].astype(int))
+    if len(owner):
+        for t in range(times):
+            np.add.at(out[t], (owner, rng.permutation(np.repeat(np.arange(cells), left[t]))), 1)
+    return out
 
 
 def _terms_ss(inner: np.ndarray, size: np.ndarray, terms: Sequence[np.ndarray]) -> list[tuple[int, float]]:
@@ -207,63 +203,100 @@ def permanova_terms(
     factors: Sequence[str],
     metric: str = "bray",
     permutations: int = 999,
-    chunks: int = 32,
     seed: int = 1,
+    block_profiles: int = 512,
+    at_once: int = 64,
 ) -> DataFrame:
     """Sequential terms with permutation p: (ord, term, df, sumsq, r2, f, p) plus Residuals, Total.
 
-    Permuting labels over sites is drawing a profile x cell count table with the observed margins.
-    Spark makes the counts and spreads the permutations over tasks. What is collected and sent to the tasks is one row of
-    taxa and counts for each different profile, never a site and never a distance: tasks make distances block by block.
+    Permuting labels over sites is drawing a profile x cell count table with the observed margins, and every sum of squares follows from
+    the products of such tables with the squared distances. Profiles lie in blocks of about ``block_profiles``; Spark pairs the blocks, a task makes the
+    distances of a pair and adds up the products of the observed and of all redrawn tables, ``at_once`` at a time, and the sums of all tasks are added by Spark.
+    A block draws its part of a table from how many sites of each cell fall into it (split over the blocks beforehand) and a seed of its own, so every pair and
+    every retry sees the same. On the driver are the cells (combinations of factor levels) and the sizes of blocks, no profile and no distance. The work is
+    quadratic in different profiles, as the test is.
     """
     spark = sites.sparkSession
     known = sites.na.drop(subset=[*taxa, *factors])
-    wide = known.groupBy(*[ref(c) for c in [*taxa, *factors]]).agg(F.count(F.lit(1)).alias("_c")).toPandas()
-    cells = wide[list(factors)].drop_duplicates().sort_values(list(factors)).reset_index(drop=True)
-    at_cell = wide[list(factors)].merge(cells.reset_index(), on=list(factors))["index"].to_numpy()
-    vectors, at = np.unique(wide[list(taxa)].to_numpy(float), axis=0, return_inverse=True)
-    table = np.zeros((len(vectors), len(cells)), dtype=np.int64)
-    np.add.at(table, (at.ravel(), at_cell), wide["_c"].to_numpy(np.int64))
-    weight = table.sum(axis=1).astype(float)
-    terms = [pd.get_dummies(cells[f]).to_numpy(float) for f in factors]
-    size = table.sum(axis=0).astype(float)
-    inner, total = _inner_sums(vectors, weight, table[None], metric)
-    seen = _terms_ss(inner[0], size, terms)
-    n = int(table.sum())
-    rest_df = n - 1 - sum(d for d, _ in seen)
-    rest = total - sum(s for _, s in seen)
-
-    def ratios(found):
-        left = total - sum(s for _, s in found)
-        return [(s / d) / (left / rest_df) if d and left > 0 and rest_df > 0 else np.nan for d, s in found]
-
-    observed = ratios(seen)
-    held = spark.sparkContext.broadcast((vectors, table, terms))
-    share = [permutations // chunks + (1 if i < permutations % chunks else 0) for i in range(chunks)]
-
-    def run(frames):
-        rows, counted, blocks = held.value
-        for frame in frames:
-            for chunk in frame["id"]:
-                rng = np.random.default_rng([seed, int(chunk)])
-                hits = np.zeros(len(observed), dtype=np.int64)
-                drawn = tails.draw_tables(rng, counted.sum(axis=1), counted.sum(axis=0), share[int(chunk)])
-                for sums in _inner_sums(rows, counted.sum(axis=1).astype(float), drawn, metric)[0]:
-                    found = ratios(_terms_ss(sums, counted.sum(axis=0).astype(float), blocks))
-                    hits += [f >= o - 1e-9 * abs(o) for f, o in zip(found, observed)]
-                yield pd.DataFrame({"ord": np.arange(len(hits)), "hits": hits})
-
-    tasks = spark.range(0, chunks, 1, chunks)
-    hits = tasks.mapInPandas(run, "ord long, hits long").groupBy("ord").agg(F.sum("hits").alias("hits"))
-    whole = total if total > 0 else np.nan
-    rows = [(i, factors[i], d, s, s / whole, f) for i, ((d, s), f) in enumerate(zip(seen, observed))]
-    rows += [(len(rows), "Residuals", rest_df, rest, rest / whole, None), (len(rows) + 1, "Total", n - 1, total, 1.0, None)]
-    base = spark.createDataFrame(
-        [(int(o), t, int(d), float(s), None if np.isnan(r) else float(r), None if f is None or np.isnan(f) else float(f)) for o, t, d, s, r, f in rows],
-        "ord long, term string, df long, sumsq double, r2 double, f double",
-    )
-    p = F.when(ref("f").isNotNull(), (ref("hits") + 1) / F.lit(permutations + 1.0))
-    return base.join(hits, "ord", "left").withColumn("p", p).drop("hits")
+    cells = [tuple(r) for r in known.groupBy(*[ref(c) for c in factors]).agg(F.count(F.lit(1)).alias("_n")).orderBy(*[ref(c) for c in factors]).collect()]
+    levels = [sorted({c[k] for c in cells}) for k in range(len(factors))]
+    terms = [np.array([[float(c[k] == v) for v in levels[k]] for c in cells]).reshape(len(cells), -1) for k in range(len(factors))]
+    size = np.array([c[-1] for c in cells], np.int64)
+    number, m = int(size.sum()), len(cells)
+
+    def here(cell: tuple) -> Column:
+        return reduce(lambda x, y: x & y, [ref(f) == F.lit(v) for f, v in zip(factors, cell)])
+
+    vector = F.array(*[ref(c).cast("double") for c in taxa])
+    counted = F.array(*[F.sum(here(c).cast("long")) for c in cells])
+    items = settled(known.groupBy(*[ref(c) for c in taxa]).agg(counted.alias("_cells")).select(vector.alias("v"), F.col("_cells").alias("c"))) if m else None
+    many = items.count() if m else 0
+    blocks = max(1, -(-many // block_profiles))
+    if many:
+        packed = items.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("i"))
+        packed = settled(packed.select("b", F.transform("i", lambda i: i["v"]).alias("v"), F.transform("i", lambda i: i["c"]).alias("c")))
+        weights = {r["b"]: r["w"] for r in packed.select("b", F.aggregate(F.flatten("c"), F.lit(0).cast("long"), lambda s, v: s + v).alias("w")).collect()}
+        rng, left, share = np.random.default_rng([seed, 0]), np.tile(size, (permutations, 1)), {}
+        for b in sorted(weights):
+            share[b] = tails.split_counts(rng, left, weights[b])
+            left = left - share[b]
+        held = spark.sparkContext.broadcast(share)  # permutations x blocks x cells counts
+        pairs = packed.select("b", "v", "c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("o"))
+        other = packed.select(F.col("b").alias("o"), F.col("v").alias("v2"), F.col("c").alias("c2"))
+        pairs = pairs.join(other, "o").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "b", "o").select("b", "o", "v", "c", "v2", "c2")
+    wide = m + 1
+
+    def tables(block: int, counts: np.ndarray, chunk: int) -> np.ndarray:
+        """Redrawn tables of a chunk of permutations, and the profile's sites as one more cell."""
+        weight = counts.sum(axis=1)
+        part = held.value[block][chunk * at_once : (chunk + 1) * at_once]
+        drawn = _draw_block(np.random.default_rng([seed, 1, block, chunk]), weight, part)
+        return np.concatenate((drawn, np.broadcast_to(weight[None, :, None], (len(drawn), len(weight), 1))), axis=2)
+
+    def sums(batches):
+        total = np.zeros((permutations + 1, wide, wide))
+        for batch in batches:
+            for b, o, v, c, v2, c2 in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                mine, yours, counts, counts2 = np.array(v, float), np.array(v2, float), np.array(c, np.int64), np.array(c2, np.int64)
+                d2 = _squared_distances(mine, yours, metric)
+                seen = [np.column_stack((t, t.sum(axis=1)))[None].astype(float) for t in (counts, counts2)]
+                for k in range(-1, -(-permutations // at_once)):  # the observed table, then the redrawn ones
+                    first, left_, right_ = (0, *seen) if k < 0 else (1 + k * at_once, mine_ := tables(b, counts, k), mine_ if b == o else tables(o, counts2, k))
+                    times = len(right_)
+                    lifted = (d2 @ right_.transpose(1, 0, 2).reshape(len(yours), -1)).reshape(len(mine), times, wide).transpose(1, 0, 2)
+                    part = left_.transpose(0, 2, 1) @ lifted
+                    total[first : first + times] += part if b == o else part + part.transpose(0, 2, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(permutations + 1)), pa.array(total.reshape(permutations + 1, -1).tolist())], names=["permutation", "q"])
+
+    def ratios(batches):
+        rows = []
+        for batch in batches:
+            for p, q in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                q = np.array(q).reshape(wide, wide)
+                inner, lifted, spread = q[:m, :m], q[:m, m] / number, q[m, m] / number**2
+                centred = -0.5 * (inner - lifted[:, None] * size[None, :] - size[:, None] * lifted[None, :] + spread * size[:, None] * size[None, :])
+                found, total = _terms_ss(centred, size.astype(float), terms), 0.5 * spread * number
+                rest_df, rest = number - 1 - sum(d for d, _ in found), total - sum(x for _, x in found)
+                for k, (d, x) in enumerate(found):
+                    f = (x / d) / (rest / rest_df) if d and rest > 0 and rest_df > 0 else None
+                    rows.append((p, k, factors[k], d, x, f, total))
+                rows.append((p, len(found), "Residuals", rest_df, rest, None, total))
+                rows.append((p, len(found) + 1, "Total", number - 1, total, None, total))
+        if rows:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["permutation", "ord", "term", "df", "sumsq", "f", "total"])
+
+    ddl = "permutation long, ord long, term string, df long, sumsq double, f double, total double"
+    if not many:
+        return spark.createDataFrame([], "ord long, term string, df long, sumsq double, r2 double, f double, p double")
+    parts = pairs.mapInArrow(sums, "permutation long, q array<double>")
+    added = parts.groupBy("permutation").agg(F.array(*[F.sum(ref("q")[i]) for i in range(wide * wide)]).alias("q"))
+    every = settled(added.mapInArrow(ratios, ddl))
+    seen, redrawn = every.where("permutation = 0").drop("permutation"), every.where("permutation > 0").select("ord", F.col("f").alias("_f"))
+    hits = seen.join(redrawn, "ord").groupBy("ord").agg(F.sum((ref("_f") >= ref("f") - 1e-9 * F.abs("f")).cast("long")).alias("hits"))
+    out = seen.join(hits, "ord", "left").withColumn("r2", ref("sumsq") / F.nullif(ref("total"), F.lit(0.0)))
+    p = F.when(ref("f").isNotNull(), (F.coalesce(ref("hits"), F.lit(0)) + 1) / F.lit(permutations + 1.0))
+    return out.select("ord", "term", "df", "sumsq", "r2", "f", p.alias("p"))
 
 
 def centroid_distances(sites: DataFrame, taxa: Sequence[str], group: str) -> DataFrame:

@@ -96,6 +96,32 @@ def test_second_term_is_adjusted(sites):
     assert abs(got["type"] - want) < 1e-9
 
 
+@pytest.mark.parametrize("block,metric", [(512, "bray"), (7, "bray"), (9, "euclid")])
+def test_permanova_over_log_cover_in_blocks(spark, block, metric):
+    """Every site a profile of its own, and some profiles of many sites: blocks change nothing, p is that of shuffled labels."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((np.log1p(rng.gamma(1.0, 2.0, size=(70, 3))), np.tile([[1.0, 0.0, 2.0]], (25, 1)), np.zeros((12, 3))))
+    g = rng.integers(0, 3, len(x))
+    x[:70] += (g[:70] == 1)[:, None] * np.array([0.35, 0.0, 0.0])
+    frame = spark.createDataFrame([(*map(float, v), "abc"[k]) for v, k in zip(x, g)], "p double, q double, r double, grp string")
+    got = {r["term"]: r for r in E.permanova_terms(frame, ["p", "q", "r"], ["grp"], metric, permutations=399, block_profiles=block, at_once=50).collect()}
+    if metric == "bray":
+        both = (x[:, None] + x[None]).sum(axis=2)
+        d2 = np.divide(np.abs(x[:, None] - x[None]).sum(axis=2), both, out=np.zeros_like(both), where=both > 0) ** 2
+    else:
+        d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    total = d2.sum() / 2 / len(x)
+
+    def f_of(labels):
+        within = sum(d2[np.ix_(labels == k, labels == k)].sum() / 2 / (labels == k).sum() for k in range(3))
+        return (total - within) / 2 / (within / (len(x) - 3)), within
+
+    f, within = f_of(g)
+    assert abs(got["grp"]["f"] - f) < 1e-9 * abs(f) and abs(got["Total"]["sumsq"] - total) < 1e-9 * total and abs(got["Residuals"]["sumsq"] - within) < 1e-9 * within
+    p = (sum(f_of(rng.permutation(g))[0] >= f for _ in range(2000)) + 1) / 2001
+    assert abs(got["grp"]["p"] - p) < 4 * np.sqrt(p * (1 - p) / 399) + 0.005 and got["grp"]["df"] == 2
+
+
 def test_centroid_distance_equals_pair_form(sites):
     rows, df = sites
     present = E.presence_table(df, TAXA)
@@ -211,7 +237,7 @@ def test_permanova_leaves_out_incomplete_sites(spark):
     whole, some = spark.createDataFrame(rows, schema), spark.createDataFrame(more, schema)
     one, two = E.permanova(whole, taxa, "grp").first(), E.permanova(some, taxa, "grp").first()
     assert one == two
-    terms = {r["term"]: r for r in E.permanova_terms(some, taxa, ["grp"], permutations=64, chunks=4).collect()}
+    terms = {r["term"]: r for r in E.permanova_terms(some, taxa, ["grp"], permutations=64).collect()}
     assert abs(terms["grp"]["f"] - one["f"]) < 1e-9 and abs(terms["grp"]["sumsq"] - one["ss_between"]) < 1e-9
 
 
