@@ -22,29 +22,11 @@ from pyspark.sql import types as T
 from riskloom.functions import tails
 from riskloom.functions.columns import across, ref
 from riskloom.functions.numeric import presence, strict_mean
+from riskloom.operators.small import groups_of
 from riskloom.sources.tables import settled
 
 
 
-def groups_of(batches, keys: Sequence[str], most: int):
-    """The rows of each run of equal integer keys in sorted batches, in parts of at most ``most`` rows."""
-    held, last, n = [], None, 0
-    for batch in batches:
-        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys]) if batch.num_rows else np.zeros((0, len(keys)))
-        cuts = np.flatnonzero(np.any(values[1:] != values[:-1], axis=1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            while a < b:
-                at = tuple(int(v) for v in values[a])
-                if held and (at != last or n >= most):
-                    yield last, pa.Table.from_batches(held)
-                    held, n = [], 0
-                take = min(b - a, most - n)
-                held.append(batch.slice(a, take))
-                last, n, a = at, n + take, a + take
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 def site_means(df: DataFrame, site: Sequence[str], taxa: Sequence[str], log: bool = True) -> DataFrame:
     """Mean cover per site and taxon, log(x + 1) when asked."""
     means = df.groupBy(*[ref(c) for c in site]).agg(*[strict_mean(ref(c)).alias(c) for c in taxa])

@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -18,6 +18,8 @@ from riskloom.functions.columns import columns_with_nulls, ref
 from riskloom.functions.numeric import hash_unit
 from riskloom.operators.ordered import exact_quantiles
 from riskloom.operators.profile import MEDIAN
+from riskloom.operators.small import groups_of
+from riskloom.sources.tables import settled
 
 
 def fold_of(key: Sequence[str], folds: int, repeat: Column | int, seed: int) -> Column:
@@ -32,16 +34,116 @@ def cv_folds(df: DataFrame, key: Sequence[str], folds: int = 5, repeats: int = 3
     return times.withColumn("fold", fold_of(key, folds, ref("repeat"), seed))
 
 
-def _nearest(points: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k nearest other rows, slice by slice."""
-    norm = (points**2).sum(axis=1)
-    out = np.empty((len(points), k), dtype=np.int64)
-    for start in range(0, len(points), 512):
-        part = points[start : start + 512]
-        d = norm[None, :] - 2 * part @ points.T
-        d[np.arange(len(part)), np.arange(start, start + len(part))] = np.inf
-        out[start : start + len(part)] = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return out
+def _closest(asked: np.ndarray, points: np.ndarray, k: int, own: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest points of each row, nearest first, and their distances; ``own`` is a row's own place among the points, which does not count.
+
+    Equal distances go by ``order``.
+    """
+    k = min(k, len(points))
+    order = np.arange(len(points)) if order is None else order
+    index, far = np.empty((len(asked), k), np.int64), np.empty((len(asked), k))
+    for at in range(0, len(asked), 256):
+        part = asked[at : at + 256]
+        d = np.zeros((len(part), len(points)))
+        for c in range(points.shape[1]):  # column by column: no cancellation
+            d += (part[:, c, None] - points[None, :, c]) ** 2
+        if own is not None:
+            d[np.arange(len(part)), own[at : at + len(part)]] = np.inf
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for i, (row, most) in enumerate(zip(d, limit)):
+            near = np.flatnonzero(row <= most)
+            near = near[np.lexsort((order[near], row[near]))[:k]]
+            index[at + i], far[at + i] = near, np.sqrt(row[near])
+    return index, far
+
+
+def nearest_rows(rows: DataFrame, k: int, part_rows: int = 10_000, seed: int = 1) -> DataFrame:
+    """(id, mates): for each row of ``(id long, tie long, z array<double>)`` the ids of its ``k`` nearest other rows, nearest first, ties by ``tie``. Exact.
+
+    Rows lie in parts of about ``part_rows`` along a projection onto a unit vector. A row's neighbours in its own part bound its k-th distance; and
+    the distance between two projections never exceeds that between the rows, so only the parts whose range comes closer than that bound are searched
+    as well. Parts and the rows that ask for them meet in blocks of bounded size. How many parts a row asks for depends on how well the data part
+    along the projection, which is the axis of largest spread among a few random ones. ``z`` has no null.
+    """
+    spark = rows.sparkSession
+    held = settled(rows)
+    n, d = held.agg(F.count(F.lit(1)), F.max(F.size("z"))).first()
+    if not n:
+        return spark.createDataFrame([], "id long, mates array<long>")
+    tried = np.random.default_rng(seed).normal(size=(16, d))
+    tried = np.concatenate((tried, np.ones((1, d)), np.eye(d)))
+    tried /= np.linalg.norm(tried, axis=1)[:, None]
+
+    def project(w: np.ndarray) -> Column:
+        return F.aggregate(F.zip_with("z", F.lit([float(x) for x in w]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    spread = held.agg(*[F.coalesce(F.var_pop(project(w)), F.lit(0.0)) for w in tried]).first()
+    along = project(tried[int(np.argmax(spread))])
+    parts = math.ceil(n / part_rows)
+    placed = held.withColumn("at", along)
+    cuts = []
+    if parts > 1:
+        marks = placed.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+        cuts = sorted(marks)
+    inner = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    first, last = F.size(F.filter(inner, lambda c: c < ref("at"))), F.size(F.filter(inner, lambda c: c <= ref("at")))
+    # a value that many rows share spans several cuts: its rows are dealt over those parts
+    placed = settled(placed.withColumn("part", first + F.pmod(F.xxhash64("tie"), last - first + 1).cast("int")))
+    ranges = {r["part"]: (r["low"], r["high"]) for r in placed.groupBy("part").agg(F.min("at").alias("low"), F.max("at").alias("high")).collect()}  # one row a part
+    ids = np.array(sorted(ranges))
+    shared = spark.sparkContext.broadcast((ids, np.array([ranges[p][0] for p in ids]), np.array([ranges[p][1] for p in ids])))
+    result = "id long, mate long, tie long, far double"
+
+    def rows_out(asker, mate, tie, far):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (asker, mate, tie, far)], names=["id", "mate", "tie", "far"])
+
+    def matrix(part: pa.Table) -> np.ndarray:
+        return part.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d)
+
+    def inside(batches):
+        for _, part in groups_of(batches, ["part"], 1 << 62):
+            z, names, tie = matrix(part), part.column("id").to_numpy(), part.column("tie").to_numpy()
+            if len(z) < 2:
+                continue
+            index, far = _closest(z, z, min(k, len(z) - 1), np.arange(len(z)), tie)
+            yield rows_out(np.repeat(names, index.shape[1]), names[index.ravel()], tie[index.ravel()], far.ravel())
+
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.select("part", "id", "tie", "z").repartition(width, "part").sortWithinPartitions("part", "tie", "id")
+    found = settled(dealt.mapInArrow(inside, result))
+    if parts > 1:
+        bound = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("far")).alias("bound"))
+        asking = placed.join(bound, "id", "left").select("id", "z", "at", "part", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+        def ask(batches):
+            parts_, low, high = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, limit, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "bound", "part"))
+                gap = np.maximum(np.maximum(low[None, :] - at[:, None], at[:, None] - high[None, :]), 0)
+                i, j = np.nonzero((gap <= limit[:, None] * (1 + 1e-9)) & (parts_[None, :] != own[:, None]))
+                for a in range(0, len(i), 4096):
+                    rows_ = batch.take(pa.array(i[a : a + 4096]))
+                    yield pa.RecordBatch.from_arrays([rows_.column("id"), rows_.column("z"), pa.array(parts_[j[a : a + 4096]].astype(np.int32))], names=["id", "z", "part"])
+
+        asks = settled(asking.mapInArrow(ask, "id long, z array<double>, part int"))
+        blocks = asks.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("blocks"))
+        h = F.pmod(F.xxhash64("id"), ref("blocks")).cast("int")
+        left = asks.join(settled(blocks), "part").select("part", h.alias("block"), F.lit(1).alias("asks"), "id", F.lit(0).cast("long").alias("tie"), "z")
+        right = placed.join(settled(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), ref("blocks") - 1)).alias("block"), F.lit(0).alias("asks"), "id", "tie", "z")
+
+        def across(batches):
+            for _, part in groups_of(batches, ["part", "block"], 1 << 62):
+                asks_ = part.column("asks").to_numpy() > 0
+                z, names, tie = matrix(part), part.column("id").to_numpy(), part.column("tie").to_numpy()
+                index, far = _closest(z[asks_], z[~asks_], k, None, tie[~asks_])
+                yield rows_out(np.repeat(names[asks_], index.shape[1]), names[~asks_][index.ravel()], tie[~asks_][index.ravel()], far.ravel())
+
+        met = left.union(right).repartition(width, "part", "block").sortWithinPartitions("part", "block", "asks", "tie", "id")
+        found = found.union(met.mapInArrow(across, result))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("far", "tie", "mate"))), 1, k)  # at most k from each part that was asked
+    return found.groupBy("id").agg(F.transform(best, lambda m: m["mate"]).alias("mates"))
 
 
 def smote(
@@ -58,10 +160,8 @@ def smote(
     """Add minority rows between a minority row and one of its nearest minority neighbours until
     the minority has about ``over_ratio`` times the other rows.
 
-    The minority is sorted along one projection of its standardised features and cut into parts of about
-    ``block_rows`` rows; rows that share a value are told apart by a tiny share of the row's hash, so that no part is
-    large. The neighbours of a row are the nearest in its own and the two adjoining parts. Draws are fixed by row key
-    and seed.
+    Neighbours are exact, by the distance of standardised features, whatever the number of rows (see :func:`nearest_rows`). Which neighbour a new row
+    lies towards, and how far, follows from row key and seed. The new rows carry the other columns of the row they start from.
     """
     is_minor = ref(label) == F.lit(minority)
     stats = df.agg(
@@ -76,50 +176,32 @@ def smote(
     if n < 2 or missing <= 0:
         return df
     per_row = missing / n
-    minor = df.where(is_minor)
+    keys = [ref(c) for c in key]
     scaled = [
-        ((ref(c).cast("double") - F.lit(stats[f"_m{i}"])) / F.lit(stats[f"_s{i}"] or 1.0)).alias(f"_z{i}")
-        for i, c in enumerate(features)
+        F.coalesce((ref(c).cast("double") - F.lit(stats[f"_m{i}"])) / F.lit(stats[f"_s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(features)
     ]
-    zs = [f"_z{i}" for i in range(len(features))]
-    rows = minor.select("*", *scaled)
-    direction = np.random.default_rng(seed).normal(size=len(features))
-    along = sum((F.coalesce(ref(z), F.lit(0.0)) * F.lit(float(w)) for z, w in zip(zs, direction)), F.lit(0.0))
-    rows = rows.withColumn("_along", along + hash_unit(*[ref(c) for c in key], seed=seed + 1) * 1e-9)
-    count = math.ceil(n / block_rows)
-    points = [i / count for i in range(1, count)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("_along", points, 20 * count)).first()[0])) if points else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= ref("_along"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_own", part)
-    extra = F.lit(math.floor(per_row)) + (hash_unit(*[ref(c) for c in key], seed=seed) < F.lit(per_row % 1)).cast("int")
-    rows = rows.withColumn("_extra", extra)
-
-    columns = df.columns
-
-    def make(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(key), kind="stable").reset_index(drop=True)
-        here = int(frame["_part"].iloc[0])
-        repeat = np.where(frame["_own"].to_numpy() == here, frame["_extra"].to_numpy(int), 0)
-        k = min(neighbours, len(frame) - 1)
-        base = np.repeat(np.arange(len(frame)), repeat)
-        out = frame.iloc[base][columns].reset_index(drop=True)
-        if k < 1:
-            return out
-        rng = np.random.default_rng([seed, here])
-        near = _nearest(frame[zs].to_numpy(float), k)
-        mate = near[base, rng.integers(0, k, len(base))]
-        share = rng.random(len(base))
-        for c in features:
-            x = frame[c].to_numpy(float)
-            out[c] = x[base] + share * (x[mate] - x[base])
-        return out
-
+    extra = F.lit(math.floor(per_row)) + (hash_unit(*keys, seed=seed) < F.lit(per_row % 1)).cast("int")
     typed = df.select(*[ref(c).cast("double").alias(c) if c in set(features) else ref(c) for c in df.columns])
-    fresh = rows.select(*[ref(c).cast("double").alias(c) if c in set(features) else ref(c) for c in rows.columns])
-    # a row is a candidate in the parts on both sides of its own
-    seen = fresh.withColumn("_part", F.explode(F.sequence(F.greatest(ref("_own") - 1, F.lit(0)), F.least(ref("_own") + 1, F.lit(len(cuts))))))
-    made = seen.groupBy("_part").applyInPandas(make, typed.schema)
-    return typed.unionByName(made)
+    minor = settled(typed.where(is_minor).select(
+        F.struct(*[ref(c) for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("id"), F.xxhash64(*keys, F.lit(seed)).alias("tie"),
+        F.array(*scaled).alias("z"), extra.alias("extra"),
+    ))
+    near = nearest_rows(minor.select("id", "tie", "z"), neighbours, block_rows, seed)
+    copies = minor.join(near, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), ref("extra")))) if per_row >= 1 else (
+        minor.where("extra > 0").join(near, "id").withColumn("copy", F.lit(1))
+    )
+    base = [ref("row")[c] for c in key]
+    pick = F.get("mates", F.pmod(F.xxhash64(*base, ref("copy"), F.lit(seed + 2)), F.size("mates")).cast("int"))
+    chosen = copies.select("row", pick.alias("mate"), hash_unit(*base, ref("copy"), seed=seed + 3).alias("share"))
+    ends = minor.select(F.col("id").alias("mate"), F.struct(*[ref("row")[c].alias(f"f{i}") for i, c in enumerate(features)]).alias("to"))
+    both = chosen.join(ends, "mate")
+    place = {c: i for i, c in enumerate(features)}
+
+    def value(c: str) -> Column:
+        here = ref("row")[c]
+        return here if c not in place else here + ref("share") * (ref("to")[f"f{place[c]}"] - here)
+
+    return typed.unionByName(both.select(*[value(c).alias(c) for c in df.columns]))
 
 
 def _yeo_johnson_sql(x: str, lam: float) -> str:

@@ -1,9 +1,11 @@
-"""Joins on group columns. No side carries a hint: adaptive execution broadcasts by measured bytes."""
+"""Small helpers: joins on group columns, and sorted batches by key. No side carries a hint: adaptive execution broadcasts by measured bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,3 +38,22 @@ def plain_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Undo :func:`solid_keys`."""
     wrapped = [c for c in by if c in df.columns and isinstance(df.schema[c].dataType, T.StructType)]
     return df.withColumns({c: ref(c)["v"] for c in wrapped})
+
+
+def groups_of(batches, keys: Sequence[str], most: int):
+    """The rows of each run of equal integer keys in sorted batches, in parts of at most ``most`` rows."""
+    held, last, n = [], None, 0
+    for batch in batches:
+        values = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys]) if batch.num_rows else np.zeros((0, len(keys)))
+        cuts = np.flatnonzero(np.any(values[1:] != values[:-1], axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            while a < b:
+                at = tuple(int(v) for v in values[a])
+                if held and (at != last or n >= most):
+                    yield last, pa.Table.from_batches(held)
+                    held, n = [], 0
+                take = min(b - a, most - n)
+                held.append(batch.slice(a, take))
+                last, n, a = at, n + take, a + take
+    if held:
+        yield last, pa.Table.from_batches(held)

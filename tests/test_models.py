@@ -152,6 +152,26 @@ def test_smote_balances_between_neighbours(spark, df):
     assert np.allclose(np.sort(made["a"]), np.sort(again["a"]))
 
 
+@pytest.mark.parametrize("rows,columns,part_rows,shape", [(30_000, 20, 5000, "normal"), (900, 3, 40, "ties"), (7, 2, 3, "normal"), (400, 1, 30, "heavy")])
+def test_nearest_rows_equal_brute_force(spark, rows, columns, part_rows, shape):
+    rng = np.random.default_rng(rows)
+    z = rng.normal(size=(rows, columns)) * np.linspace(3, 1, columns)
+    z = np.round(z) if shape == "ties" else z
+    z[: rows // 3] = z[0] if shape == "heavy" else z[: rows // 3]
+    import pandas as pd
+
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(rows), "tie": (np.arange(rows) * 7919) % 104_729, "z": list(z.tolist())}))
+    got = {r["id"]: r["mates"] for r in S.nearest_rows(frame, 5, part_rows).collect()}
+    assert len(got) == rows
+    tie = (np.arange(rows) * 7919) % 104_729
+    for i in rng.permutation(rows)[:300]:
+        d = np.zeros(rows)
+        for c in range(columns):
+            d += (z[i, c] - z[:, c]) ** 2
+        d[i] = np.inf
+        assert got[i] == np.lexsort((tie, d))[: min(5, rows - 1)].tolist()
+
+
 def test_smote_in_blocks_with_one_heavy_point(spark):
     rows = [(i, "fail", 1.0 if i % 3 == 0 else float(i)) for i in range(600)] + [(1000 + i, "pass", 0.0) for i in range(1200)]
     df = spark.createDataFrame(rows, "id int, crms string, x double")
