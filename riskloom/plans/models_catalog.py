@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import ref
 from riskloom.operators import models as L
 from riskloom.operators import resample as S
+from riskloom.operators.boost import Boost, ManyBoosts
 from riskloom.operators.roc import auc
-from riskloom.plans.registry import query, rounded, table, units
+from riskloom.plans.registry import UNITS_SQL, query, rounded, table, units
 
 PREDICTORS = ["time_since_af", "ports_12m", "av_speed", "quantity", "late_days"]
 KEY = ["unit"]
@@ -95,6 +96,27 @@ def gbt_subsampled_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resample_metrics(scored, "fail")
 
 
+@query(f"""WITH {UNITS_SQL}, s AS (SELECT laid_up_more_10d AS x, sum(CASE WHEN crms = 'fail' THEN -0.5 ELSE 0.5 END) AS g, 0.25 * count(*) AS h FROM units GROUP BY 1)
+SELECT x, round(-g / (h + 1), 8) AS leaf FROM s""")
+def second_order_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tree on one 0/1 predictor: a leaf is the sum of gradients over curvature and penalty."""
+    rows = units(spark, sf_dir).select("unit", "laid_up_more_10d", (ref("crms") == "fail").cast("double").alias("y"))
+    work = ManyBoosts(rows, ref("y"), ["laid_up_more_10d"], KEY)
+    tree = work.fit([Boost(depth=1)], 1)[0].trees[0]
+    return rounded(spark.createDataFrame([(0, float(tree.value[1])), (1, float(tree.value[2]))], "x int, leaf double"), "leaf", digits=8)
+
+
+@query()
+def extreme_boosting_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-order boosting with row and column sampling: 15 resamples side by side, scored after 50, 100 and 150 trees of one fit each."""
+    rows = _rows(spark, sf_dir).withColumn("y", (ref("crms") == "fail").cast("double"))
+    work = ManyBoosts(rows, ref("y"), PREDICTORS, KEY, [S.fold_of(KEY, 5, r, 1234567) for r in (1, 2, 3)])
+    models = [Boost(depth=1, shrinkage=0.3, row_share=0.75, column_share=0.6, repeat=r, fold=f, seed=1 + 5 * r + f) for r in range(3) for f in range(5)]
+    scored = work.staged(work.fit(models, 150), [50, 100, 150])
+    cells = scored.groupBy("stage").agg(F.sum("n").alias("n"), F.sum(F.when(ref("obs") == ref("call"), ref("n"))).alias("right"), F.sum("loss").alias("loss"))
+    return cells.select("stage", "n", (ref("right") / ref("n")).alias("accuracy"), (ref("loss") / ref("n")).alias("log_loss"))
+
+
 @query()
 def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
