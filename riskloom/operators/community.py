@@ -294,12 +294,13 @@ def centroid_distances(sites: DataFrame, taxa: Sequence[str], group: str) -> Dat
 
 
 def spatial_medians(
-    sites: DataFrame, taxa: Sequence[str], group: str, most_rounds: int = 500, tolerance: float = 1e-10
+    sites: DataFrame, taxa: Sequence[str], group: str, most_rounds: int = 500, tolerance: float = 1e-8, stride: float = 1.7
 ) -> DataFrame:
     """The point of each group with the smallest sum of Euclidean distances to its sites: (group, taxa...).
 
     Weiszfeld's iteration over distinct profiles with their counts; a round is one grouped aggregate. Where the point lies on a profile the pull
-    of the other sites is held against that profile's count, which says whether it stays. At the end the profile nearest to the point
+    of the other sites is held against that profile's count, which says whether it stays. Steps are lengthened by ``stride``, which below 2 still lowers the sum, and
+    end when no group's sum falls by more than the share ``tolerance``. At the end the profile nearest to the point
     is tried in its place. Centres are one row of numbers for each group and go to the next round as a small table.
     """
     spark = sites.sparkSession
@@ -315,13 +316,14 @@ def spatial_medians(
         square = reduce(add, [F.pow(ref(c) - ref(n), F.lit(2.0)) for c, n in zip(taxa, names)])
         return rows.withColumn("_d", F.sqrt(square))
 
+    seen: dict = {}
     for _ in range(most_rounds):
         near = apart(held.join(spark.createDataFrame(centres, schema), group))
         on = ref("_d") <= 1e-14 * (1 + size)
         pull = F.when(~on, total / ref("_d"))
-        sums = [F.sum(F.when(on, total)).alias("_eta"), F.sum(pull).alias("_w")]
+        sums = [F.sum(F.when(on, total)).alias("_eta"), F.sum(pull).alias("_w"), F.sum(total * ref("_d")).alias("_f")]
         sums += [F.sum(pull * ref(c)).alias(f"_t{i}") for i, c in enumerate(taxa)] + [F.first(ref(n)).alias(n) for n in names]
-        moved, step = [], 0.0
+        moved, falls = [], False
         for r in near.groupBy(ref(group)).agg(*sums).collect():
             here = np.array([r[n] for n in names])
             if r["_w"] is None:  # all sites in one point
@@ -330,11 +332,12 @@ def spatial_medians(
             goal = np.array([r[f"_t{i}"] for i in range(len(taxa))]) / r["_w"]
             force = r["_w"] * float(np.linalg.norm(goal - here))
             stay = min(1.0, (r["_eta"] or 0.0) / force) if force > 0 else 1.0
-            there = (1 - stay) * goal + stay * here
-            step = max(step, float(np.abs(there - here).max()))
+            there = here + (1 - stay) * (goal - here) * (1.0 if r["_eta"] else stride)
+            falls = falls or seen.get(r[group], np.inf) - r["_f"] > tolerance * r["_f"]
+            seen[r[group]] = r["_f"]
             moved.append((r[group], *there.tolist()))
         centres = moved
-        if step <= tolerance * (1 + size):
+        if not falls:
             break
     point = spark.createDataFrame(centres, schema)
     near = apart(held.join(point, group))
