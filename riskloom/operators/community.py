@@ -294,7 +294,7 @@ def centroid_distances(sites: DataFrame, taxa: Sequence[str], group: str) -> Dat
 
 
 def spatial_medians(
-    sites: DataFrame, taxa: Sequence[str], group: str, most_rounds: int = 500, tolerance: float = 1e-8, stride: float = 1.7
+    sites: DataFrame, taxa: Sequence[str], group: str, most_rounds: int = 80, tolerance: float = 1e-8, stride: float = 1.7
 ) -> DataFrame:
     """The point of each group with the smallest sum of Euclidean distances to its sites: (group, taxa...).
 
