@@ -1,4 +1,4 @@
-"""Near-duplicate texts: bands of MinHash signatures propose groups, full shingle sets decide."""
+"""Near-duplicate texts: an LSH forest of MinHash signatures proposes groups, full shingle sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.base import components, dealt, groups_of, joined_labels, shuffle_width, smallest_ids, stored, sub_batches
 
-HASHES, TREES, DEPTH = 64, 18, 3
+HASHES = 64
+#: Values that two documents of a region share at least, and values by which an order is sorted; how far neighbours in a deepened region are compared.
+DEPTH, DEEPEST, NEIGHBOURS = 3, 16, 8
 #: Signatures of two sets that are 0.8 alike agree in half of 64 values but for one chance in a thousand million.
 LEAST_AGREEING = 0.5
 _draw = np.random.default_rng(20240607)
@@ -21,6 +23,9 @@ BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
 ODD = _draw.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 A = _draw.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 B = _draw.integers(0, 2**32, HASHES, dtype=np.uint32)
+#: By which minima each order is sorted. The first eighteen begin with three minima that no other begins with; the others are drawn.
+ORDERS = (np.arange(18)[:, None] * DEPTH + np.arange(DEEPEST)) % HASHES
+MORE_ORDERS = np.stack([_draw.permutation(HASHES)[:DEEPEST] for _ in range(62)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -138,78 +143,129 @@ def _sign(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, th long, n long, key binary, sig binary")
 
 
-def _forest(reps: DataFrame) -> DataFrame:
-    """A row of each document in each tree, which is a band: a hash of the band's ``DEPTH`` minima, and a byte of each value."""
+def _forest(reps: DataFrame, orders: np.ndarray) -> DataFrame:
+    """A row of each document in each order: the minima in that order (two bytes of each), which is what it is sorted by, and a byte of every minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(n, HASHES)
             short = pa.array([row.tobytes() for row in sig.astype(np.uint8)], pa.binary())
-            for t in range(TREES):
-                prefix = np.zeros(n, np.uint64)
-                for k in range(DEPTH):
-                    prefix = mixed(prefix + sig[:, t * DEPTH + k].astype(np.uint64) * ODD[k])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t, np.int32)), pa.array(prefix.view(np.int64)), batch.column("doc"), short], names=["tree", "prefix", "doc", "bytes"]
-                )
+            for t, order in enumerate(orders):
+                path = pa.array([row.tobytes() for row in sig[:, order].astype(np.uint16).astype(">u2")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), path, batch.column("doc"), short], names=["tree", "path", "doc", "bytes"])
 
-    return reps.mapInArrow(run, "tree int, prefix long, doc long, bytes binary")
+    return reps.mapInArrow(run, "tree int, path binary, doc long, bytes binary")
 
 
-def _candidates(forest: DataFrame, most_pairwise: int) -> DataFrame:
-    """Links that hold together whatever may be alike.
+def _regions(lcp: np.ndarray, dense: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spans of two rows and more that share a prefix, and which rows lie where ``DEPTH`` values were too few.
 
-    The bands are sorted across the cluster, so a region of any size is cut over tasks; the pieces of a cut
-    region are tied by their first documents. In a region of up to ``most_pairwise`` documents, those hang together that agree
-    in ``LEAST_AGREEING`` of their signatures. In a denser one, or one that may go on in another task, every document hangs
-    together with the first, and the exact comparison, which works in blocks, tells them apart.
+    ``lcp`` holds the common prefix of each row with the one before. A span that shares ``DEPTH`` values and holds over ``dense`` rows is cut where neighbours
+    share fewer than one value more, and so on; only spans that share all ``DEEPEST`` values may hold more.
+    """
+    found, still, deepened = [], [(0, len(lcp))], np.zeros(len(lcp), bool)
+    for depth in range(DEPTH, DEEPEST + 1):
+        dense_ones = []
+        for lo, hi in still:
+            starts = np.concatenate(([lo], lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] < depth)))
+            ends = np.append(starts[1:], hi)
+            held = ends - starts
+            many = held > (dense if depth < DEEPEST else len(lcp))
+            found += zip(starts[(held > 1) & ~many].tolist(), ends[(held > 1) & ~many].tolist())
+            dense_ones += zip(starts[many].tolist(), ends[many].tolist())
+        if depth == DEPTH:
+            for lo, hi in dense_ones:
+                deepened[lo:hi] = True
+        still = dense_ones
+    return found, deepened
+
+
+def _near_in_order(docs: np.ndarray, lcp: np.ndarray, minima: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links among a stretch of one order, and the documents of its deepened regions. ``lcp`` begins with 0."""
+    left, right = [], []
+    regions, deepened = _regions(lcp, dense)
+    for lo, hi in regions:
+        own = docs[lo:hi]
+        if lo == 0 or hi - lo > dense:
+            left.append(own), right.append(np.full(hi - lo, own[0]))
+        elif hi == len(docs):
+            left.append(own), right.append(np.full(hi - lo, own[-1]))
+        else:
+            agree = np.stack([(minima[lo:hi] == row).sum(axis=1) for row in minima[lo:hi]])
+            label = joined_labels(agree >= LEAST_AGREEING * HASHES)
+            left.append(own), right.append(own[label])
+    if deepened.any():
+        region = np.cumsum(lcp < DEPTH)
+        for step in range(1, min(NEIGHBOURS, len(docs) - 1) + 1):
+            at = np.flatnonzero(deepened[step:] & (region[step:] == region[:-step]))
+            at = at[(minima[at] == minima[at + step]).sum(axis=1) >= LEAST_AGREEING * HASHES]
+            left.append(docs[at]), right.append(docs[at + step])
+    if not left:
+        return docs[:0], docs[:0], docs[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a[a != b], b[a != b], docs[deepened]
+
+
+def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
+    """``what, a, b``: 0 for a link that holds together whatever may be alike, 1 for a document ``a`` of a deepened region.
+
+    Each order is sorted by the minima across the cluster. Longest-common-prefix neighbours form regions: documents that share ``DEPTH`` minima, or, where that
+    is a dense region, as many more as leave ``dense`` documents. In a region those hang together that agree in ``LEAST_AGREEING`` of all minima; in a
+    deepened one the next ``NEIGHBOURS`` in the order are compared too, across its cuts. A region that may go on in another task or stretch hangs together
+    whole, and with the edge of the other; so does one that shares all ``DEEPEST`` minima.
     """
 
-    def row(a, b, tree=None, prefix=None):
+    def rows(what, a, b, tree=None, path=None):
+        n = len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([tree] * len(a), pa.int32()), pa.array([prefix] * len(a), pa.int64())],
-            names=["a", "b", "tree", "prefix"],
+            [pa.array([what] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([tree] * n, pa.int32()), pa.array([path] * n, pa.binary())],
+            names=["what", "a", "b", "tree", "path"],
         )
 
-    def pieces(batches):
-        """(key, documents, signatures, first document, may go on in another task, no more of it here)."""
-        held_key, held, shorts, first, at_edge = None, [], [], None, True
-        for key, part in groups_of(batches, ["tree", "prefix"], most_pairwise):
-            if key != held_key:
-                if held_key:
-                    yield held_key, np.array(held), shorts, first, at_edge, True
-                    at_edge = False
-                held_key, held, shorts, first = key, [], [], part.column("doc")[0].as_py()
-            elif len(held) + part.num_rows > most_pairwise:
-                yield held_key, np.array(held), shorts, first, True, False
-                at_edge, held, shorts = True, [], []
-            held += part.column("doc").to_pylist()
-            shorts += part.column("bytes").to_pylist()
-        if held_key:
-            yield held_key, np.array(held), shorts, first, True, True
+    def stretches(batches, most=1 << 16):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tree, prefix), docs, shorts, first, cut, over in pieces(batches):
-            if cut:
-                yield row(docs, np.full(len(docs), first))
-                if over:
-                    yield row([first], [first], tree, prefix)
-            elif len(docs) > 1:
-                bytes_of = np.frombuffer(b"".join(shorts), np.uint8).reshape(len(docs), HASHES)
-                agree = np.stack([(bytes_of == r).sum(axis=1) for r in bytes_of])
-                label = joined_labels(agree >= LEAST_AGREEING * HASHES)
-                moved = np.flatnonzero(label != np.arange(len(docs)))
-                if len(moved):
-                    yield row(docs[moved], docs[label[moved]])
+        for part in stretches(batches):
+            n, docs, tree = part.num_rows, part.column("doc").to_numpy(), part.column("tree").to_numpy()
+            paths = part.column("path").to_pylist()
+            values = np.frombuffer(b"".join(paths), ">u2").reshape(n, DEEPEST)
+            minima = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8).reshape(n, HASHES)
+            same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            lcp = np.append(0, np.logical_and.accumulate(same, axis=1).sum(axis=1))
+            a, b, deepened = _near_in_order(docs, lcp, minima, dense)
+            yield rows(0, a, b)
+            yield rows(1, np.unique(deepened), np.unique(deepened))
+            for at in {0, n - 1}:
+                yield rows(2, [docs[at]], [docs[at]], int(tree[at]), paths[at][: 2 * DEPTH])
 
     width = shuffle_width(forest.sparkSession)
-    order = ["tree", "prefix", "doc"]
-    got = stored(forest.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, tree int, prefix long"), "forest")
-    ends = got.where("tree is not null")
-    least = ends.groupBy("tree", "prefix").agg(F.min("a").alias("least"))
-    tied = ends.join(least, ["tree", "prefix"]).select("a", F.col("least").alias("b"))
-    return got.where("tree is null").select("a", "b").union(tied)
+    order = ["tree", "path", "doc"]
+    got = forest.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(run, "what int, a long, b long, tree int, path binary")
+    got = stored(got, "forest")
+    edges = got.where("what = 2").select("a", "tree", "path")
+    least = edges.groupBy("tree", "path").agg(F.min("a").alias("b"))
+    tied = edges.join(least, ["tree", "path"]).where("a <> b").select(F.lit(0).alias("what"), "a", "b")
+    return got.where("what < 2").select("what", "a", "b").union(tied)
+
+
+def _candidates(reps: DataFrame, dense: int) -> DataFrame:
+    """``a, b``: links by ``ORDERS``, and by ``MORE_ORDERS`` of the documents of deepened regions, whose deeper prefixes each find less."""
+    first = _in_orders(_forest(reps, ORDERS), dense)
+    deep = stored(first.where("what = 1").select(F.col("a").alias("doc")).distinct(), "deepened")
+    links = first.where("what = 0").select("a", "b")
+    if deep.isEmpty():
+        return links
+    return links.union(_in_orders(_forest(reps.join(deep, "doc", "left_semi"), MORE_ORDERS), dense).where("what = 0").select("a", "b"))
 
 
 def _verify(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -269,15 +325,15 @@ def _exact(texts: DataFrame, cand: DataFrame, words: int, percent: int, block: i
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = 256, most_pairwise: int = 1024
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = 256, dense: int = 256
 ) -> DataFrame:
     """``key, n_shingles, component_id, kept, head, text_hash``, one row for each row of ``docs``.
 
     Documents are linked when their sets of distinct ``words``-word shingles (words parted by ASCII white space, A-Z in lower case)
     have ``percent`` per cent of their union in common; a component is the smallest id that links reach. Equal sets are one class from the
-    start. There are ``TREES`` bands of ``DEPTH`` of the ``HASHES`` minima; documents meet in a region when they share all values of a
-    band (dense regions are not deepened, as that would lose pairs), which two documents at 0.8 miss in all trees 2.5 times in a million, and less the more alike they are. Proposed groups are decided on
-    whole sets.
+    start. An LSH forest proposes groups: the signatures are sorted in ``ORDERS``, and documents meet where they share a prefix of ``DEPTH`` minima, which two documents
+    at 0.8 miss in all orders 2.5 times in a million, and less the more alike they are. A region of more than ``dense`` documents is deepened, minimum by minimum, and its documents
+    are sorted in ``MORE_ORDERS`` as well. Proposed groups are decided on whole sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with null id take no
     part and are kept. Rows that share an id and differ in text are looked at one by one: what is compared and joined are classes of equal sets,
@@ -289,7 +345,7 @@ def near_duplicates(
     full = signed.where("n > 0 and doc is not null")
     reps = full.groupBy("key").agg(F.min(F.struct("doc", "th", "sig")).alias("one")).select("key", "one.*", F.monotonically_increasing_id().alias("node"))
     reps = stored(reps, "reps")  # the numbers stay as written
-    groups = components(_candidates(_forest(reps.select(F.col("node").alias("doc"), "sig")), most_pairwise))
+    groups = components(_candidates(reps.select(F.col("node").alias("doc"), "sig"), dense))
     cand = stored(groups.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
     chosen = cand.join(reps.select(F.col("node").alias("doc"), F.col("doc").alias("id"), "th"), "doc")
     texts = rows.select(F.col("doc").alias("id"), "th", "t").join(chosen, ["id", "th"]).select("doc", "comp", "t")

@@ -65,8 +65,8 @@ def test_minhash_equals_brute_force(spark, sf_dir, documents):
     assert got == sorted(brute_components(list(zip(documents["doc_id"], documents["text"])), 4))
 
 
-@pytest.mark.parametrize("block,pairwise", [(256, 1024), (4, 3)])
-def test_minhash_groups(spark, block, pairwise):
+@pytest.mark.parametrize("block,dense", [(256, 256), (4, 3)])
+def test_minhash_groups(spark, block, dense):
     """Stars (each copy is alike to the base only), chains, exact copies and strangers that share a passage."""
     rng = random.Random(block)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
@@ -84,10 +84,40 @@ def test_minhash_groups(spark, block, pairwise):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=4, block=block, most_pairwise=pairwise).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=4, block=block, dense=dense).collect())
     assert got == sorted(brute_components(rows, 4))
 
 
+def test_regions_deepen_where_dense():
+    lcp = np.array([0, 3, 3, 5, 5, 2, 16, 16, 16, 0, 4, 1])
+    spans, deepened = minhash._regions(lcp, 2)
+    assert sorted(spans) == [(5, 9), (9, 11)]
+    assert deepened.tolist() == [True] * 5 + [True] * 4 + [False] * 3
+
+
+def test_minhash_of_a_dense_family(spark):
+    """One template at some 0.7 to each other, with pairs near 0.8 planted: deepened regions find them all, and link no others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    base, texts = [word() for _ in range(300)], []
+    for k in range(600):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 5), 12):
+            own[at] = word()
+        texts.append(own)
+    for k in range(0, 200):
+        own = list(texts[k])
+        for at in rng.sample(range(2, 300, 5), 7):
+            own[at] = word()
+        texts.append(own)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words=4, dense=32).collect())
+    want = brute_components(rows, 4)
+    assert 650 > len({c for _, _, c in want}) > 500
+    assert got == sorted(want)
+
+
 def test_minhash_of_odd_rows(spark, tricky):
     got = minhash.near_duplicates(tricky)
     rows = got.collect()
