@@ -182,7 +182,7 @@ def _regions(lcp: np.ndarray, dense: int) -> tuple[list[tuple[int, int]], np.nda
 
 
 def _near_in_order(docs: np.ndarray, lcp: np.ndarray, minima: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links among a stretch of one order, and the documents of its deepened regions. ``lcp`` begins with 0."""
+    """Links among a stretch of sorted rows, and which of them lie in deepened regions. ``lcp`` begins with 0."""
     left, right = [], []
     regions, deepened = _regions(lcp, dense)
     for lo, hi in regions:
@@ -202,13 +202,27 @@ def _near_in_order(docs: np.ndarray, lcp: np.ndarray, minima: np.ndarray, dense:
             at = at[(minima[at] == minima[at + step]).sum(axis=1) >= LEAST_AGREEING * HASHES]
             left.append(docs[at]), right.append(docs[at + step])
     if not left:
-        return docs[:0], docs[:0], docs[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    return a[a != b], b[a != b], docs[deepened]
+        return docs[:0], docs[:0], deepened
+    return *_spanning(np.concatenate(left), np.concatenate(right)), deepened
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each document of ``a`` and ``b`` but the least of those that hang together."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[one] != label[other]).any():
+        least = np.minimum(label[one], label[other])
+        for end in (one, other):
+            np.minimum.at(label, label[end], least)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
 
 
 def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
-    """``what, a, b``: 0 for a link that holds together whatever may be alike, 1 for a document ``a`` of a deepened region.
+    """``what, a, b, tree, path``: 0 for a link that holds together whatever may be alike, 1 for a document ``a`` of the deepened region ``tree, path``.
 
     Each order is sorted by the minima across the cluster. Longest-common-prefix neighbours form regions: documents that share ``DEPTH`` minima, or, where that
     is a dense region, as many more as leave ``dense`` documents. In a region those hang together that agree in ``LEAST_AGREEING`` of all minima; in a
@@ -218,8 +232,9 @@ def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
 
     def rows(what, a, b, tree=None, path=None):
         n = len(a)
+        tree, path = tree if tree is not None else [None] * n, path if path is not None else [None] * n
         return pa.RecordBatch.from_arrays(
-            [pa.array([what] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([tree] * n, pa.int32()), pa.array([path] * n, pa.binary())],
+            [pa.array([what] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tree, pa.int32()), pa.array(path, pa.binary())],
             names=["what", "a", "b", "tree", "path"],
         )
 
@@ -244,9 +259,8 @@ def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
             lcp = np.append(0, np.logical_and.accumulate(same, axis=1).sum(axis=1))
             a, b, deepened = _near_in_order(docs, lcp, minima, dense)
             yield rows(0, a, b)
-            yield rows(1, np.unique(deepened), np.unique(deepened))
-            for at in {0, n - 1}:
-                yield rows(2, [docs[at]], [docs[at]], int(tree[at]), paths[at][: 2 * DEPTH])
+            for what, at in ((1, np.flatnonzero(deepened)), (2, np.unique([0, n - 1]))):
+                yield rows(what, docs[at], docs[at], tree[at], [paths[k][: 2 * DEPTH] for k in at])
 
     width = shuffle_width(forest.sparkSession)
     order = ["tree", "path", "doc"]
@@ -254,18 +268,28 @@ def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
     got = stored(got, "forest")
     edges = got.where("what = 2").select("a", "tree", "path")
     least = edges.groupBy("tree", "path").agg(F.min("a").alias("b"))
-    tied = edges.join(least, ["tree", "path"]).where("a <> b").select(F.lit(0).alias("what"), "a", "b")
-    return got.where("what < 2").select("what", "a", "b").union(tied)
+    tied = edges.join(least, ["tree", "path"]).where("a <> b").select(F.lit(0).alias("what"), "a", "b", "tree", "path")
+    return got.where("what < 2").union(tied)
 
 
 def _candidates(reps: DataFrame, dense: int) -> DataFrame:
-    """``a, b``: links by ``ORDERS``, and by ``MORE_ORDERS`` of the documents of deepened regions, whose deeper prefixes each find less."""
-    first = _in_orders(_forest(reps, ORDERS), dense)
-    deep = stored(first.where("what = 1").select(F.col("a").alias("doc")).distinct(), "deepened")
+    """``a, b``: links by ``ORDERS``, and by ``MORE_ORDERS`` of the documents of deepened regions, whose deeper prefixes each find less.
+
+    A deepened region whose documents hang together already has no link to lose, and is not sorted again.
+    """
+    first = stored(_in_orders(_forest(reps, ORDERS), dense), "orders")
     links = first.where("what = 0").select("a", "b")
+    deep = first.where("what = 1").select(F.col("a").alias("doc"), "tree", "path")
     if deep.isEmpty():
         return links
-    return links.union(_in_orders(_forest(reps.join(deep, "doc", "left_semi"), MORE_ORDERS), dense).where("what = 0").select("a", "b"))
+    parts = stored(components(links), "parts")
+    deep = deep.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    apart = stored(deep.groupBy("tree", "path").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("tree", "path"), "apart")
+    again = stored(deep.join(apart, ["tree", "path"], "left_semi").select("doc").distinct(), "deepened")
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if again.isEmpty():
+        return links
+    return links.union(_in_orders(_forest(reps.join(again, "doc", "left_semi"), MORE_ORDERS), dense).where("what = 0").select("a", "b"))
 
 
 def _verify(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -332,8 +356,8 @@ def near_duplicates(
     Documents are linked when their sets of distinct ``words``-word shingles (words parted by ASCII white space, A-Z in lower case)
     have ``percent`` per cent of their union in common; a component is the smallest id that links reach. Equal sets are one class from the
     start. An LSH forest proposes groups: the signatures are sorted in ``ORDERS``, and documents meet where they share a prefix of ``DEPTH`` minima, which two documents
-    at 0.8 miss in all orders 2.5 times in a million, and less the more alike they are. A region of more than ``dense`` documents is deepened, minimum by minimum, and its documents
-    are sorted in ``MORE_ORDERS`` as well. Proposed groups are decided on whole sets.
+    at 0.8 miss in all orders 2.5 times in a million, and less the more alike they are. A region of more than ``dense`` documents is deepened, minimum by minimum, and its documents,
+    unless they hang together by then, are sorted in ``MORE_ORDERS`` as well. Proposed groups are decided on whole sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with null id take no
     part and are kept. Rows that share an id and differ in text are looked at one by one: what is compared and joined are classes of equal sets,
