@@ -172,6 +172,28 @@ def test_nearest_rows_equal_brute_force(spark, rows, columns, part_rows, shape):
         assert got[i] == np.lexsort((tie, d))[: min(5, rows - 1)].tolist()
 
 
+def test_nearest_rows_of_those_that_ask(spark):
+    z = np.random.default_rng(4).integers(0, 40, (1500, 3)).astype(float)
+    frame = spark.createDataFrame([(i, (i * 7919) % 1500, x.tolist()) for i, x in enumerate(z)], "id long, tie long, z array<double>")
+    got = {r["id"]: r["mates"] for r in S.nearest_rows(frame, 4, 60, asking=F.col("id") % 9 == 0).collect()}
+    assert sorted(got) == list(range(0, 1500, 9))
+    tie = (np.arange(1500) * 7919) % 1500
+    for i, mates in got.items():
+        far = ((z - z[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        assert mates == np.lexsort((tie, far))[:4].tolist()
+
+
+def test_cells_that_a_row_asks_for_are_few():
+    points = np.random.default_rng(5).normal(size=(40_000, 5))  # alike along every axis: a projection parts little
+    cells = S.Cells.grown(points, 500)
+    part = cells.first[cells.leaf(points)]
+    low, high = (np.stack([f(points[part == p], axis=0) for p in range(cells.parts.sum())]) for f in (np.min, np.max))
+    row, _ = cells.bounded(low, high).within(points[:300], np.full(300, 0.3))
+    assert cells.parts.sum() > 80 and len(row) / 300 < 12
+    assert (np.bincount(part) <= 500).all()
+
+
 def test_smote_in_blocks_with_one_heavy_point(spark):
     rows = [(i, "fail", 1.0 if i % 3 == 0 else float(i)) for i in range(600)] + [(1000 + i, "pass", 0.0) for i in range(1200)]
     df = spark.createDataFrame(rows, "id int, crms string, x double")
