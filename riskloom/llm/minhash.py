@@ -221,8 +221,24 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _first_of_parts(docs: np.ndarray, lcp: np.ndarray, deepened: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of one row for each part of the deepened regions that the links ``a, b``, a link for each document but the first of a part, leave in several."""
+    at = np.flatnonzero(deepened)
+    if not len(at):
+        return at
+    label, order = docs[at].copy(), np.argsort(a)
+    if len(a):
+        place = np.minimum(np.searchsorted(a[order], label), len(a) - 1)
+        label = np.where(a[order][place] == label, b[order][place], label)
+    pairs, first = np.unique(np.stack([np.cumsum(lcp < DEPTH)[at], label]), axis=1, return_index=True)
+    _, region, times = np.unique(pairs[0], return_inverse=True, return_counts=True)
+    return at[first[times[region] > 1]]
+
+
 def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
-    """``what, a, b, tree, path``: 0 for a link that holds together whatever may be alike, 1 for a document ``a`` of the deepened region ``tree, path``.
+    """``what, a, b, tree, path``: 0 for a link that holds together whatever may be alike, 1 for a part of the deepened region ``tree, path``.
+
+    A part is named by its document ``a``; there are rows only where a stretch leaves a region in several parts, as one part hangs together.
 
     Each order is sorted by the minima across the cluster. Longest-common-prefix neighbours form regions: documents that share ``DEPTH`` minima, or, where that
     is a dense region, as many more as leave ``dense`` documents. In a region those hang together that agree in ``LEAST_AGREEING`` of all minima; in a
@@ -259,7 +275,7 @@ def _in_orders(forest: DataFrame, dense: int) -> DataFrame:
             lcp = np.append(0, np.logical_and.accumulate(same, axis=1).sum(axis=1))
             a, b, deepened = _near_in_order(docs, lcp, minima, dense)
             yield rows(0, a, b)
-            for what, at in ((1, np.flatnonzero(deepened)), (2, np.unique([0, n - 1]))):
+            for what, at in ((1, _first_of_parts(docs, lcp, deepened, a, b)), (2, np.unique([0, n - 1]))):
                 yield rows(what, docs[at], docs[at], tree[at], [paths[k][: 2 * DEPTH] for k in at])
 
     width = shuffle_width(forest.sparkSession)
@@ -285,7 +301,8 @@ def _candidates(reps: DataFrame, dense: int) -> DataFrame:
     parts = stored(components(links), "parts")
     deep = deep.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
     apart = stored(deep.groupBy("tree", "path").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("tree", "path"), "apart")
-    again = stored(deep.join(apart, ["tree", "path"], "left_semi").select("doc").distinct(), "deepened")
+    placed = _forest(reps, ORDERS).select("tree", F.substring("path", 1, 2 * DEPTH).alias("path"), "doc")
+    again = stored(placed.join(apart, ["tree", "path"], "left_semi").select("doc").distinct(), "deepened")
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if again.isEmpty():
         return links

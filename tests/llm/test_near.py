@@ -88,6 +88,17 @@ def test_minhash_groups(spark, block, dense):
     assert got == sorted(brute_components(rows, 4))
 
 
+def test_deepened_regions_hand_on_parts_not_documents():
+    """A region that its links hold together has no row; one in two parts has two, whatever its documents."""
+    docs, deepened = np.arange(100, 112), np.array([True] * 10 + [False] * 2)
+    lcp = np.array([0, 3, 3, 3, 3, 0, 3, 3, 3, 3, 0, 3])
+    a, b = np.array([101, 102, 103, 104, 107, 106, 109]), np.array([100, 100, 100, 100, 105, 105, 108])
+    at = minhash._first_of_parts(docs, lcp, deepened, a, b)
+    assert docs[at].tolist() == [105, 108]
+    assert not len(minhash._first_of_parts(docs, lcp, deepened, a[:0], b[:0])) == 0
+    assert len(minhash._first_of_parts(docs, lcp, np.zeros(12, bool), a, b)) == 0
+
+
 def test_regions_deepen_where_dense():
     lcp = np.array([0, 3, 3, 5, 5, 2, 16, 16, 16, 0, 4, 1])
     spans, deepened = minhash._regions(lcp, 2)
