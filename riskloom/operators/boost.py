@@ -14,6 +14,7 @@ from riskloom.functions.columns import ref
 from riskloom.sources.tables import settled
 
 MISSING = 0  # the bin of nulls; others count from 1
+BLOCK = "n long, y binary, u binary, f binary, b binary, m binary"
 
 
 @dataclass
@@ -50,12 +51,31 @@ class Boost:
     column_share: float = 1.0
     penalty: float = 1.0
     min_weight: float = 1.0
+    min_gain: float = 1e-12
     repeat: int = -1
     fold: int = -1
     seed: int = 1
     trees: list[Tree] = field(default_factory=list)
 
-    def margin(self, bins: np.ndarray, first: int = 0, upto: int | None = None) -> np.ndarray:
+    def table(self, first: int = 0, upto: int | None = None) -> tuple[float, dict[int, np.ndarray]]:
+        """Trees of one split add up by column: what rows without a split get, and for each column used the sum by bin."""
+        base, sums, bin_ = 0.0, {}, np.arange(256)
+        for t in self.trees[first:upto]:
+            c = int(t.column[0])
+            if c < 0:
+                base += self.shrinkage * t.value[0]
+            else:
+                right = np.where(bin_ == MISSING, not t.null_left[0], bin_ > t.cut[0])
+                sums[c] = sums.get(c, 0.0) + self.shrinkage * np.where(right, t.value[2], t.value[1])
+        return base, sums
+
+    def margin(self, bins: np.ndarray, first: int = 0, upto: int | None = None, table: tuple | None = None) -> np.ndarray:
+        if self.depth == 1:
+            base, sums = table or self.table(first, upto)
+            total = np.full(len(bins), base)
+            for c, by_bin in sums.items():
+                total += by_bin[bins[:, c]]
+            return total
         total = np.zeros(len(bins))
         for t in self.trees[first:upto]:
             total += self.shrinkage * t.value[t.nodes(bins, self.depth)]
@@ -89,40 +109,52 @@ def best_splits(g: np.ndarray, h: np.ndarray, penalty: float, min_weight: float,
 class ManyBoosts:
     """Rows binned once; each level of the next tree of all models is one pass, in which tasks add up histograms and Spark the tasks' sums.
 
-    On the driver are bin edges, and one histogram for each model and node. What a row scored so far is written with the rows
-    every ``settle_every`` trees, in between it is worked out from the newer trees. Rows are drawn for a tree by a hash of their key, so a retry draws the same.
+    On the driver are bin edges, and one histogram for each model and node. Rows lie in blocks, a stored row for each. What a row scored so far follows from one table
+    for each column while trees have one split; deeper trees are worked out, and written with the rows every ``settle_every`` trees. Rows are drawn for a tree by a hash
+    of their key, so a retry draws the same.
     """
 
     def __init__(self, rows: DataFrame, label: Column, columns: Sequence[str], key: Sequence[str], folds: Sequence[Column] = (), bins: int = 32, settle_every: int = 25):
         self.columns, self.settle_every, self.base = list(columns), settle_every, 0
         values = [ref(c).cast("double") for c in columns]
+        places = F.array(*[f.cast("int") for f in folds]) if folds else F.array().cast("array<int>")
+        raw = rows.select(label.cast("double").alias("y"), F.xxhash64(*[ref(c) for c in key]).alias("u"), places.alias("f"), F.array(*values).alias("x")).where("y is not null")
         shares = [i / bins for i in range(1, bins)]
         edges = rows.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"e{i}") for i, v in enumerate(values)]).first()
         self.edges = [np.unique([e for e in (edges[f"e{i}"] or []) if e is not None]) for i in range(len(columns))]
         self.bins = 2 + max((len(e) for e in self.edges if len(e)), default=1)
-        cuts, width = self.edges, len(self.columns)
-        places = F.array(*[f.cast("int") for f in folds]) if folds else F.array().cast("array<int>")
-        raw = rows.select(label.cast("double").alias("y"), F.xxhash64(*[ref(c) for c in key]).alias("u"), places.alias("f"), F.array(*values).alias("x")).where("y is not null")
+        cuts, width, many = self.edges, len(self.columns), len(folds)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
                 b = np.stack([np.where(np.isnan(x[:, i]), MISSING, 1 + np.searchsorted(e, x[:, i], "left")) for i, e in enumerate(cuts)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("u"), batch.column("f"), pa.array([r.tobytes() for r in b]), pa.array([[]] * len(b), pa.list_(pa.float64()))], names=["y", "u", "f", "b", "m"])
+                f = batch.column("f").flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, many)
+                held = [batch.column("y").to_numpy(), batch.column("u").to_numpy(), f, b, np.zeros(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([n])] + [pa.array([a.tobytes()], pa.binary()) for a in held], names=["n", "y", "u", "f", "b", "m"])
 
-        self.rows = settled(raw.mapInArrow(place, "y double, u long, f array<int>, b binary, m array<double>"))
+        self.rows = settled(raw.mapInArrow(place, BLOCK))
 
     def _read(self, models: Sequence[Boost]):
-        """A function from a batch to labels, hashes, folds, bins and, for a model, the margins; safe to send to tasks."""
-        width, base = len(self.columns), self.base
+        """A function from a batch to labels, hashes, folds, bins and, for a model, the margins, for each block; safe to send to tasks."""
+        width, base, known = len(self.columns), self.base, {}
 
         def read(batch: pa.RecordBatch):
-            n = batch.num_rows
-            y, u = batch.column("y").to_numpy(), batch.column("u").to_numpy()
-            f = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            bins = np.frombuffer(b"".join(batch.column("b").to_pylist()), np.uint8).reshape(n, width)
-            held = batch.column("m").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            return y, u, f, bins, lambda i, upto=None: (held[:, i] if base else 0) + models[i].margin(bins, base, upto)
+            for row in batch.to_pylist():
+                n = row["n"]
+                y, u, f, bins, held = (np.frombuffer(row[c], t) for c, t in (("y", float), ("u", np.int64), ("f", np.int32), ("b", np.uint8), ("m", float)))
+                bins, held = bins.reshape(n, width), held.reshape(n, -1) if base else None
+
+                def margin(i, upto=None, used=slice(None), bins=bins, held=held):
+                    m = models[i]
+                    if m.depth == 1 and (i, upto) not in known:
+                        known[i, upto] = m.table(base, upto)
+                    return (held[used, i] if base else 0) + m.margin(bins[used], base, upto, known.get((i, upto)))
+
+                yield y, u, f.reshape(n, -1), bins, margin
 
         return read
 
@@ -131,42 +163,42 @@ class ManyBoosts:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    margin = read(batch)[4]
-                    m = np.stack([margin(i) for i in range(many)], axis=1)
-                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * many, pa.int32()), pa.array(m.ravel()))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("y", "u", "f", "b")), cells], names=["y", "u", "f", "b", "m"])
+                cells = [np.stack([block[4](i) for i in range(many)], axis=1).tobytes() for block in read(batch)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("n", "y", "u", "f", "b")), pa.array(cells, pa.binary())], names=["n", "y", "u", "f", "b", "m"])
 
-        self.rows = settled(self.rows.mapInArrow(run, "y double, u long, f array<int>, b binary, m array<double>"))
+        self.rows = settled(self.rows.mapInArrow(run, BLOCK))
         self.base = len(models[0].trees)
 
-    def _histograms(self, models: Sequence[Boost], level: int) -> list[np.ndarray]:
-        """(node, column, bin, gradient or curvature) of each model at a level of its last tree."""
+    def _histograms(self, models: Sequence[Boost], level: int, allowed: Sequence[Sequence[int]]) -> list[np.ndarray]:
+        """(node, column, bin, gradient or curvature) of each model at a level of its last tree; columns that it may not use stay 0."""
         read, bins_, width, nodes = self._read(models), self.bins, len(self.columns), 2**level
         number = len(models[0].trees) - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = [np.zeros((2, width, nodes * bins_)) if m.depth > level else None for m in models]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y, u, f, bins, margin = read(batch)
+            for y, u, f, bins, margin in (block for batch in batches for block in read(batch)):
                 for i, m in enumerate(models):
                     if total[i] is None:
                         continue
-                    node = m.trees[-1].nodes(bins, level) - (nodes - 1)
-                    used = node >= 0  # rows in an earlier leaf have ended
+                    if level:
+                        node = m.trees[-1].nodes(bins, level) - (nodes - 1)
+                        used = node >= 0  # rows in an earlier leaf have ended
+                    else:
+                        node, used = None, np.ones(len(y), bool)
                     if m.repeat >= 0:
                         used &= f[:, m.repeat] != m.fold
                     if m.row_share < 1:
                         mixed = (u.view(np.uint64) ^ np.uint64((m.seed << 32) + number)) * np.uint64(0x9E3779B97F4A7C15)
                         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                         used &= (mixed >> np.uint64(11)) / float(1 << 53) < m.row_share
-                    p = 1 / (1 + np.exp(-np.clip(margin(i, number)[used] if number else np.zeros(used.sum()), -700, 700)))
-                    for c in range(width):
-                        at = node[used] * bins_ + bins[used, c]
-                        total[i][0, c] += np.bincount(at, p - y[used], nodes * bins_)
-                        total[i][1, c] += np.bincount(at, p * (1 - p), nodes * bins_)
+                    at = np.flatnonzero(used)
+                    p = 1 / (1 + np.exp(-np.clip(margin(i, number, at) if number else np.zeros(len(at)), -700, 700)))
+                    slope, curve = p - y[at], p * (1 - p)
+                    start = node[at] * bins_ if level else 0
+                    for c in allowed[i]:
+                        cell = start + bins[at, c].astype(np.intp)
+                        total[i][0, c] += np.bincount(cell, slope, nodes * bins_)
+                        total[i][1, c] += np.bincount(cell, curve, nodes * bins_)
             kept = [i for i, t in enumerate(total) if t is not None]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([total[i].ravel().tolist() for i in kept], pa.list_(pa.float64()))], names=["i", "v"])
 
@@ -181,7 +213,7 @@ class ManyBoosts:
         """Add ``trees`` trees to each model."""
         for _ in range(trees):
             number = len(models[0].trees)
-            if number and number - self.base >= self.settle_every:
+            if number and number - self.base >= self.settle_every and any(m.depth > 1 for m in models):
                 self._settle(models)
             allowed = []
             for m in models:
@@ -190,16 +222,16 @@ class ManyBoosts:
                 take = max(1, round(m.column_share * len(self.columns)))
                 allowed.append(sorted(rng.permutation(len(self.columns))[:take].tolist()))
             for level in range(max(m.depth for m in models)):
-                for m, columns, hist in zip(models, allowed, self._histograms(models, level)):
+                for m, columns, hist in zip(models, allowed, self._histograms(models, level, allowed)):
                     if hist is None:
                         continue
                     tree, start = m.trees[-1], 2**level - 1
                     for k, (gain, c, cut, nulls, (lg, lh, rg, rh)) in enumerate(best_splits(hist[..., 0], hist[..., 1], m.penalty, m.min_weight, columns)):
                         node = start + k
                         if level == 0:
-                            g, h = hist[0, 0, :, 0].sum(), hist[0, 0, :, 1].sum()
+                            g, h = hist[0, columns[0], :, 0].sum(), hist[0, columns[0], :, 1].sum()
                             tree.value[0] = -g / (h + m.penalty) if h > 0 else 0.0
-                        if gain > 1e-12:
+                        if gain > m.min_gain:
                             tree.column[node], tree.cut[node], tree.null_left[node] = c, cut, nulls
                             tree.value[2 * node + 1], tree.value[2 * node + 2] = -lg / (lh + m.penalty), -rg / (rh + m.penalty)
         return models
@@ -212,18 +244,16 @@ class ManyBoosts:
             plain.columns, plain.base = self.columns, 0
             read = plain._read(models)
         limit = float(np.log(cut / (1 - cut)))
+        tables = [[m.table(a, b) if m.depth == 1 else None for a, b in zip([0, *stages], stages)] for m in models]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(models), len(stages), 4, 2))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y, _, f, bins, _ = read(batch)
+            for y, _, f, bins, _ in (block for batch in batches for block in read(batch)):
                 for i, m in enumerate(models):
                     mine = slice(None) if m.repeat < 0 else f[:, m.repeat] == m.fold
                     b, truth, eta, done = bins[mine], y[mine], 0.0, 0
                     for s, stage in enumerate(stages):
-                        eta, done = eta + m.margin(b, done, stage), stage
+                        eta, done = eta + m.margin(b, done, stage, tables[i][s]), stage
                         cell = 2 * (truth > 0).astype(int) + (eta > limit)
                         total[i, s, :, 0] += np.bincount(cell, minlength=4)
                         total[i, s, :, 1] += np.bincount(cell, np.logaddexp(0, eta) - truth * eta, minlength=4)

@@ -60,6 +60,20 @@ def test_many_models_stages_and_folds(data):
     assert loss[8] < loss[4] < -len(y) * (p * np.log(p) + (1 - p) * np.log(1 - p))
 
 
+def test_trees_of_one_split_add_up_in_tables(data):
+    """Margins from tables equal the trees one by one, nulls included, and no margin is written; columns not drawn have no histogram."""
+    *_, frame = data
+    work = ManyBoosts(frame, F.col("y"), ["a", "b", "c"], ["id"], [F.col("k")], settle_every=3)
+    model = work.fit([Boost(depth=1, column_share=0.67, row_share=0.8, repeat=0, fold=1)], 8)[0]
+    assert work.base == 0 and len(model.trees) == 8
+    bins = np.random.default_rng(1).integers(0, work.bins, (300, 3)).astype(np.uint8)
+    for first, upto in ((0, 8), (2, 5), (3, None)):
+        plain = sum(model.shrinkage * t.value[t.nodes(bins, 1)] for t in model.trees[first:upto])
+        assert np.allclose(model.margin(bins, first, upto), plain)
+    hist = work._histograms([model], 0, [[0, 2]])[0]
+    assert not hist[:, 1].any() and np.allclose(hist[:, 0].sum(axis=1), hist[:, 2].sum(axis=1))
+
+
 def test_empty_and_constant_rows(spark):
     none = ManyBoosts(spark.createDataFrame([], "id long, y double, a double"), F.col("y"), ["a"], ["id"])
     assert none.fit([Boost()], 2)[0].trees[0].column[0] == -1 and none.staged([Boost()], [0]).count() == 0
