@@ -348,3 +348,63 @@ def test_many_fits_equal_single_ones(spark):
     nothing = [Candidate([0])]
     ManyFits(frame.limit(0), F.col("y"), ["a"]).fit(nothing)
     assert nothing[0].rows == 0
+
+
+@pytest.mark.parametrize("shape", ["plain", "ties", "copies"])
+def test_resamples_oversampled_together_equal_single_ones(spark, shape):
+    """The neighbours of all training parts from one search are those of a search in each part, equal distances included."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 3)) * [1, 5, 0.2]
+    if shape == "ties":
+        x = rng.integers(0, 4, (700, 3)).astype(float)
+    keys = np.arange(700) // (2 if shape == "copies" else 1)  # keys that come twice, with different values and as far from each other
+    x[350:] = x[350:] if shape != "copies" else np.round(x[350:])
+    rows = [(int(k), "fail" if i % 3 == 0 else "pass", "t", *map(float, v)) for i, (k, v) in enumerate(zip(keys, x))]
+    parts = [S.Resample(r, f, L.job_seed(5, r, f)) for r in (1, 2) for f in range(2)]
+    df = spark.createDataFrame(rows, "id long, crms string, kind string, a double, b double, c double").repartition(3, "id").persist()
+    df = df.withColumns({f"_f{r}": S.fold_of(["id"], 2, r, 5) for r in (1, 2)})
+    names = ["id", "crms", "kind", "a", "b", "c"]
+    made = S.smote_resamples(df, "crms", "fail", ["a", "b", "c"], ["id"], parts, block_rows=40).persist()
+    assert made.groupBy("_job").count().count() == 4
+    for job, part in enumerate(parts):
+        train = df.where(part.trained).select(*names)
+        want = sorted(tuple(r) for r in S.smote(train, "crms", "fail", ["a", "b", "c"], ["id"], seed=part.seed, block_rows=40).exceptAll(train).collect())
+        got = sorted(tuple(r) for r in made.where(F.col("_job") == job).select(*names).collect())
+        assert len(got) == len(want) > 0 and [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3:] for g in got], [w[3:] for w in want], atol=1e-9)
+
+
+def test_scalings_and_fits_together_equal_single_ones(spark, df):
+    names = ["a", "b", "noise", "flag", "flat"]
+    parts = [S.Resample(r, f, 1) for r in (1, 2) for f in range(3)]
+    wide = df.withColumns({"flag": (F.col("id") % 2).cast("double"), "flat": F.lit(0.1), "noise": F.col("noise") - 2, **{f"_f{r}": S.fold_of(["id"], 3, r, 9) for r in (1, 2)}})
+    more = df.sparkSession.createDataFrame([(j, float(3 * i), 0.5 * i + j, -1.0 * i, i % 2.0, 0.1, ["fail", "pass"][i % 2]) for j in range(6) for i in range(9)], "_job int, a double, b double, noise double, flag double, flat double, crms string")
+    rows = wide.withColumn("_job", F.lit(None).cast("int")).unionByName(more, allowMissingColumns=True)
+    known = S.scalings(rows, names, parts, 3)
+    from riskloom.operators.newton import Candidate, ResampledFits
+
+    work = ResampledFits(rows, F.col("crms") == "fail", names, parts, known)
+    asked = work.fit([Candidate([0, 1, 3], j) for j in range(6)])
+    for job, part in enumerate(parts):
+        train = rows.where((F.col("_job") == job) | (F.col("_job").isNull() & part.trained)).select(*names, "crms")
+        single = S.learn_scaling(train, names)
+        one, two = (m.transform(train).toPandas()[names].to_numpy() for m in (single, known[job].stage(names)))
+        assert np.allclose(one, two, atol=1e-8)
+        beta, _ = newton(np.column_stack((np.ones(len(one)), one[:, [0, 1, 3]])), (train.toPandas()["crms"] == "fail").to_numpy().astype(float))
+        assert np.allclose(asked[job].beta, beta, atol=1e-7)
+
+
+def test_models_compared_share_their_training_parts(df):
+    """A recipe and the same fit as a plain function, which learns all by itself, predict the same."""
+    recipe = L.Recipe(L.fit_logistic, "crms", "fail", ["a", "b"], {"scale": True})
+    forest = L.Recipe(L.fit_forest, "crms", "fail", ["a", "b"], {"trees": 3, "depth": 3})
+    fits = {"recipe": recipe, "plain": lambda d: L.fit_logistic(d, "crms", "fail", ["a", "b"], scale=True), "forest": forest}
+    got = L.cross_validate_each(df, ["id"], "crms", "fail", ["a", "b"], fits, folds=2, repeats=1)
+    both = got["recipe"].join(got["plain"].withColumnRenamed("p_event", "q"), ["repeat", "fold", "id"])
+    assert both.count() == got["forest"].count() == 900 and both.agg(F.max(F.abs(F.col("p_event") - F.col("q")))).first()[0] < 1e-6
+
+
+def test_hash_of_a_seed_is_sparks(spark):
+    rows = spark.range(-3, 4).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(17)).alias("s"), F.xxhash64("id", F.lit(2_900_000_123)).alias("t")).collect()
+    for seed, c in ((17, "s"), (2_900_000_123, "t")):
+        assert S.seeded_hash(np.array([r["h"] for r in rows]), seed).tolist() == [r[c] for r in rows]
