@@ -408,3 +408,18 @@ def test_hash_of_a_seed_is_sparks(spark):
     rows = spark.range(-3, 4).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(17)).alias("s"), F.xxhash64("id", F.lit(2_900_000_123)).alias("t")).collect()
     for seed, c in ((17, "s"), (2_900_000_123, "t")):
         assert S.seeded_hash(np.array([r["h"] for r in rows]), seed).tolist() == [r[c] for r in rows]
+
+
+def test_compared_results_are_computed_once(spark):
+    """Means, medians and ends are read off one result of each model; its resamples are not scored again for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(float(i), float(-i), 0.5) for i in range(5)], "ROC double, Sens double, Spec double")
+    table = L.compare_models({m: rows.mapInArrow(counted, rows.schema) for m in ("one", "two")}).toPandas().set_index(["model", "metric"])
+    assert seen.value == 10
+    assert tuple(table.loc[("two", "ROC"), ["mean", "min", "median", "max"]]) == (2.0, 0.0, 2.0, 4.0)

@@ -53,3 +53,15 @@ def test_dense_codes(spark):
     df = spark.createDataFrame([(30,), (10,), (10,), (None,), (20,)], "x int")
     got = sorted((r["x"] or 0, r["c"]) for r in O.ranked_codes(df, [], "x", "c").collect())
     assert got == [(0, None), (10, 1), (10, 1), (20, 2), (30, 3)]
+
+
+def test_edges_are_searched_once_a_row(spark):
+    """Two searches, of the lists and in one of them, however often their results are named."""
+    df = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") / 7).alias("x"))
+    edges = O.settled(O.bin_edges(df, ["g"], "x"))
+    plan = O.binned(df, ["g"], "x", edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 2
+    flat = np.array([e for part in edges.first()[O.EDGES] for e in part])
+    got = O.binned(df, ["g"], "x", edges).select("x", F.shiftright(O.BIN, 25).alias("b")).toPandas().sort_values("x")
+    upto = np.searchsorted(flat, got["x"], "right")
+    assert len(flat) > 3 and (got["b"] == 2 * upto - np.isin(got["x"], flat)).all()
