@@ -423,3 +423,9 @@ def test_compared_results_are_computed_once(spark):
     table = L.compare_models({m: rows.mapInArrow(counted, rows.schema) for m in ("one", "two")}).toPandas().set_index(["model", "metric"])
     assert seen.value == 10
     assert tuple(table.loc[("two", "ROC"), ["mean", "min", "median", "max"]]) == (2.0, 0.0, 2.0, 4.0)
+
+
+def test_tuning_results_are_stored(df):
+    """The choice of a point and its rows read stored metrics; they are not scored again for each use."""
+    found = L.tune(df, ["id"], "crms", "fail", ["a", "b"], L.fit_logistic, [{"scale": False}], folds=2, repeats=1, oversample=False)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
