@@ -429,3 +429,56 @@ def test_tuning_results_are_stored(df):
     """The choice of a point and its rows read stored metrics; they are not scored again for each use."""
     found = L.tune(df, ["id"], "crms", "fail", ["a", "b"], L.fit_logistic, [{"scale": False}], folds=2, repeats=1, oversample=False)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_boosted_trees_in_common_passes_equal_mllib(df, scale):
+    settings = {"trees": 6, "depth": 2, "shrinkage": 0.3, "min_node": 5, "scale": scale}
+    fits = {"passes": L.Recipe(L.fit_boosted, "crms", "fail", PREDICTORS, settings), "mllib": lambda d: L.fit_boosted(d, "crms", "fail", PREDICTORS, **settings)}
+    parts = L.cross_validate_each(df, ["id"], "crms", "fail", PREDICTORS, fits, folds=3, repeats=1)
+    one, two = ({r["id"]: r["p_event"] for r in parts[n].collect()} for n in ("passes", "mllib"))
+    assert one.keys() == two.keys() and len(one) == 900
+    assert np.mean([abs(one[i] - two[i]) < 1e-9 for i in one]) > 0.99  # a value on a cut may fall to the other side
+
+
+@pytest.mark.parametrize("trees,depth", [(40, 5), (1000, 30)])
+def test_forests_grown_together(df, trees, depth):
+    """As good as single MLlib forests; the draws do not follow from the layout of the rows."""
+    from riskloom.operators.roc import auc
+
+    recipe = L.Recipe(L.fit_forest, "crms", "fail", PREDICTORS, {"trees": trees, "depth": depth})
+    one = L.cross_validate(df, ["id"], "crms", "fail", PREDICTORS, recipe, folds=3, repeats=1)
+    assert one.count() == 900 and one.select("id").distinct().count() == 900
+    mllib = L.cross_validate(df, ["id"], "crms", "fail", PREDICTORS, lambda d: L.fit_forest(d, "crms", "fail", PREDICTORS, trees=40, depth=min(depth, 10)), folds=3, repeats=1)
+    area = [auc(x, "obs", "p_event", "fail").first()["auc"] for x in (one, mllib)]
+    assert area[0] > 0.65 and abs(area[0] - area[1]) < 0.03
+
+
+def test_deep_trees_part_all_rows_and_count_votes_exactly():
+    from riskloom.operators.trees import ONE, Forest, grown_votes
+
+    rng = np.random.default_rng(2)
+    x = np.unique(rng.integers(0, 12, (700, 3)).astype(np.uint8), axis=0)
+    y = rng.integers(0, 2, len(x))
+    draw = lambda **kw: grown_votes(x, y, 1 - y, x, Forest(1, 3, 30), 0, 4, np.random.default_rng(3), **kw)
+    votes = draw()
+    assert (draw(span=50, nodes=7) == votes).all()  # stretches only bound the memory
+    drawn = np.random.default_rng(3)
+    told = np.zeros(len(x))
+    for _ in range(4):
+        hit, missed = drawn.poisson(y), drawn.poisson(1 - y)
+        told += hit + missed > 0
+    sure = told == 4  # a tree that drew a row ends with it alone
+    assert sure.any() and (votes[sure] == 4 * ONE * y[sure]).all()
+
+
+def test_tuned_point_runs_the_whole_grid(monkeypatch, df):
+    from riskloom.plans import models_catalog as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "_rows", lambda *_: df)
+    monkeypatch.setattr(Q.L, "tune", lambda *args, **kw: seen.update(args=args, **kw) or args[0].limit(0).selectExpr("0 AS point"))
+    monkeypatch.setattr(Q.L, "pick_within_tolerance", lambda found: 0)
+    Q.tuned_point(df.sparkSession, "")
+    assert list(seen["args"][6]) == [{"mtry": 2}, {"mtry": 5}] and seen.keys() == {"args"}  # 1000 trees of depth 30, five folds, three repeats
+    assert L.Recipe(L.fit_forest, "crms", "fail", ["a"], {"mtry": 2}).filled.items() >= {"trees": 1000, "depth": 30}.items()
