@@ -482,3 +482,33 @@ def test_tuned_point_runs_the_whole_grid(monkeypatch, df):
     Q.tuned_point(df.sparkSession, "")
     assert list(seen["args"][6]) == [{"mtry": 2}, {"mtry": 5}] and seen.keys() == {"args"}  # 1000 trees of depth 30, five folds, three repeats
     assert L.Recipe(L.fit_forest, "crms", "fail", ["a"], {"mtry": 2}).filled.items() >= {"trees": 1000, "depth": 30}.items()
+
+
+def test_only_predictions_stay_on_disk(spark, df):
+    import os
+
+    folder = IO.checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    recipes = {"glm": L.Recipe(L.fit_logistic, "crms", "fail", PREDICTORS, {"scale": True}), "trees": L.Recipe(L.fit_boosted, "crms", "fail", PREDICTORS, {"trees": 2})}
+    found = L.cross_validate_each(df, ["id"], "crms", "fail", PREDICTORS, recipes, folds=3, repeats=1)
+    kept = {x for x in set(os.listdir(folder)) - before if x.startswith("settled-")}
+    assert kept == {os.path.basename(os.path.dirname(f)) for part in found.values() for f in part.inputFiles()} and len(kept) == 2
+    assert [part.count() for part in found.values()] == [900, 900]
+
+
+def test_rows_of_other_regions_come_along_where_a_cell_reaches():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(3000, 3))
+    cells = S.Cells.grown(z, 100)
+    part = cells.first[cells.leaf(z)]
+    k, many = 8, int(cells.parts.sum())
+    low, high = (np.stack([f(z[part == p], axis=0) for p in range(many)]) for f in (np.min, np.max))
+    reach = np.array([S._closest(z[part == p], z[part == p], k, np.arange((part == p).sum()))[1][:, -1].max() for p in range(many)])
+    reach[0] = -1  # nobody asks there
+    row, to = cells.bounded(low, high).reaching(z, reach)
+    lent = set(zip(row.tolist(), to.tolist()))
+    assert 0 not in to and len(lent) < 0.6 * len(z) * many
+    for i in rng.permutation(3000)[:200]:
+        if part[i]:
+            far = ((z - z[i]) ** 2).sum(axis=1)
+            assert {(int(j), int(part[i])) for j in np.argsort(far)[: k + 1]} <= lent
